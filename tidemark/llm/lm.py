@@ -9,8 +9,8 @@ smoothed corpus frequency.  Probabilities are proper over id sequences.
 Windows hold 2 * STRIDE positions and overlap by STRIDE: every position is scored once, as a query of the second half
 of its window, with at least STRIDE positions before it where the text has them.
 
-The probability of a word is the attention's, interpolated with corpus counts by absolute discounting: a word seen c
-times in N training tokens of V kinds has max(c - D, 0) / N + (D V / N) * attention(word | what precedes).
+The probability of a word is the attention's, interpolated with the corpus: a word seen c times in N training tokens
+has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
 
 Learning.  Counts of words and ids cover all training texts.  The weights start on a bounded sample
 (``start_texts``), then every training text takes part: each task trains from the common weights on every
@@ -34,7 +34,7 @@ from tidemark.llm.language import fold
 from tidemark.llm.tokens import WordTable, slices
 
 STRIDE, KEY, STATE, MIX, TOP = 16, 16, 32, 64, 2047
-DISCOUNT = 0.75
+SHARE = 0.7
 _TABLES: dict[str, WordTable] = {}
 
 
@@ -286,18 +286,18 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(sub.size, np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 2_000, start_share: int = 1, share: int = 32, rate: float = 0.01) -> Attention:
+def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 4_000, epochs: int = 3, share: int = 32, rate: float = 0.015) -> Attention:
     """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper."""
     model = Attention(id_counts(counts, path, pattern))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     schema = "weights binary, seen long"
     sample = texts.where("octet_length(text) < 100000").limit(start_texts).repartition(1)
-    got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, start_share, rate, 2), schema).collect()
+    got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate, epochs), schema).collect()
     if not got:
         return model
     model.put(np.frombuffer(got[0].weights, np.float32))
     model.step, model.m1, model.m2 = 0, {}, {}
-    part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, share, rate * 0.3), schema)
+    part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, share, rate * 0.2, windows=256), schema)
     part = part.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(texts.rdd.getNumPartitions()))))
     got = part.groupBy("lane").applyInArrow(_average, schema).groupBy(F.lit("all")).applyInArrow(_average, schema).collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
@@ -307,19 +307,18 @@ def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_tex
 # ---------------------------------------------------------------- scoring
 
 class Unigram:
-    """Corpus counts of words: N tokens, V kinds; the smoothed base and the discounted interpolation."""
+    """Corpus counts of words: N tokens, V kinds; the smoothed base and the interpolation."""
 
     def __init__(self, n: int, v: int):
-        self.n, self.total = n, n + 0.5 * (v + 1)
-        self.mass = DISCOUNT * v / n if n else 1.0
+        self.total, self.share = n + 0.5 * (v + 1), SHARE if n else 1.0
+        self.own = (1 - self.share) / max(n, 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / self.total)
 
     def mixed(self, c: np.ndarray, attention: np.ndarray) -> np.ndarray:
-        own = np.maximum(c - DISCOUNT, 0) / max(self.n, 1)
-        alone = np.log10(self.mass) + attention
-        return np.where(own > 0, np.log10(np.maximum(own, 1e-300) + self.mass * 10.0 ** np.maximum(attention, -300)), alone)
+        both = np.log10(np.maximum(c * self.own, 1e-300) + self.share * 10.0 ** np.maximum(attention, -300))
+        return np.where(c * self.own > 0, both, np.log10(self.share) + attention)
 
 
 _SCORES = "uid long, doc_id long, held_out boolean, n long, known long, base double, mixed double, attention double, word binary"
@@ -386,8 +385,8 @@ def score(docs: DataFrame, held_out: Column, path: str, pattern: str, hot_words:
     both = materialise(numbered.mapInArrow(_scorer(sent, path, pattern), _SCORES), "scores")
     joined = both.where("word is not null").select("uid", "word", "attention").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    own = (c - DISCOUNT) / max(n, 1)
-    mixed = F.when(c > DISCOUNT, F.log10(own + unigram.mass * F.pow(F.lit(10.0), F.greatest(F.col("attention"), F.lit(-300.0))))).otherwise(float(np.log10(unigram.mass)) + F.col("attention"))
+    own = c * F.lit(unigram.own)
+    mixed = F.when(own > 0, F.log10(own + unigram.share * F.pow(F.lit(10.0), F.greatest(F.col("attention"), F.lit(-300.0))))).otherwise(float(np.log10(unigram.share)) + F.col("attention"))
     rest = joined.groupBy("uid").agg(F.sum(F.log10((c + 0.5) / F.lit(unigram.total))).alias("more_base"), F.sum(mixed).alias("more_mixed"), F.sum((c > 0).cast("long")).alias("more_known"))
     out = both.where("word is null").drop("word").join(rest, "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))

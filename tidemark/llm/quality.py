@@ -69,11 +69,8 @@ def _chunk(data: np.ndarray, at: np.ndarray) -> dict:
     rank = (np.arange(len(plain)) - first[pin]).astype(np.uint64) if len(plain) else np.zeros(0, np.uint64)
     normal = np.zeros(len(ls), np.uint64)
     np.add.at(normal, pin, mix(plain + mix(rank)))
-    out = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_repeat_words": _repeat_words(h, row, n), "n_dup_lines": [], "line_hash": [], "line_words": [], "text_id": []}
+    out = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_repeat_words": _repeat_words(h, row, n), "n_dup_lines": [], "line_hash": [], "line_words": []}
     bound = np.searchsorted(line_row, np.arange(n + 1))
-    raw = part.tobytes()
-    import xxhash
-
     for i in range(n):
         k = slice(bound[i], bound[i + 1])
         has = words[k] > 0
@@ -82,7 +79,6 @@ def _chunk(data: np.ndarray, at: np.ndarray) -> dict:
         kinds, inverse = np.unique(normal[k][has], return_inverse=True)
         out["line_hash"].append(kinds.view(np.int64))
         out["line_words"].append(np.bincount(inverse, weights=words[k][has], minlength=len(kinds)).astype(np.int32))
-        out["text_id"].append(xxhash.xxh3_64_intdigest(raw[rel[i] : rel[i + 1]]))
     return out
 
 
@@ -94,7 +90,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = lambda k, t: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in f[k]]))).astype(np.int32)), pa.array(np.concatenate(f[k]), t))
             longs = lambda k: pa.array(np.asarray(f[k], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), batch.column("host").slice(i, j - i).cast(pa.string()), pa.array(np.array(f["text_id"], np.uint64).view(np.int64)),
+                [batch.column("doc_id").slice(i, j - i).cast(pa.int64()), batch.column("host").slice(i, j - i).cast(pa.string()), batch.column("text_id").slice(i, j - i),
                  longs("n_words"), longs("word_chars"), longs("n_symbols"), longs("n_dup_lines"), longs("n_repeat_words"), flat("line_hash", pa.int64()), flat("line_words", pa.int32())],
                 names=["doc_id", "host", "text_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"],
             )
@@ -106,7 +102,7 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = 100, share: f
     A null text counts as none (no words, so it fails); a null host is a host of its own; repeated rows and repeated
     doc_ids are each judged alone; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_id"))
     feats = materialise(rows.mapInArrow(_features, FEATURES).withColumn("row_id", F.monotonically_increasing_id()), "quality")
     lines = feats.select("row_id", "host", "text_id", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("row_id", "host", "text_id", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
     hosts = feats.select("host", "text_id").distinct().groupBy("host").agg(F.count("*").alias("texts"))

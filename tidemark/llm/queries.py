@@ -29,6 +29,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op4_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.topk import search_embeddings
+
+    return search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.language import language_documents
 
@@ -49,6 +55,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import format_conversations
+
+    return format_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,14 +69,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_bit_sliced_topk": op4_bit_sliced_topk,
     "op5_language_id": op5_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_chat_tool_linking": op8_chat_tool_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
