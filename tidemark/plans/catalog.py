@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import reports, state
+
+QUERIES: dict = {**state.QUERIES, **reports.QUERIES}
+ORACLE_SQL: dict[str, str] = {**state.ORACLE_SQL, **reports.ORACLE_SQL}
