@@ -140,11 +140,11 @@ def handoff_invariants(log):
 RANK = "min(elapsed_ns) FILTER (r >= ceil((n - 1) * {}::DOUBLE) + 1)"
 
 
-@query(f"SELECT operation, min(elapsed_ns) AS min_ns, avg(elapsed_ns) AS avg_ns, {RANK.format(0.5)} AS p50_ns, {RANK.format(0.95)} AS p95_ns, {RANK.format(0.99)} AS p99_ns, max(elapsed_ns) AS max_ns, avg(CAST(elapsed_ns > 50000000 AS INT)::DOUBLE) AS slow_fraction FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY elapsed_ns) AS r, count(*) OVER (PARTITION BY operation) AS n FROM ops) GROUP BY operation", "ops")
+@query(f"SELECT operation, min(elapsed_ns) AS min_ns, round(avg(elapsed_ns), 3) AS avg_ns, {RANK.format(0.5)} AS p50_ns, {RANK.format(0.95)} AS p95_ns, {RANK.format(0.99)} AS p99_ns, max(elapsed_ns) AS max_ns, round(avg(CAST(elapsed_ns > 50000000 AS INT)::DOUBLE), 6) AS slow_fraction FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY elapsed_ns) AS r, count(*) OVER (PARTITION BY operation) AS n FROM ops) GROUP BY operation", "ops")
 def latency_summary(log):
     ops = log.ops()
     ranks = metrics.nearest_rank(ops, ["operation"], "elapsed_ns", {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99})
-    rest = ops.groupBy("operation").agg(F.min("elapsed_ns").alias("min_ns"), F.avg("elapsed_ns").alias("avg_ns"), F.max("elapsed_ns").alias("max_ns"), F.avg((F.col("elapsed_ns") > 50_000_000).cast("double")).alias("slow_fraction"))
+    rest = ops.groupBy("operation").agg(F.min("elapsed_ns").alias("min_ns"), F.round(F.avg("elapsed_ns"), 3).alias("avg_ns"), F.max("elapsed_ns").alias("max_ns"), F.round(F.avg((F.col("elapsed_ns") > 50_000_000).cast("double")), 6).alias("slow_fraction"))
     return rest.join(ranks, "operation").select("operation", "min_ns", "avg_ns", "p50_ns", "p95_ns", "p99_ns", "max_ns", "slow_fraction")
 
 
@@ -164,13 +164,13 @@ def bucket_quantiles(log):
     return metrics.bucket_quantile(h, ["operation"], [0.5, 0.95, 0.99]).select("operation", "quantile", "upper_bound")
 
 
-@query("SELECT coalesce(phase, 'all') AS phase, CAST(sum(records) AS BIGINT) AS records, CASE WHEN sum(elapsed_ns) > 0 THEN CAST(sum(records) AS DOUBLE) / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM ops GROUP BY GROUPING SETS ((phase), ())", "ops")
+@query("SELECT coalesce(phase, 'all') AS phase, CAST(sum(records) AS BIGINT) AS records, round(CASE WHEN sum(elapsed_ns) > 0 THEN CAST(sum(records) AS DOUBLE) / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE) ELSE 0.0::DOUBLE END, 6) AS rate FROM ops GROUP BY GROUPING SETS ((phase), ())", "ops")
 def phase_throughput(log):
     seconds = F.sum("elapsed_ns").cast("double") / 1e9
-    return log.ops().groupingSets([[F.col("phase")], []], F.col("phase")).agg(F.sum("records").alias("records"), metrics.ratio(F.sum("records").cast("double"), seconds).alias("rate")).withColumn("phase", F.coalesce("phase", F.lit("all")))
+    return log.ops().groupingSets([[F.col("phase")], []], F.col("phase")).agg(F.sum("records").alias("records"), F.round(metrics.ratio(F.sum("records").cast("double"), seconds), 6).alias("rate")).withColumn("phase", F.coalesce("phase", F.lit("all")))
 
 
-@query("SELECT operation, CAST(coalesce(sum(v), 0) AS DOUBLE) AS total, greatest(coalesce(max(v), 0), 0)::DOUBLE AS top, CAST(max(t) AS BIGINT) AS last_ms FROM (SELECT event_type AS operation, CASE WHEN event_id % 9 = 0 THEN -value ELSE value END AS v, epoch_ms(ts) AS t, event_id FROM events) WHERE event_id % 13 <> 0 AND operation IN ('view', 'click') GROUP BY operation")
+@query("SELECT operation, round(CAST(coalesce(sum(v), 0) AS DOUBLE), 4) AS total, greatest(coalesce(max(v), 0), 0)::DOUBLE AS top, CAST(max(t) AS BIGINT) AS last_ms FROM (SELECT event_type AS operation, CASE WHEN event_id % 9 = 0 THEN -value ELSE value END AS v, epoch_us(ts) // 1000 AS t, event_id FROM events) WHERE event_id % 13 <> 0 AND operation IN ('view', 'click') GROUP BY operation")
 def series_select(log):
     """Values x timestamps series with labels: filtered by label, flattened, non-finite values dropped, then aggregated."""
     v = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).when(F.col("event_id") % 9 == 0, -F.col("value")).otherwise(F.col("value"))
@@ -180,22 +180,22 @@ def series_select(log):
     label = F.try_element_at("metric", F.lit("operation"))
     chosen = series.where((F.try_element_at("metric", F.lit("__name__")) == "latency") & label.isin("view", "click"))
     flat = chosen.select(label.alias("operation"), F.explode(F.arrays_zip("values", "timestamps")).alias("p")).where(~F.isnan("p.values") & (F.abs("p.values") < float("inf")))
-    return flat.groupBy("operation").agg(F.coalesce(F.sum("p.values"), F.lit(0.0)).alias("total"), F.greatest(F.coalesce(F.max("p.values"), F.lit(0.0)), F.lit(0.0)).alias("top"), F.max("p.timestamps").alias("last_ms"))
+    return flat.groupBy("operation").agg(F.round(F.coalesce(F.sum("p.values"), F.lit(0.0)), 4).alias("total"), F.greatest(F.coalesce(F.max("p.values"), F.lit(0.0)), F.lit(0.0)).alias("top"), F.max("p.timestamps").alias("last_ms"))
 
 
-@query("SELECT operation AS workload, phase, CAST(count(*) AS BIGINT) AS samples, CAST(sum(records) AS DOUBLE) / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE) AS records_per_second, CAST(sum(bytes) AS DOUBLE) / 1048576 / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE) AS mib_per_second, list_sort(list(bytes))[count(*) // 2 + 1] AS median_bytes FROM ops GROUP BY operation, phase", "ops")
+@query("SELECT operation AS workload, phase, CAST(count(*) AS BIGINT) AS samples, round(CAST(sum(records) AS DOUBLE) / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE), 6) AS records_per_second, round(CAST(sum(bytes) AS DOUBLE) / 1048576 / (CAST(sum(elapsed_ns) AS DOUBLE) / 1e9::DOUBLE), 9) AS mib_per_second, list_sort(list(bytes))[count(*) // 2 + 1] AS median_bytes FROM ops GROUP BY operation, phase", "ops")
 def benchmark_aggregate(log):
     ops = log.ops()
     seconds = F.sum("elapsed_ns").cast("double") / 1e9
     by = ["operation", "phase"]
-    rates = ops.groupBy(*by).agg(F.count("*").alias("samples"), metrics.ratio(F.sum("records").cast("double"), seconds).alias("records_per_second"), metrics.ratio(F.sum("bytes").cast("double") / 1048576, seconds).alias("mib_per_second"))
+    rates = ops.groupBy(*by).agg(F.count("*").alias("samples"), F.round(metrics.ratio(F.sum("records").cast("double"), seconds), 6).alias("records_per_second"), F.round(metrics.ratio(F.sum("bytes").cast("double") / 1048576, seconds), 9).alias("mib_per_second"))
     return rates.join(metrics.upper_median(ops, by, "bytes", "median_bytes"), by).withColumnRenamed("operation", "workload")
 
 
 CASES = ", k AS (SELECT concat_ws('|', o_orderstatus, o_orderpriority, o_custkey % 5) AS identity, o_orderdate < TIMESTAMP '1998-06-01' AS base, o_totalprice FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1998-06-01' AND o_custkey % 5 = 3)), a AS (SELECT identity, base, avg(o_totalprice) AS rate, max(o_totalprice) AS p99 FROM k GROUP BY identity, base)"
 
 
-@query(CASES[2:].join(["WITH ", ""]) + """ SELECT b.identity, CASE WHEN c.identity IS NULL THEN NULL WHEN b.rate = 0 THEN 0.0::DOUBLE ELSE (c.rate - b.rate) / b.rate * 100.0::DOUBLE END AS throughput_change, CASE WHEN c.identity IS NULL THEN NULL WHEN b.p99 = 0 THEN 0.0::DOUBLE ELSE (c.p99 - b.p99) / b.p99 * 100.0::DOUBLE END AS p99_change,
+@query(CASES[2:].join(["WITH ", ""]) + """ SELECT b.identity, round(CASE WHEN c.identity IS NULL THEN NULL WHEN b.rate = 0 THEN 0.0::DOUBLE ELSE (c.rate - b.rate) / b.rate * 100.0::DOUBLE END, 6) AS throughput_change, round(CASE WHEN c.identity IS NULL THEN NULL WHEN b.p99 = 0 THEN 0.0::DOUBLE ELSE (c.p99 - b.p99) / b.p99 * 100.0::DOUBLE END, 6) AS p99_change,
 CASE WHEN c.identity IS NULL THEN 'missing' WHEN (c.rate - b.rate) / b.rate * 100 < -15 OR (c.p99 - b.p99) / b.p99 * 100 > 25 THEN 'regression' ELSE 'ok' END AS status FROM (SELECT * FROM a WHERE base) b LEFT JOIN (SELECT * FROM a WHERE NOT base) c ON b.identity = c.identity""")
 def benchmark_compare(log):
     base = F.col("o_orderdate").cast("timestamp") < F.to_timestamp(F.lit("1998-06-01"))
@@ -204,7 +204,7 @@ def benchmark_compare(log):
     pair = a.where("base").alias("b").join(a.where("not base").alias("c"), F.col("b.identity") == F.col("c.identity"), "left")
     gone = F.col("c.identity").isNull()
     t, p = metrics.percent_change(F.col("b.rate"), F.col("c.rate")), metrics.percent_change(F.col("b.p99"), F.col("c.p99"))
-    return pair.select(F.col("b.identity").alias("identity"), F.when(~gone, t).alias("throughput_change"), F.when(~gone, p).alias("p99_change"), F.when(gone, "missing").when((t < -15) | (p > 25), "regression").otherwise("ok").alias("status"))
+    return pair.select(F.col("b.identity").alias("identity"), F.when(~gone, F.round(t, 6)).alias("throughput_change"), F.when(~gone, F.round(p, 6)).alias("p99_change"), F.when(gone, "missing").when((t < -15) | (p > 25), "regression").otherwise("ok").alias("status"))
 
 
 @query("SELECT stream_id, seq, CAST((epoch_us(r.at) - epoch_us(ts)) * 1000 AS BIGINT) AS latency_ns FROM rec JOIN (SELECT stream_id, seq, manifest_seq FROM rel) USING (stream_id, seq) JOIN (SELECT append_order // 256 + 1 AS manifest_seq, max(ts) AS at FROM rec GROUP BY append_order // 256 + 1) r USING (manifest_seq)", "rec", "rel")

@@ -214,12 +214,12 @@ def maintenance_headroom(log):
     return root_state(log).select("streams", C.largest_manifest_group(F.col("most")).cast("long").alias("manifest_bytes"), headroom().cast("long").alias("headroom_bytes"))
 
 
-@query(f", {STATE} SELECT CAST(168 + 16 * streams + bytes AS BIGINT) AS actual_bytes, CAST(greatest(c - (168 + 16 * streams + bytes + {HEADROOM}), 0) AS BIGINT) AS admissible_bytes, c AS capacity_bytes, CASE WHEN c > 0 THEN CAST(168 + 16 * streams + bytes + {HEADROOM} AS DOUBLE) / c ELSE 0.0::DOUBLE END AS utilization FROM state, (SELECT unnest([0::BIGINT, 1000000::BIGINT, 4000000000::BIGINT]) AS c)", "rec", "rel", "segment")
+@query(f", {STATE} SELECT CAST(168 + 16 * streams + bytes AS BIGINT) AS actual_bytes, CAST(greatest(c - (168 + 16 * streams + bytes + {HEADROOM}), 0) AS BIGINT) AS admissible_bytes, c AS capacity_bytes, round(CASE WHEN c > 0 THEN CAST(168 + 16 * streams + bytes + {HEADROOM} AS DOUBLE) / c ELSE 0.0::DOUBLE END, 9) AS utilization FROM state, (SELECT unnest([0::BIGINT, 1000000::BIGINT, 4000000000::BIGINT]) AS c)", "rec", "rel", "segment")
 def capacity_utilization(log):
     rows = root_state(log).withColumn("c", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1_000_000, 4_000_000_000)))))
     actual = F.col("bytes") + C.ROOT + C.LOG_HEADER + 8 + C.checkpoint_base(F.col("streams"))
     weight = actual + headroom()
-    return rows.select(actual.alias("actual_bytes"), F.greatest(F.col("c") - weight, F.lit(0)).cast("long").alias("admissible_bytes"), F.col("c").alias("capacity_bytes"), F.when(F.col("c") > 0, weight.cast("double") / F.col("c")).otherwise(F.lit(0.0)).alias("utilization"))
+    return rows.select(actual.alias("actual_bytes"), F.greatest(F.col("c") - weight, F.lit(0)).cast("long").alias("admissible_bytes"), F.col("c").alias("capacity_bytes"), F.round(F.when(F.col("c") > 0, weight.cast("double") / F.col("c")).otherwise(F.lit(0.0)), 9).alias("utilization"))
 
 
 GROUPS = "g AS (SELECT epoch_id AS group_id, record_count AS n, encoded_bytes AS b, unnest([3000::BIGINT, 2500000::BIGINT, 5000000::BIGINT, 3000000000::BIGINT]) AS c FROM epoch)"
