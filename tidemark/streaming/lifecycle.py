@@ -9,10 +9,13 @@ restart from the checkpoint replays nothing that was committed.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "stream_id long, highwater long, pending_records long, pending_payload_bytes long, released long, ignored long, rejected long"
@@ -49,3 +52,21 @@ class StreamLog(StatefulProcessor):
 def log_state(commands: DataFrame) -> DataFrame:
     """The state of each touched stream after every micro-batch (update mode).  Needs the RocksDB state store."""
     return commands.groupBy("stream_id").transformWithStateInPandas(StreamLog(), OUTPUT, "Update", "None")
+
+
+def drain(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
+    """The final state after the batches of commands, one after the other, each drained and then restarted from the
+    checkpoint.  Source, checkpoint and sink are in the shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def keep(state: DataFrame, batch: int) -> None:
+        state.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
+
+    for commands in batches:
+        commands.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(commands.schema).parquet(f"{base}/in")
+        log_state(source).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(f"{OUTPUT}, batch long").parquet(f"{base}/out")
+    return out.groupBy("stream_id").agg(F.max_by(F.struct(*(c.split()[0] for c in OUTPUT.split(", ")[1:])), "batch").alias("s")).select("stream_id", "s.*")
