@@ -35,3 +35,13 @@ def minimum_weight(streams: Column, records: Column, segment_streams: Column, gr
     base = checkpoint_base(streams)
     actual = ROOT + base + LOG_HEADER + SEGMENT_HEADER + group
     return actual + base + SEGMENT_ENTRY + bitmap_bytes(records) + largest_manifest_group(segment_streams, max_release) + SEGMENT_FOOTER
+
+
+def expired(now: Column, created: Column, max_age: Column) -> Column:
+    """Whether a segment's age has reached its bound; a clock that went back makes it 0, not negative."""
+    return F.greatest(now - created, F.lit(0)) >= max_age
+
+
+def compacts(log_bytes: Column, weight: Column, total: Column) -> Column:
+    """Whether the manifest log is folded into a checkpoint; a null total is no bound."""
+    return (log_bytes >= COMPACT_AT) | F.coalesce(weight > total, F.lit(False))
