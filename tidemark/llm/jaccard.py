@@ -2,8 +2,9 @@
 
 1. Every text becomes the sorted set of its distinct n-gram hashes (64 bit).  Equal sets are one class.
 2. Candidates, exactly: two linked sets of a size class differ in at most k elements, so of any k + 1 parts of a
-   partition of the hash space one is the same in both.  A set emits a signature of each of its parts that are at
-   least as large as its (k+1)-th largest part, for its own size class and the next, which loses no pair.
+   partition of the hash space one is the same in both.  A part weighs as many rare elements as it has, by a sketch of
+   all counts; a set emits a signature of each of its parts that weigh at least as much as its (k+1)-th heaviest, for
+   its own size class and the next, which loses no pair and keeps common passages from tying documents together.
    Signatures travel packed, after each task has tied together its own equal ones, and only a star (member to
    smallest member) leaves a group of equal signatures: never all its pairs.
 3. Components of candidate stars are joined in tries.  Sets are ordered globally inside the group (frequent first, so
@@ -17,6 +18,7 @@ A threshold is ``num / den``: linked when den * |x & y| >= num * |x | y|.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, connected_components, materialise, mix, shingles, utf8, words_of
+from tidemark.llm.common import chunks, connected_components, fan_in, materialise, mix, shingles, utf8, words_of
 
 _ONE = np.uint64(1)
 
@@ -65,9 +67,21 @@ class Threshold:
         return (self.den - self.num) * 2 * top // (self.num + self.den)
 
 
-def signatures(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """Signatures of which two linked, different sets share at least one."""
+SKETCH_BITS = 22
+
+
+def slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def signatures(s: np.ndarray, t: Threshold, rare: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of which two linked, different sets share at least one.
+
+    ``rare`` tells by ``slot`` which elements count in a part's weight; without it all do.  Weights depend on a part's
+    content alone, so of any k + 1 heaviest parts the one that is the same in both sets is emitted by both.
+    """
     n, out = len(s), []
+    count = np.ones(n) if rare is None else rare[slot(s)].astype(float)
     own, tops = t.size_class(n)
     for c, top in zip((own, own + 1), tops):
         k = t.most_apart(top)
@@ -77,12 +91,11 @@ def signatures(s: np.ndarray, t: Threshold) -> np.ndarray:
         seed = mix(np.array([c + 1], np.uint64))[0]
         h = mix(s + seed)
         part = ((h >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
-        size = np.bincount(part, minlength=p)
+        weight = np.bincount(part, weights=count, minlength=p)
         low = np.bincount(part, weights=(h & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=p)
         g = mix(h ^ seed) >> np.uint64(32)
         high = np.bincount(part, weights=g.astype(np.float64), minlength=p)
-        least = np.partition(size, p - k - 1)[p - k - 1]
-        chosen = np.flatnonzero(size >= least)
+        chosen = np.flatnonzero(weight >= np.partition(weight, p - k - 1)[p - k - 1])
         sig = low[chosen].astype(np.uint64) ^ mix(high[chosen].astype(np.uint64) + mix(chosen.astype(np.uint64) + seed))
         out.append(mix(sig))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -103,7 +116,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _PACKED = "bucket int, sig binary, node binary, member binary, centre binary"
 
 
-def _emit_signatures(n: int, t: Threshold, buckets: int, hold: int = 2_000_000):
+def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 2_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, held, seen = [], [], 0, set()
 
@@ -131,7 +144,7 @@ def _emit_signatures(n: int, t: Threshold, buckets: int, hold: int = 2_000_000):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(me)  # only spares work
-                sig = signatures(s, t)
+                sig = signatures(s, t, sent.value)
                 if len(sig):
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), me, np.int64))
@@ -151,6 +164,47 @@ def _join_signatures(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([member, join("member", np.int64)]), "b": np.concatenate([centre, join("centre", np.int64)])})
 
 
+def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
+    """Which of 2^22 slots hold no frequent element: counts over all rows, summed in two levels, against their noise.
+
+    A fixed 4 MB whatever the input.  More input drowns the less frequent elements; that costs selectivity, no links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
+        for batch in batches:
+            for _, s in _sets(batch, n):
+                held.append(slot(s))
+                if len(held) >= 2000:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=len(total))
+        parts = 64
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "part int, counts binary"
+    lane = F.pmod(F.spark_partition_id(), F.lit(fan_in(rows.rdd.getNumPartitions())))
+    # each task sends 64 parts of its counters, so no task gathers all of them
+    sums = rows.mapInArrow(count, schema).withColumn("lane", lane).groupBy("part", "lane").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    got = sums.mapInArrow(_small, schema).collect()
+    if not got:
+        return np.ones(1 << SKETCH_BITS, bool)
+    counts = np.concatenate([np.frombuffer(r.counts, np.int32) for r in sorted(got, key=lambda r: r.part)])
+    noise = counts.mean()
+    return counts <= noise + 4 * noise**0.5 + 4
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [np.minimum(np.frombuffer(x, np.int64), 2**31 - 1).astype(np.int32).tobytes() for x in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(counts, pa.binary())], names=["part", "counts"])
+
+
 # ---------------------------------------------------------------- the trie
 
 class Trie:
@@ -246,6 +300,12 @@ class Trie:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+def parity(s: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """Bit j: whether an odd number of elements fall on j.  Where two differ, so do the sets: a bound, never a guess."""
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
 def trie_components(sets: list[np.ndarray], t: Threshold) -> np.ndarray:
     """Smallest position linked, over links, with each set (positions in ``sets``)."""
     m = len(sets)
@@ -260,6 +320,7 @@ def trie_components(sets: list[np.ndarray], t: Threshold) -> np.ndarray:
     order = sorted(range(m), key=lambda i: local[i].astype(">u4").tobytes())
     trie = Trie([local[i] for i in order])
     member = np.zeros(len(kinds), np.int8)
+    size, sketch = np.array([len(x) for x in local], np.int64), np.stack([parity(x) for x in sets])
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -267,15 +328,33 @@ def trie_components(sets: list[np.ndarray], t: Threshold) -> np.ndarray:
             i = root[i]
         return i
 
-    apart = m
-    for i in range(m):
-        if apart == 1:
+    # Links are symmetric: once all sets that have not probed are in one component, no link can be missing.  So the
+    # sets outside the largest component probe first, the set of middle size before all.
+    open_ = [int(np.argsort([len(x) for x in local], kind="stable")[m // 2])]
+    left = set(range(m))
+    while open_:
+        most = None
+        for k, i in enumerate(open_):
+            if most is not None and find(i) == most:
+                continue
+            left.discard(i)
+            # most sets of a loose component have no other within reach, which their sketches prove
+            far = np.bitwise_count(sketch ^ sketch[i]).sum(1, dtype=np.int64)
+            near = (far <= size + size[i] - 2 * t.need(size, size[i])) & (t.num * size <= t.den * size[i]) & (t.num * size[i] <= t.den * size)
+            if np.count_nonzero(near) < 2:  # itself
+                continue
+            for j in trie.probe(local[i], member, t).tolist():
+                a, b = find(i), find(order[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            if k % 64 == 0:
+                most = Counter(map(find, left)).most_common(1)[0][0] if left else None
+            elif most is not None:
+                most = find(most)
+        if not left:
             break
-        for j in trie.probe(local[i], member, t).tolist():
-            a, b = find(i), find(order[j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                apart -= 1
+        most = Counter(map(find, left)).most_common(1)[0][0]
+        open_ = [i for i in sorted(left) if find(i) != most]
     return np.array([find(i) for i in range(m)])
 
 
@@ -359,7 +438,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     apart = 2 * (den - num) / (den + num) * den / num
     buckets = int(np.clip(np.ceil(2 * apart * total / task_signatures), 1, 1 << 22))
-    packed = rows.mapInArrow(_emit_signatures(n, t, buckets), _PACKED)
+    sent = spark.sparkContext.broadcast(rare_slots(rows.select("text"), n))
+    packed = rows.mapInArrow(_emit_signatures(n, t, buckets, sent), _PACKED)
     stars = packed.groupBy("bucket").applyInArrow(_join_signatures, "a long, b long").distinct()
     candidates = materialise(connected_components(stars), "candidates")
 
