@@ -60,6 +60,27 @@ def test_attention_sums_to_one_and_learns():
     assert after.sum() > 0.3 * before and (after[99::100] == 0).all()
 
 
+def test_scoring_is_the_forward_pass():
+    model = lm.Attention(np.arange(1.0, 13.0))
+    rng = np.random.default_rng(3)
+    ids, text = rng.integers(0, 12, 700), np.repeat(np.arange(7), [1, 40, 300, 16, 15, 17, 311])
+    x, keys, allowed, target, counted = model.windows(model.local[ids], text)
+    want = model.forward(x, keys, allowed, target, model.chances())[-1].ravel()[:700]
+    got = model.foretold(model.local[ids], text, model.chances(), 3)
+    assert np.allclose(got[counted.ravel()[:700]], want[counted.ravel()[:700]], rtol=1e-4)
+
+
+def test_spans_foretell_only_what_the_text_has():
+    table = lm._table(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [" ".join(f"w{i}" for i in range(400)), "", None, "one two", "x" * 3000]
+    ids, text = lm._spans(table, texts, 4)
+    end = table.end[0]
+    whole, owner, *_ = lm._flat(table, texts)
+    assert (ids == end).sum() == 5 + 4 and [int((text == i).sum()) for i in (1, 2, 3)] == [2, 2, int((owner == 3).sum())]
+    long = lambda a, t: a[t == 0].tolist()
+    assert str(long(ids, text))[1:-1] in str(long(whole, owner)) and len(long(ids, text)) > 100
+
+
 def test_attention_gradients():
     model = lm.Attention(np.arange(1.0, 13.0))
     rng = np.random.default_rng(2)
@@ -280,3 +301,23 @@ def test_pipeline(spark, sf):
     assert Counter(d.doc_id for d in once) == Counter(i for i, _, c in groups if i == c)
     packed = pipe.run(spark, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {d.doc_id for d in once}
+
+
+# ------------------------------------------------ registration
+
+def test_registered_and_like_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    names, sql, sf = entry.queries(), entry.oracle_sql(), "/root/testdata/sf0.001"
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in [n for n in sql if n.startswith("op")]:
+        got, want = names[name](spark, sf), con.sql(sql[name])
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
+        assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(tuple(r[c] for c in columns) for r in rows), name

@@ -13,14 +13,16 @@ The probability of a word is the attention's, interpolated with the corpus: a wo
 has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
 
 Learning.  Counts of words and ids cover all training texts.  The weights start on a bounded sample
-(``start_texts``), then every training text takes part: each task trains from the common weights on every
-``share``-th window of its texts, and the weights are averaged by trained positions, in two levels.
+(``start_texts``, read again until ``start_positions`` are trained), then every training text takes part: each task
+trains from the common weights on a span of each of its texts, a ``share``-th of it, and the weights are averaged by
+trained positions, in two levels.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +35,8 @@ from tidemark.llm.common import fan_in, materialise
 from tidemark.llm.language import fold
 from tidemark.llm.tokens import WordTable, slices
 
-STRIDE, KEY, STATE, MIX, TOP = 16, 16, 32, 64, 2047
-SHARE = 0.7
+STRIDE, KEY, STATE, MIX, TOP = 16, 16, 32, 48, 2047
+SHARE = 0.8
 _TABLES: dict[str, WordTable] = {}
 
 
@@ -48,8 +50,18 @@ class Subwords:
         self.size = max(ranks.values()) + 2  # the last is the end
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        return [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        self.starts = np.zeros(self.size, bool)
+        self.starts[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has); a space begins each word's first id and no other."""
+        text = [" " + w.decode("utf-8", "replace") for w in words]
+        ids = np.array(self.encoding.encode_ordinary("".join(text)), np.int32)
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) != len(words):  # a word with unusual space in it
+            each = [self.encoding.encode_ordinary(t) for t in text]
+            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each])
+        return ids, np.diff(first, append=len(ids))
 
 
 def _table(path: str, pattern: str) -> WordTable:
@@ -134,17 +146,54 @@ class Attention:
         g = np.exp(g)
         return g / g.sum(0)
 
-    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 512) -> np.ndarray:
-        """Natural log probability / ln 10 of the id after each position; 0 where a text ends."""
-        local = self.local[ids]
-        x, keys, allowed, target, counted = self.windows(local, text)
-        out = np.empty(x.shape, np.float32)
-        for i in range(0, len(x), block):
-            s = slice(i, i + block)
-            out[s] = self.forward(x[s], keys[s], allowed[s], target[s], chance)[-1]
-        np.log(np.maximum(out, 1e-30), out=out)
-        out = (out * counted).ravel()[: len(ids)].astype(np.float64)
-        out[:-1] += self.inner[ids[1:]] * counted.ravel()[: len(ids) - 1]
+    def foretold(self, local: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 256) -> np.ndarray:
+        """Probability of the id after each position, as ``forward`` has it, with one gather of keys for all windows.
+
+        Windows without a text's border need no mask but the causal one, which is in the bias.
+        """
+        p, n = self.p, -(-len(local) // STRIDE) * STRIDE
+        x, t = np.zeros(n + STRIDE, np.int32), np.full(n + STRIDE, -1, np.int64)
+        x[STRIDE : STRIDE + len(local)], t[STRIDE : STRIDE + len(text)] = local, text
+        t[:STRIDE] = -2
+        target = np.append(x[STRIDE + 1 :], 0)
+        bias = np.where(self.causal, p["r"][self.distance], np.float32(-1e9)).astype(np.float32)
+        q, ones, each = (p["q"] * np.float32(KEY**-0.5)), np.ones(2 * STRIDE, np.float32), np.ones(MIX, np.float32)
+        # exponents that the weights themselves bound need no clipping
+        size = lambda a: float(np.sqrt((a * a).sum(1).max()))
+        clip_a = size(q) * size(p["k"]) + float(np.abs(p["r"]).max()) > 40
+        clip_mix = float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60
+        out = np.empty(n, np.float32)
+        for i in range(0, n, block * STRIDE):
+            m = min(block * STRIDE, n - i)
+            own, around = x[i + STRIDE : i + STRIDE + m], x[i : i + m + STRIDE]
+            view = lambda a: np.lib.stride_tricks.as_strided(a, (m // STRIDE, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))  # noqa: E731, B023
+            a = q.take(own, 0).reshape(-1, STRIDE, KEY) @ view(p["k"].take(around, 0)).transpose(0, 2, 1)
+            a += bias
+            if clip_a:
+                np.minimum(a, 40, out=a)
+            np.exp(a, out=a)
+            tw = t[i : i + m + STRIDE]
+            for w in np.flatnonzero(tw[: m : STRIDE] != tw[2 * STRIDE - 1 :: STRIDE][: m // STRIDE]):
+                span = tw[w * STRIDE : (w + 2) * STRIDE]
+                a[w] *= span[STRIDE:, None] == span[None]
+            state = (a @ view(p["v"].take(around, 0))).reshape(m, STATE)
+            state /= (a.reshape(m, 2 * STRIDE) @ ones)[:, None]
+            state += p["h"].take(own, 0)
+            np.tanh(state, out=state)
+            mix = state @ p["w"]
+            mix += p["b"]
+            if clip_mix:
+                np.minimum(mix, 60, out=mix)
+            np.exp(mix, out=mix)
+            out[i : i + m] = np.einsum("ij,ij->i", mix, chance.take(target[i : i + m], 0)) / (mix @ each)
+        return out[: len(local)]
+
+    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        """log10 probability of the id after each position; 0 where a text ends."""
+        out = np.log(np.maximum(self.foretold(self.local[ids], text, chance), 1e-30)).astype(np.float64)
+        out[:-1] += self.inner[ids[1:]]
+        out[:-1] *= text[1:] == text[:-1]
+        out[-1:] = 0
         return out / np.log(10)
 
     def learn(self, x: np.ndarray, keys: np.ndarray, allowed: np.ndarray, target: np.ndarray, counted: np.ndarray, rate: float) -> float:
@@ -202,28 +251,51 @@ def _flat(table: WordTable, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return np.insert(ids, np.cumsum(size) - size, table.end[0]), np.repeat(np.arange(len(texts)), size + 1), where, n, words
 
 
-def _batches(model: Attention, table: WordTable, texts: list[str | None], share: int, phase: int, size: int):
-    """Every ``share``-th window of a run of texts, in batches of ``size`` windows."""
-    ids, text, *_ = _flat(table, texts)
+def _spans(table: WordTable, texts: list[str | None], share: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, text of each) of a span of each text: a ``share``-th of its words, ``least`` at least, from a place drawn
+    by its bytes.  An end stands before and after a span only where the text has one; elsewhere nothing is foretold.
+    """
+    words, number, begins = [], [], []
+    for i, b in enumerate(lowered(texts)):
+        own = b.split()
+        n = max(least, -(-len(own) // share))
+        at = zlib.crc32(b[:256]) % max(1, len(own) - n + 1)
+        part = own[at : at + n]
+        if at + n >= len(own):
+            part.append(b"")
+        words += part
+        number += [i] * len(part)
+        begins.append(at == 0)
+    where = table.lookup(words)
+    n = table.first[where + 1] - table.first[where]
+    take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - table.first[where], n)
+    text = np.repeat(np.array(number, np.int64), n)
+    first = np.searchsorted(text, np.arange(len(texts)))
+    return np.insert(table.flat[take], first, table.end[0]), np.insert(text, first, np.where(begins, np.arange(len(texts)), -1))
+
+
+def _batches(model: Attention, table: WordTable, texts: list[str | None], share: int, size: int):
+    """Windows of spans of a run of texts, in batches of ``size``."""
+    ids, text = _spans(table, texts, share)
     parts = model.windows(model.local[ids], text)
-    kept = np.arange(phase % share, len(parts[0]), share)
-    for i in range(0, len(kept), size):
-        yield tuple(a[kept[i : i + size]] for a in parts)
+    for i in range(0, len(parts[0]), size):
+        yield tuple(a[i : i + size] for a in parts)
 
 
-def _trainer(state: bytes, path: str, pattern: str, share: int, rate: float, epochs: int = 1, windows: int = 128):
+def _trainer(state: bytes, path: str, pattern: str, share: int, rate: float, least: int = 0, windows: int = 128):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, seen = pickle.loads(state), _table(path, pattern), 0
-        phase = 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for e in range(epochs):
+            while True:
+                before = seen
                 for i, j in slices(texts, 1 << 19):
-                    phase += 1
-                    for b in _batches(model, table, texts[i:j], share, phase, windows):
+                    for b in _batches(model, table, texts[i:j], share, windows):
                         seen += int(b[-1].sum())
                         # the rate falls as 1 / sqrt of the steps so far
                         model.learn(*b, rate / (1 + model.step / 200) ** 0.5)
+                if seen >= least or seen == before:
+                    break
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
 
@@ -286,13 +358,13 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(sub.size, np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 4_000, epochs: int = 3, share: int = 32, rate: float = 0.015) -> Attention:
+def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, share: int = 32, rate: float = 0.015) -> Attention:
     """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper."""
     model = Attention(id_counts(counts, path, pattern))
     texts = docs.select(F.col("text").cast("string").alias("text"))
     schema = "weights binary, seen long"
     sample = texts.where("octet_length(text) < 100000").limit(start_texts).repartition(1)
-    got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate, epochs), schema).collect()
+    got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate, start_positions), schema).collect()
     if not got:
         return model
     model.put(np.frombuffer(got[0].weights, np.float32))

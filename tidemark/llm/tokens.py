@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -12,7 +12,7 @@ import numpy as np
 class WordTable:
     """ids of words as one flat array; forgets everything beyond ``limit`` words (that costs time, never results)."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], end: list[int], limit: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], end: list[int], limit: int = 500_000):
         self.encode_words, self.end, self.limit = encode, end, limit
         self.reset()
 
@@ -25,16 +25,15 @@ class WordTable:
         self.first[1] = len(self.end)
 
     def _learn(self, words: list[bytes]) -> None:
-        words = list(dict.fromkeys(w for w in words if w not in self.index))
-        made = self.encode_words(words)
+        words = list(dict.fromkeys(words))
+        ids, size = self.encode_words(words)
         n, at = len(self.index), int(self.first[len(self.index)])
-        ids = np.fromiter((i for x in made for i in x), np.int32)
         while at + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) + 1 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.flat[at : at + len(ids)] = ids
-        self.first[n + 1 : n + 1 + len(words)] = at + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
+        self.first[n + 1 : n + 1 + len(words)] = at + np.cumsum(size)
         self.index.update(zip(words, range(n, n + len(words))))
         self.names += words
 
@@ -92,7 +91,7 @@ class WordBpe:
 
     _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|#*$%&<>()\"=/+_-]*)")
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -111,13 +110,22 @@ class WordBpe:
             got = self.pieces[s] = [t.id for t in self.model.tokenize(mapped)]
         return got
 
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        out = []
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, how many each has)."""
+        out, pieces, plain = [], self.pieces, self._PLAIN.fullmatch
         for w in words:
             s = w.decode("utf-8", "replace")
-            m = self._PLAIN.fullmatch(s)
+            m = plain(s)
             if m and "<|" not in s:
-                out.append(self._piece(m[1].lower()) + self._piece(m[2]))
+                word, mark = m.groups()
+                word = word.lower()
+                ids = pieces.get(word)
+                if ids is None:
+                    ids = self._piece(word)
+                    pieces = self.pieces
+                if mark:
+                    ids = ids + (pieces.get(mark) or self._piece(mark))
+                out.append(ids)
             else:
                 out.append(self.whole.encode(s, add_special_tokens=False).ids)
-        return out
+        return np.fromiter(chain.from_iterable(out), np.int32), np.fromiter(map(len, out), np.int64, len(out))
