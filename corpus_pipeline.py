@@ -41,8 +41,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id."""
-    rows = materialise(docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    """One row of each group of near duplicates: that of the smallest doc_id.
+
+    Rows are told apart by their place in ``docs``, which must be a table that is read the same each time, as what a
+    stage has written is.
+    """
+    rows = docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id())
     groups = jaccard_components(rows.select(F.col("uid").alias("doc_id"), "text"), WORDS, NUM, DEN).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("component"))
     first = rows.select("uid", "doc_id").join(groups, "uid").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
     return rows.join(first, "uid", "left_semi").select(*COLUMNS)

@@ -181,16 +181,21 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
         if held:
             total += np.bincount(np.concatenate(held), minlength=len(total))
         parts = 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())], names=["part", "counts"])
+        # a task's own counts are small: half the bytes to shuffle
+        few = np.minimum(total, 2**31 - 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(few, parts)], pa.binary())], names=["part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(kind: type) -> object:
+        def run(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x, kind).astype(np.int64) for x in table.column("counts").to_pylist())
+            return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+        return run
 
     schema = "part int, counts binary"
     lane = F.pmod(F.spark_partition_id(), F.lit(fan_in(rows.rdd.getNumPartitions())))
     # each task sends 64 parts of its counters, so no task gathers all of them
-    sums = rows.mapInArrow(count, schema).withColumn("lane", lane).groupBy("part", "lane").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    sums = rows.mapInArrow(count, schema).withColumn("lane", lane).groupBy("part", "lane").applyInArrow(add(np.int32), schema).groupBy("part").applyInArrow(add(np.int64), schema)
     got = sums.mapInArrow(_small, schema).collect()
     if not got:
         return np.ones(1 << SKETCH_BITS, bool)
