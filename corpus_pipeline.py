@@ -13,7 +13,7 @@ from tidemark.llm.common import materialise
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.language import predict, train
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.quality import quality
+from tidemark.llm.quality import clean
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less certain than this is rejected, as is one without a letter.
@@ -26,10 +26,8 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and are not depleted when the boilerplate lines of their host are removed."""
-    out = quality(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_id").alias("__text")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__host")) & (F.xxhash64("text") == F.col("__text"))
-    return docs.select(*COLUMNS).join(out, same, "left_anti")
+    """Rows that pass the base rules and are not depleted, without the boilerplate lines of their host."""
+    return clean(docs.select(*COLUMNS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
