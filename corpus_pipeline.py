@@ -18,6 +18,8 @@ from tidemark.llm.quality import clean
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose language is less certain than this is rejected, as is one without a letter.
 LANGUAGE_SCORE = 0.5
+#: Texts of a host a line may stand in however small the host is; beyond, the share of the host's texts decides.
+MIN_DOCS = 5
 #: Near duplicates share four fifths of their five-word shingles.
 WORDS, NUM, DEN = 5, 4, 5
 
@@ -27,7 +29,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and are not depleted, without the boilerplate lines of their host."""
-    return clean(docs.select(*COLUMNS))
+    return clean(docs.select(*COLUMNS), min_docs=MIN_DOCS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,18 +80,23 @@ def test_quality_removes_frequent_lines(spark):
     assert all(by[100 + i].n_removed_words == 0 for i in range(50))
 
 
+def letters(i):
+    """Numbers differ by their letters; digits all count as 0 in a line."""
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
 def test_cleaned_texts_are_handed_on(spark, sf):
     import corpus_pipeline as pipe
 
     line = "Subscribe to  our newsletter 12 é"
-    body = lambda i: " ".join(f"u{i}x{j}" for j in range(90))
-    rows = [(i, f"{line.upper() if i % 2 else line}\n\nhead {i}q\n{line.replace('12', '99')}\n{body(i)}\n", "en", "a", 7) for i in range(120)]
+    body = lambda i: " ".join(f"u{letters(i)}x{letters(j)}" for j in range(90))
+    rows = [(i, f"{line.upper() if i == 3 else line}\n\nhead {letters(i)}q\n{line.replace('12', '99')}\n{body(i)}\n", "en", "a", 7) for i in range(120)]
     rows += [(500, "\n".join([line] * 30) + "\n" + body(500)[:300], "en", "a", 1), (501, f"{line}\n{body(501)}", "en", "b", 1), (502, f"{body(502)}\n{line}", "en", None, 1), (500, f"{body(9)}x", "en", "a", 1), (503, "few", "en", "a", 1)]
     docs = spark.createDataFrame(rows, DOCS)
     docs = docs.union(docs.where("doc_id = 3"))  # a repeated row
     got = pipe.quality_rules(spark, docs, sf).collect()
-    # É is no A-Z and is not lowered, so the upper-case line is another: it stands in 60 texts and stays
-    cleaned = {i: (f"{line.upper()}\n" if i % 2 else "") + f"\nhead {i}q\n{body(i)}\n" for i in range(120)}
+    # É is no A-Z and is not lowered, so the upper-case line is another and stays
+    cleaned = {i: (f"{line.upper()}\n" if i == 3 else "") + f"\nhead {letters(i)}q\n{body(i)}\n" for i in range(120)}
     want = Counter((i, t, len(t)) for i, t in [*cleaned.items(), (3, cleaned[3])])
     want.update([(501, rows[121][1], 1), (502, rows[122][1], 1), (500, rows[123][1], 1)])
     assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == want
@@ -103,6 +108,17 @@ def test_cleaned_texts_are_handed_on(spark, sf):
     assert [r.kept for k, r in counts.items() if k[0] in (500, 503)].count(False) == 2
 
 
+def test_small_hosts_lose_frequent_lines_too(spark, sf):
+    import corpus_pipeline as pipe
+
+    sizes = {"tiny": 12, "small": 60, "large": 500}
+    line = "all rights reserved by the host"
+    rows = [(1000 * k + i, (f"{line}\n" if i < 10 else "") + " ".join(f"{h}{letters(i)}x{letters(j)}" for j in range(60)), "en", h, 1) for k, (h, n) in enumerate(sizes.items()) for i in range(n)]
+    rows += [(9000 + i, f"{line}\n" + " ".join(f"few{letters(i)}x{letters(j)}" for j in range(60)), "en", "chance", 1) for i in range(5)]  # no more than chance
+    got = pipe.quality_rules(spark, spark.createDataFrame(rows, DOCS), sf).collect()
+    assert len(got) == len(rows) and Counter(r.source for r in got if line in r.text) == {"chance": 5}
+
+
 def brute(docs, n, num, den):
     def shingles(text):
         words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
