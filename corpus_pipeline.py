@@ -16,8 +16,9 @@ from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import clean
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose language is less certain than this is rejected, as is one without a letter.
-LANGUAGE_SCORE = 0.5
+#: Nats a position (a bigram and a trigram): a document is rejected whose best language is less than MARGIN above the
+#: next or whose text is more than FIT below that language's own, and so is one without a letter.
+MARGIN, FIT = 2.0, -5.0
 #: Texts of a host a line may stand in however small the host is; beyond, the share of the host's texts decides.
 MIN_DOCS = 5
 #: Near duplicates share four fifths of their five-word shingles.
@@ -33,11 +34,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is certain; learned from all rows that state one.  Nothing goes where none does."""
+    """Rows whose language is certain and is the one they state, if any; learned from all rows that state one.
+
+    Nothing goes where none does.
+    """
     model = train(docs)
     if not model.langs:
         return docs.select(*COLUMNS)
-    return predict(docs.select(*COLUMNS), model).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
+    certain = (F.col("lang_pred") != "und") & (F.col("margin") >= MARGIN) & (F.col("fit") >= FIT)
+    stated = F.coalesce(F.col("lang_pred") == F.col("lang"), F.lit(True))
+    return predict(docs.select(*COLUMNS), model, measures=True).where(certain & stated).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,6 +303,25 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {d.doc_id for d in once}
 
 
+def test_language_stage_rejects_what_is_not_of_its_language(spark, sf):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(8)
+    docs = [d for d in spark.read.parquet(f"{sf}/documents.parquet").select(*pipe.COLUMNS).collect() if len((d.text or "").split()) >= 50]
+    clean = {d.doc_id for d in pipe.language_id(spark, spark.createDataFrame(docs, DOCS), sf).collect()}
+    assert clean == {d.doc_id for d in docs}
+    by = defaultdict(list)
+    for d in docs:
+        by[d.lang].append(d.text.split())
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa " * 4
+    half = lambda a, b: " ".join(x for pair in zip(max(by[a], key=len)[:300], max(by[b], key=len)[:300]) for x in pair)
+    bad = [(-1, " ".join(letters() for _ in range(200)), "en", "a", 1), (-2, polish, None, "a", 1), (-3, half("en", "de"), "en", "a", 1), (-4, half("fr", "es"), None, "a", 1), (-5, " ".join(max(by["de"], key=len)[:300]), "fr", "a", 1)]
+    good = [(-6, " ".join(max(by["de"], key=len)[:300]), None, "a", 1), (-7, " ".join(max(by["es"], key=len)[:60]), "es", "a", 1)]
+    got = pipe.language_id(spark, spark.createDataFrame([*map(tuple, docs), *bad, *good], DOCS), sf).collect()
+    assert Counter(d.doc_id for d in got) == Counter([*clean, -6, -7])
+
+
 # ------------------------------------------------ registration
 
 def test_registered_and_like_their_sql(spark):

@@ -92,22 +92,33 @@ class Model:
         self.logp = [np.log((c + alpha) / (c.sum() + alpha * len(c))).astype(np.float32) for c in counts]
         docs = np.array([r.docs for r in rows], float)
         self.prior = np.log(docs / docs.sum()) if len(rows) else docs
+        #: what a position (a bigram and a trigram) of a language's own texts has on average
+        self.own = np.array([2 * float((np.exp(p.astype(float)) * p).sum()) for p in self.logp])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores, and what does not grow with a text's length: ``fit``, the log probability a position in
+        the language above that of its own texts, and ``margin``, that above the next language (inf without one).
+        """
         two, three, start, stop = grams(texts)
         has = stop > start
         lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        fit, margin = np.full(len(texts), -np.inf), np.zeros(len(texts))
         if self.langs and has.any():
             cuts = np.stack([start[has], stop[has]], 1).ravel()
             total = np.empty((int(has.sum()), len(self.langs)))
+            size = (stop - start)[has]
             for k, p in enumerate(self.logp):
                 both = np.add.reduceat(p[two].astype(np.float64) + p[three], cuts)[::2]
                 total[:, k] = both + self.prior[k]
+            each = (total - self.prior) / size[:, None]
             best = total.argmax(1)
             odds = np.exp(total - total.max(1, keepdims=True))
             lang[has] = np.array(self.langs, object)[best]
             score[has] = odds.max(1) / odds.sum(1)
-        return lang.tolist(), score
+            top = each[np.arange(len(each)), best]
+            each[np.arange(len(each)), best] = -np.inf
+            fit[has], margin[has] = top - self.own[best], top - each.max(1)
+        return lang.tolist(), score, fit, margin
 
 
 def train(docs: DataFrame, alpha: float = 0.1) -> Model:
@@ -118,25 +129,27 @@ def train(docs: DataFrame, alpha: float = 0.1) -> Model:
     return Model(part.groupBy("lang", "lane").applyInArrow(_sum, schema).groupBy("lang").applyInArrow(_sum, schema).collect(), alpha)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if none are named; ``text`` must be there) and lang_pred, score.
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, measures: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if none are named; ``text`` must be there) and lang_pred, score; with
+    ``measures`` also fit and margin.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is every text if no language was learned.
-    Columns of those two names are replaced.
+    Columns of those names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
+    made = ["lang_pred", "score", "fit", "margin"][: 4 if measures else 2]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
     keep = keep or docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for i, j in slices(texts):
-                lang, score = sent.value.predict(texts[i:j])
+                lang, *numbers = sent.value.predict(texts[i:j])
                 own = [batch.column(c).slice(i, j - i) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lang, pa.string()), *map(pa.array, numbers[: len(made) - 1])], names=[*keep, *made])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in made[1:])])
     return docs.mapInArrow(run, schema)
 
 
