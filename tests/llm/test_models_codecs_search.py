@@ -81,6 +81,13 @@ def test_spans_foretell_only_what_the_text_has():
     assert str(long(ids, text))[1:-1] in str(long(whole, owner)) and len(long(ids, text)) > 100
 
 
+def test_all_positions_are_trained(spark):
+    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(n)),) for i, n in enumerate([3000, 700, 1, 0, 1200])] + [(None,)], "text string")
+    counts = lm.word_counts(docs)
+    assert lm.train(docs, counts, *args, start_positions=1000).trained == lm.id_counts(counts, *args).sum() > 4900
+
+
 def test_attention_gradients():
     model = lm.Attention(np.arange(1.0, 13.0))
     rng = np.random.default_rng(2)

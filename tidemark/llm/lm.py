@@ -13,9 +13,9 @@ The probability of a word is the attention's, interpolated with the corpus: a wo
 has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
 
 Learning.  Counts of words and ids cover all training texts.  The weights start on a bounded sample
-(``start_texts``, read again until ``start_positions`` are trained), then every training text takes part: each task
-trains from the common weights on a span of each of its texts, a ``share``-th of it, and the weights are averaged by
-trained positions, in two levels.
+(``start_texts``, read again until ``start_positions`` are trained), then every position of every training text takes
+part: each task trains from the common weights on all windows of its texts, and the weights are averaged by trained
+positions, in two levels.
 """
 
 from __future__ import annotations
@@ -358,9 +358,13 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(sub.size, np.int64)
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, share: int = 32, rate: float = 0.015) -> Attention:
-    """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper."""
+def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, rate: float = 0.015) -> Attention:
+    """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper.
+
+    ``trained`` is the number of positions in the pass over all texts.
+    """
     model = Attention(id_counts(counts, path, pattern))
+    model.trained = 0
     texts = docs.select(F.col("text").cast("string").alias("text"))
     schema = "weights binary, seen long"
     sample = texts.where("octet_length(text) < 100000").limit(start_texts).repartition(1)
@@ -369,10 +373,11 @@ def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_tex
         return model
     model.put(np.frombuffer(got[0].weights, np.float32))
     model.step, model.m1, model.m2 = 0, {}, {}
-    part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, share, rate * 0.2, windows=256), schema)
+    part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate * 0.2, windows=256), schema)
     part = part.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(texts.rdd.getNumPartitions()))))
     got = part.groupBy("lane").applyInArrow(_average, schema).groupBy(F.lit("all")).applyInArrow(_average, schema).collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
+    model.trained = got[0].seen
     return model
 
 
