@@ -88,6 +88,18 @@ def test_all_positions_are_trained(spark):
     assert lm.train(docs, counts, *args, start_positions=1000).trained == lm.id_counts(counts, *args).sum() > 4900
 
 
+def test_long_texts_train_and_start(spark):
+    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(30_000)),) for i in (1, 2)], "text string")
+    counts = lm.word_counts(docs)
+    model = lm.train(docs, counts, *args, start_positions=1000)
+    assert model.trained == lm.id_counts(counts, *args).sum() > 60_000
+    assert [len(r.text) for r in lm.start_pieces(docs, 2, 3000).collect()] == [20_000] * 2
+    rows = spark.range(0, 8000, 1, 8).selectExpr("concat(if(id < 4000, 'a', 'b'), id) text")
+    got = [r.text for r in lm.start_pieces(rows, 8000, 800).collect()]
+    assert 600 < len(got) < 1000 and min(sum(t[0] == c for t in got) for c in "ab") > 250
+
+
 def test_attention_gradients():
     model = lm.Attention(np.arange(1.0, 13.0))
     rng = np.random.default_rng(2)

@@ -13,7 +13,7 @@ The probability of a word is the attention's, interpolated with the corpus: a wo
 has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
 
 Learning.  Counts of words and ids cover all training texts.  The weights start on a bounded sample
-(``start_texts``, read again until ``start_positions`` are trained), then every position of every training text takes
+(pieces of about ``start_texts`` rows drawn by hash, read again until ``start_positions`` are trained), then every position of every training text takes
 part: each task trains from the common weights on all windows of its texts, and the weights are averaged by trained
 positions, in two levels.
 """
@@ -358,6 +358,15 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(sub.size, np.int64)
 
 
+def start_pieces(texts: DataFrame, n: int, start_texts: int, size: int = 20_000) -> DataFrame:
+    """About ``start_texts`` of the ``n`` rows, all if there are no more, and a piece of ``size`` characters of each."""
+    h = F.xxhash64("text", F.monotonically_increasing_id())
+    rows = texts.withColumn("h", h)
+    rows = rows.where(F.pmod("h", F.lit(n)) < start_texts) if n > start_texts else rows
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
+    return rows.select(F.col("text").substr(at.cast("int"), F.lit(size)).alias("text"))
+
+
 def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, rate: float = 0.015) -> Attention:
     """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper.
 
@@ -367,11 +376,13 @@ def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_tex
     model.trained = 0
     texts = docs.select(F.col("text").cast("string").alias("text"))
     schema = "weights binary, seen long"
-    sample = texts.where("octet_length(text) < 100000").limit(start_texts).repartition(1)
+    n = counts.where("octet_length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # each text has one end
+    sample = start_pieces(texts, n, start_texts).repartition(1)
     got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate, start_positions), schema).collect()
-    if not got:
+    if not n:
         return model
-    model.put(np.frombuffer(got[0].weights, np.float32))
+    if got:
+        model.put(np.frombuffer(got[0].weights, np.float32))
     model.step, model.m1, model.m2 = 0, {}, {}
     part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate * 0.2, windows=256), schema)
     part = part.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(texts.rdd.getNumPartitions()))))
