@@ -68,6 +68,8 @@ class Threshold:
 
 
 SKETCH_BITS = 22
+#: Sets a task remembers as done; others are only done again.
+SEEN = 200_000
 
 
 def slot(s: np.ndarray) -> np.ndarray:
@@ -107,16 +109,21 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     sig, node = sig[order], node[order]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
-    centre = node[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else node
-    apart = node != centre
-    pairs = np.unique(np.stack([node[apart], centre[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-    return sig[first], node[first], pairs[:, 0], pairs[:, 1]
+    at = np.flatnonzero(first)
+    centre = np.repeat(node[at], np.diff(at, append=len(sig)))
+    apart = np.flatnonzero(node != centre)
+    member, centre = node[apart], centre[apart]
+    order = np.lexsort((centre, member))
+    member, centre = member[order], centre[order]
+    fresh = np.ones(len(member), bool)
+    fresh[1:] = (member[1:] != member[:-1]) | (centre[1:] != centre[:-1])
+    return sig[at], node[at], member[fresh], centre[fresh]
 
 
 _PACKED = "bucket int, sig binary, node binary, member binary, centre binary"
 
 
-def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 2_000_000):
+def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, held, seen = [], [], 0, set()
 
@@ -142,7 +149,7 @@ def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 2_000
                 me = set_id(s)
                 if not me or me in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < SEEN:
                     seen.add(me)  # only spares work
                 sig = signatures(s, t, sent.value)
                 if len(sig):
@@ -185,9 +192,10 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
         few = np.minimum(total, 2**31 - 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in np.split(few, parts)], pa.binary())], names=["part", "counts"])
 
-    def add(kind: type) -> object:
+    def add(kind: type, to: type) -> object:
         def run(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(x, kind).astype(np.int64) for x in table.column("counts").to_pylist())
+            total = np.minimum(total, np.iinfo(to).max).astype(to)
             return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
         return run
@@ -195,8 +203,8 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
     schema = "part int, counts binary"
     lane = F.pmod(F.spark_partition_id(), F.lit(fan_in(rows.rdd.getNumPartitions())))
     # each task sends 64 parts of its counters, so no task gathers all of them
-    sums = rows.mapInArrow(count, schema).withColumn("lane", lane).groupBy("part", "lane").applyInArrow(add(np.int32), schema).groupBy("part").applyInArrow(add(np.int64), schema)
-    got = sums.mapInArrow(_small, schema).collect()
+    sums = rows.mapInArrow(count, schema).withColumn("lane", lane).groupBy("part", "lane").applyInArrow(add(np.int32, np.int64), schema).groupBy("part").applyInArrow(add(np.int64, np.int32), schema)
+    got = sums.collect()
     if not got:
         return np.ones(1 << SKETCH_BITS, bool)
     counts = np.concatenate([np.frombuffer(r.counts, np.int32) for r in sorted(got, key=lambda r: r.part)])
@@ -204,12 +212,6 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
     return counts <= noise + 4 * noise**0.5 + 4
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [np.minimum(np.frombuffer(x, np.int64), 2**31 - 1).astype(np.int32).tobytes() for x in batch.column("counts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(counts, pa.binary())], names=["part", "counts"])
-
-
 # ---------------------------------------------------------------- the trie
 
 class Trie:
@@ -411,7 +413,7 @@ def _grams_of(n: int, bits) -> object:
             for _, s in _sets(batch, n):
                 me = set_id(s)
                 if me and me not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < SEEN:
                         seen.add(me)
                     node.append(me)
                     grams.append(s.tobytes())
