@@ -18,25 +18,39 @@ def percent_change(base: Column, now: Column) -> Column:
     return F.when(base == 0, F.lit(0.0)).otherwise((now - base) / base * 100.0)
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """{name: quantile} as the value of rank ceil((n - 1) q) from 0, exactly, with n counted first.
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column], shift: int = 20) -> DataFrame:
+    """{name: value at a rank} per key; a rank is a column of ``n``, the key's rows, and counts from 0.
 
-    Distinct values are counted before they are ordered, so a key's window holds one row per distinct value.
+    Two levels, so that no window holds all distinct values of a key: counts of the high bits find the cell of 2^shift
+    values in which each rank lies, and only the values of those cells are ordered.  ``value`` is an integer; nulls
+    are left out.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("__c").over(Window.partitionBy(*by))
-    rows = counts.withColumns({"__upto": upto, "__n": total})
-    picks = [F.min(F.when(F.col("__upto") > F.ceil((F.col("__n") - 1) * F.lit(q)), F.col(value))).alias(name) for name, q in quantiles.items()]
-    return rows.groupBy(*by).agg(*picks)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c")).withColumn("__high", F.shiftright("__v", shift))
+    cells = counts.groupBy(*by, "__high").agg(F.sum("__c").alias("__h"))
+    upto = F.sum("__h").over(Window.partitionBy(*by).orderBy("__high").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumns({"__upto": upto, "n": F.sum("__h").over(Window.partitionBy(*by))})
+    wanted = cells.withColumn("__r", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()))))
+    before = F.col("__upto") - F.col("__h")
+    wanted = wanted.where((F.col("__upto") > F.col("__r.rank")) & (before <= F.col("__r.rank"))).select(*by, "__high", F.col("__r.name").alias("__name"), (F.col("__r.rank") - before).alias("__left"))
+    inside = counts.join(wanted, [*by, "__high"])
+    own = F.sum("__c").over(Window.partitionBy(*by, "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("__own", own).where("__own > __left").groupBy(*by, "__name").agg(F.min("__v").alias("__v"))
+    return found.groupBy(*by).agg(*(F.min(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks))
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """{name: quantile} as the value of rank ceil((n - 1) q) from 0, exactly."""
+    return at_ranks(df, by, value, {name: F.ceil((F.col("n") - 1) * F.lit(q)) for name, q in quantiles.items()})
 
 
 def upper_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """sorted[n div 2]: never an average of two."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    rows = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(Window.partitionBy(*by))})
-    return rows.groupBy(*by).agg(F.min(F.when(F.col("__upto") > F.floor(F.col("__n") / 2), F.col(value))).alias(name))
+    return at_ranks(df, by, value, {name: F.floor(F.col("n") / 2)})
+
+
+def counter_delta(before: Column, after: Column) -> Column:
+    """What a counter grew by; one that began anew makes it 0, not negative."""
+    return F.greatest(after - before, F.lit(0))
 
 
 def cumulative_buckets(df: DataFrame, by: list[str], seconds: Column, bounds: list[float] = BOUNDS) -> DataFrame:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 LANE = 1 << 16
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | None = None, rank: str = "rank", lane: int = LANE) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | None = None, rank: str = "rank", lane: int = LANE, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``rank`` (from 1, by ``order`` inside ``by``) and inclusive running sums {new column: column}.
 
-    ``order`` is an integer column without ties.  No rows are dropped; nulls in a summed column count as 0.
+    ``order`` is an integer column; ``ties`` order rows that are equal in it.  No rows are dropped; nulls in a summed column count as 0.
     """
     sums = sums or {}
     df = df.withColumn("__lane", F.floor(F.col(order) / lane))
@@ -26,7 +26,7 @@ def running(df: DataFrame, by: list[str], order: str, sums: dict[str, str] | Non
     before = Window.partitionBy(*by).orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
     names = ["__n", *(f"__{n}" for n in sums)]
     offsets = totals.select(*by, "__lane", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in names))
-    inside = Window.partitionBy(*by, "__lane").orderBy(order)
+    inside = Window.partitionBy(*by, "__lane").orderBy(order, *(ties or []))
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({rank: F.row_number().over(inside).cast("long")} | {n: F.sum(F.coalesce(F.col(c), F.lit(0))).over(so_far) for n, c in sums.items()})
     df = df.join(offsets, [*by, "__lane"])
@@ -77,6 +77,33 @@ def previous(df: DataFrame, by: list[str], key: str, value: Column, step: int =
     return df.join(other, [*by, key], "left")
 
 
+def folded(rows: DataFrame, root: list[str], order: str, schema: str, start: tuple, step) -> DataFrame:
+    """``rows`` folded in order, one output row each: ``step(state, row) -> (state, values of the new columns)``.
+
+    For what depends on all that came before: a root is folded in one place, a batch of rows at a time, with a state
+    of fixed size.  ``schema`` names the new columns; ``row`` is a tuple of the columns after ``root``.
+    """
+    kinds = dict(rows.dtypes)
+    keep = rows.columns
+    made = [c.split()[0] for c in schema.split(", ")]
+    rest = [c for c in keep if c not in root]
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, start
+        for frame in frames:
+            out = []
+            for row in zip(zip(*(frame[c] for c in root)), zip(*(frame[c] for c in rest))):
+                if row[0] != key:
+                    key, state = row[0], start
+                state, values = step(state, row[1])
+                out.append(values)
+            yield frame.assign(**dict(zip(made, zip(*out))))
+
+    full = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", " + schema
+    return rows.repartition(parts, *root).sortWithinPartitions(*root, order).mapInPandas(fold, full)
+
+
 def greedy(rows: DataFrame, root: list[str], order: str, size: str, first: int, bound: int, count: int | None = None, name: str = "bin", at: str = "offset") -> DataFrame:
     """Greedy filling in order: a row opens a new bin when it would pass ``bound`` (or ``count`` rows).
 

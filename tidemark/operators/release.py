@@ -42,12 +42,15 @@ def outside_ranges(records: DataFrame, ranges: DataFrame, bucket: int = 1024) ->
 
 
 def range_violations(ranges: DataFrame) -> DataFrame:
-    """Per stream how many ranges, in order of start, begin before the previous end + 2."""
-    from pyspark.sql import Window
+    """Per stream how many ranges, in order of start, begin before the previous end + 2.
 
-    before = F.lag(F.col("range_start") + F.col("len") - 1).over(Window.partitionBy("stream_id").orderBy("range_start", "len"))
-    bad = ranges.withColumn("bad", F.col("range_start") < before + 2)
-    return bad.groupBy("stream_id").agg(F.count_if("bad").alias("violations"))
+    Ranks are counted in lanes and the range before is an equi-join on them, so one stream is not one task.
+    """
+    from tidemark.operators.ordered import previous, running
+
+    ranked = running(ranges.select("stream_id", "range_start", "len"), ["stream_id"], "range_start", ties=["len"])
+    rows = previous(ranked, ["stream_id"], "rank", F.col("range_start") + F.col("len") - 1)
+    return rows.groupBy("stream_id").agg(F.count_if(F.col("range_start") < F.col("prev") + 2).alias("violations"))
 
 
 def bitmap(positions: DataFrame, by: str = "stream_id", position: str = "seq") -> DataFrame:

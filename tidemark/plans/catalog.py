@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import reports, state
+from tidemark.plans import lifecycle, reports, state
 
-QUERIES: dict = {**state.QUERIES, **reports.QUERIES}
-ORACLE_SQL: dict[str, str] = {**state.ORACLE_SQL, **reports.ORACLE_SQL}
+QUERIES: dict = {**state.QUERIES, **reports.QUERIES, **lifecycle.QUERIES}
+ORACLE_SQL: dict[str, str] = {**state.ORACLE_SQL, **reports.ORACLE_SQL, **lifecycle.ORACLE_SQL}

@@ -55,16 +55,24 @@ class Log:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
-    def rec(self) -> DataFrame:
-        e = self.table("events").select(
+    def events(self) -> DataFrame:
+        """Records with their place, without sequences: for what needs none, so nothing is ranked."""
+        return self.table("events").select(
             F.col("event_id").cast("long").alias("append_order"), (F.col("user_id") % 16).cast("long").alias("stream_id"), F.col("user_id").cast("long").alias("producer_id"), F.octet_length("event_type").cast("long").alias("metadata_len"),
             F.octet_length("props").cast("long").alias("payload_len"), "event_type", "ts", "value", (div("event_id", SEGMENT_RECORDS) + 1).alias("segment_id"), (F.col("event_id") % SEGMENT_RECORDS).cast("long").alias("ordinal"),
         )
-        return assign_sequences(e)
+
+    def rec(self) -> DataFrame:
+        return assign_sequences(self.events())
+
+    @staticmethod
+    def released(rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` that some release names, with its unit and manifest frame."""
+        rows = rows.where(F.col("event_type").isin("view", "click", "error") | (F.col("append_order") % 5120 < 2048))
+        return rows.withColumns({"unit_id": div("append_order", 64), "manifest_seq": div("append_order", 256) + 1})
 
     def rel(self) -> DataFrame:
-        rows = self.rec().where(F.col("event_type").isin("view", "click", "error") | (F.col("append_order") % 5120 < 2048))
-        return rows.select("stream_id", "seq", "append_order", "segment_id", "ordinal", div("append_order", 64).alias("unit_id"), (div("append_order", 256) + 1).alias("manifest_seq"))
+        return self.released(self.rec()).select("stream_id", "seq", "append_order", "segment_id", "ordinal", "unit_id", "manifest_seq")
 
     def pending(self) -> DataFrame:
         from tidemark.operators.release import pending

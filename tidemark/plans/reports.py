@@ -61,9 +61,10 @@ def sequence_contiguity(log):
 @query("SELECT segment_id, ordinal, r.seq IS NOT NULL AS released FROM rec LEFT JOIN (SELECT stream_id, seq FROM rel) r USING (stream_id, seq)", "rec", "rel")
 def released_flags(log):
     """Checkpoints keep ordinals, not sequences: ranges over ordinals, then back to flags."""
-    by_ordinal = log.rel().select(F.col("segment_id").alias("stream_id"), F.col("ordinal").alias("seq"))
+    places = log.events()
+    by_ordinal = log.released(places).select(F.col("segment_id").alias("stream_id"), F.col("ordinal").alias("seq"))
     ranges = ordered.coalesce_ranges(by_ordinal).withColumnRenamed("stream_id", "segment_id")
-    return recovery.released_flags(log.rec(), ranges)
+    return recovery.released_flags(places, ranges)
 
 
 @query("""SELECT 'stream' AS entity, stream_id AS key, max(seq) AS value FROM rec GROUP BY stream_id UNION ALL SELECT 'segment_records', segment_id, records FROM segment UNION ALL SELECT 'segment_released', segment_id, records - unreleased FROM segment
@@ -174,9 +175,9 @@ def phase_throughput(log):
 def series_select(log):
     """Values x timestamps series with labels: filtered by label, flattened, non-finite values dropped, then aggregated."""
     v = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).when(F.col("event_id") % 9 == 0, -F.col("value")).otherwise(F.col("value"))
-    day = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 3_600_000)
-    samples = log.table("events").select("event_type", v.alias("v"), day.alias("hour"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    series = samples.groupBy("event_type", "hour").agg(F.collect_list(F.struct("t", "v")).alias("s")).select(F.create_map(F.lit("__name__"), F.lit("latency"), F.lit("operation"), F.col("event_type")).alias("metric"), F.col("s.v").alias("values"), F.col("s.t").alias("timestamps"))
+    samples = log.table("events").select("event_type", v.alias("v"), div("event_id", 1024).alias("chunk"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    # a line of such a file holds a chunk of a series, 1024 samples at most
+    series = samples.groupBy("event_type", "chunk").agg(F.collect_list(F.struct("t", "v")).alias("s")).select(F.create_map(F.lit("__name__"), F.lit("latency"), F.lit("operation"), F.col("event_type")).alias("metric"), F.col("s.v").alias("values"), F.col("s.t").alias("timestamps"))
     label = F.try_element_at("metric", F.lit("operation"))
     chosen = series.where((F.try_element_at("metric", F.lit("__name__")) == "latency") & label.isin("view", "click"))
     flat = chosen.select(label.alias("operation"), F.explode(F.arrays_zip("values", "timestamps")).alias("p")).where(~F.isnan("p.values") & (F.abs("p.values") < float("inf")))
@@ -224,31 +225,31 @@ def producer_order(log):
     return ordered.previous(rows, ["producer_id"], "rank", F.col("k")).groupBy("producer_id").agg(F.count_if(F.col("prev") >= F.col("k")).alias("violations"))
 
 
-PHASES = """, h AS (SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS sample_idx, avg(value) / 60.0::DOUBLE AS u FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY sample_idx) AS i FROM h),
-s AS (SELECT i, sample_idx, u, CASE WHEN u >= 0.65::DOUBLE THEN 'steady' ELSE 'warmup' END AS phase, 0 AS held FROM o WHERE i = 1 UNION ALL
-SELECT o.i, o.sample_idx, o.u, CASE WHEN s.phase = 'warmup' AND o.u >= 0.65::DOUBLE THEN 'steady' WHEN s.phase = 'steady' AND s.held >= 2 THEN 'pressure_fill' WHEN s.phase = 'pressure_fill' AND o.u >= 0.95::DOUBLE THEN 'pressure_hold' WHEN s.phase = 'pressure_hold' AND s.held >= 2 THEN 'recovery' WHEN s.phase = 'recovery' AND o.u <= 0.45::DOUBLE THEN 'steady' ELSE s.phase END,
-CASE WHEN (s.phase = 'warmup' AND o.u >= 0.65::DOUBLE) OR (s.phase = 'steady' AND s.held >= 2) OR (s.phase = 'pressure_fill' AND o.u >= 0.95::DOUBLE) OR (s.phase = 'pressure_hold' AND s.held >= 2) OR (s.phase = 'recovery' AND o.u <= 0.45::DOUBLE) THEN 0 ELSE s.held + 1 END FROM s JOIN o ON o.i = s.i + 1)
+PHASES = """WITH RECURSIVE h AS (SELECT CAST(epoch(ts) AS BIGINT) // 3600 AS sample_idx, avg(value) / 60.0::DOUBLE AS u FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY sample_idx) AS i, max(sample_idx) OVER () - 24 AS deadline FROM h),
+s AS (SELECT i, sample_idx, CASE WHEN sample_idx > deadline THEN 'final_drain' WHEN u >= 0.65::DOUBLE THEN 'steady' ELSE 'warmup' END AS phase, 0 AS held FROM o WHERE i = 1 UNION ALL
+SELECT i, sample_idx, coalesce(t, phase), CASE WHEN t IS NULL THEN held + 1 ELSE 0 END FROM (SELECT o.i, o.sample_idx, s.phase, s.held, CASE WHEN s.phase = 'final_drain' THEN NULL WHEN o.sample_idx > o.deadline THEN 'final_drain' WHEN s.phase = 'warmup' AND o.u >= 0.65::DOUBLE THEN 'steady'
+WHEN s.phase = 'steady' AND s.held >= 2 THEN 'pressure_fill' WHEN s.phase = 'pressure_fill' AND o.u >= 0.95::DOUBLE THEN 'pressure_hold' WHEN s.phase = 'pressure_hold' AND s.held >= 2 THEN 'recovery' WHEN s.phase = 'recovery' AND o.u <= 0.45::DOUBLE THEN 'steady' END AS t FROM s JOIN o ON o.i = s.i + 1))
 SELECT sample_idx, phase FROM s"""
 
 
-@query("WITH RECURSIVE " + PHASES[2:])
-def phase_machine(log):
-    """Hysteresis over hourly utilisation samples; hours, not rows, are folded, and they are few for any volume."""
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
-    samples = log.table("events").groupBy(hour.alias("i")).agg((F.avg("value") / 60.0).alias("u"))
-    listed = samples.agg(F.array_sort(F.collect_list(F.struct("i", "u"))).alias("s"))
+def _phase(state: tuple[str, int], row: tuple[int, float, int]) -> tuple[tuple[str, int], tuple[str]]:
+    (phase, held), (hour, u, deadline) = state, row
+    ready = {"warmup": ("steady", u >= 0.65), "steady": ("pressure_fill", held >= 2), "pressure_fill": ("pressure_hold", u >= 0.95), "pressure_hold": ("recovery", held >= 2), "recovery": ("steady", u <= 0.45), "final_drain": ("", False)}
+    to, go = ready[phase]
+    if phase != "final_drain" and hour > deadline:
+        to, go = "final_drain", True
+    state = (to, 0) if go else (phase, held + 1)
+    return state, (state[0],)
 
-    def step(acc, x):
-        p, held = acc["phase"], acc["held"]
-        to = (
-            F.when((p == "warmup") & (x["u"] >= 0.65), "steady").when((p == "steady") & (held >= 2), "pressure_fill").when((p == "pressure_fill") & (x["u"] >= 0.95), "pressure_hold")
-            .when((p == "pressure_hold") & (held >= 2), "recovery").when((p == "recovery") & (x["u"] <= 0.45), "steady")
-        )
-        now = F.coalesce(to, p)
-        return F.struct(now.alias("phase"), F.when(to.isNotNull(), 0).otherwise(held + 1).alias("held"), F.concat(acc["out"], F.array(F.struct(x["i"].alias("sample_idx"), now.alias("phase")))).alias("out"))
 
-    start = F.struct(F.lit("warmup").alias("phase"), F.lit(-1).alias("held"), F.array().cast("array<struct<sample_idx:bigint,phase:string>>").alias("out"))
-    return listed.select(F.inline(F.aggregate("s", start, step, lambda a: a["out"])))
+@query(PHASES)
+def phase_machine(log):
+    """Hysteresis over hourly utilisation samples, and the drain of the last day; hours, not rows, are folded."""
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    samples = log.table("events").groupBy(hour.alias("sample_idx")).agg((F.avg("value") / 60.0).alias("u"))
+    rows = samples.crossJoin(log.table("events").agg((F.max(hour) - 24).alias("deadline")))  # one row
+    rows = rows.select(F.lit(0).alias("run"), "sample_idx", "u", "deadline")
+    return ordered.folded(rows, ["run"], "sample_idx", "phase string", ("warmup", -1), _phase).select("sample_idx", "phase")
 
 
 @query(r"""SELECT 'root_pending_records{stream="' || stream_id || '",run="a\\b\"c\n"} ' || n || ' 1700000000000' AS line FROM (SELECT stream_id, count(*) AS n FROM pending GROUP BY stream_id)""".replace(r'a\\b\"c\n', "a\\\\b\\\"c\\n"), "rec", "rel", "pending")
@@ -258,9 +259,10 @@ def prometheus_lines(log):
     return n.select(F.concat(F.lit('root_pending_records{stream="'), F.col("stream_id").cast("string"), F.lit('",run="'), run, F.lit('"} '), F.col("n").cast("string"), F.lit(" 1700000000000")).alias("line"))
 
 
-@query("SELECT stream_id, CAST(count(*) AS BIGINT) AS target FROM rec GROUP BY stream_id", "rec")
+@query("SELECT CAST(event_id % 12 % 5 AS BIGINT) AS stream_id, CAST(count(*) AS BIGINT) AS target FROM events GROUP BY event_id % 12 % 5")
 def stream_targets(log):
-    return log.rec().groupBy("stream_id").agg(F.count("*").alias("target"))
+    """Record i goes to producer i mod 12, which writes to stream mod 5."""
+    return log.table("events").groupBy((F.col("event_id") % 12 % 5).cast("long").alias("stream_id")).agg(F.count("*").alias("target"))
 
 
 @query("SELECT append_order AS event_id, lower('00112233445566778899AABBCCDDEEFF' || le(stream_id) || le(seq)) AS id_hex, be(stream_id) || be(seq) AS key_hex, stream_id AS decoded_stream, seq AS decoded_seq FROM rec".replace("le(stream_id)", "{0}").replace("le(seq)", "{1}").replace("be(stream_id)", "{2}").replace("be(seq)", "{3}").format(*(("(" + " || ".join(f"substr(lpad(hex({c}), 16, '0'), {i}, 2)" for i in (15, 13, 11, 9, 7, 5, 3, 1)) + ")") for c in ("stream_id", "seq")), *(f"lower(lpad(hex({c}), 16, '0'))" for c in ("stream_id", "seq"))), "rec")

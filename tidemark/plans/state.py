@@ -50,7 +50,7 @@ def stream_stats(log):
 
 @query("SELECT DISTINCT stream_id FROM rec ORDER BY stream_id", "rec")
 def known_streams(log):
-    return log.rec().select("stream_id").distinct().orderBy("stream_id")
+    return log.events().select("stream_id").distinct().orderBy("stream_id")
 
 
 @query("SELECT stream_id, seq, payload_len AS required_bytes, CAST(1500 AS BIGINT) AS max_bytes FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS r FROM doc_pending) WHERE r = 1 AND payload_len > 1500", "doc")
@@ -206,7 +206,12 @@ def root_state(log: Log):
 
 
 def headroom():
-    return C.checkpoint_base(F.col("streams")) + F.col("entries") + C.largest_manifest_group(F.col("most")) + F.when(F.col("active"), C.SEGMENT_FOOTER).otherwise(0)
+    return C.maintenance_headroom(F.col("streams"), F.col("entries"), F.col("most"), F.col("active"))
+
+
+def actual_bytes():
+    """Superblock, checkpoint, log header and segments of a root."""
+    return F.col("bytes") + C.ROOT + C.LOG_HEADER + 8 + C.checkpoint_base(F.col("streams"))
 
 
 @query(f", {STATE} SELECT streams, CAST({MANIFEST} AS BIGINT) AS manifest_bytes, CAST({HEADROOM} AS BIGINT) AS headroom_bytes FROM state", "rec", "rel", "segment")
@@ -217,7 +222,7 @@ def maintenance_headroom(log):
 @query(f", {STATE} SELECT CAST(168 + 16 * streams + bytes AS BIGINT) AS actual_bytes, CAST(greatest(c - (168 + 16 * streams + bytes + {HEADROOM}), 0) AS BIGINT) AS admissible_bytes, c AS capacity_bytes, round(CASE WHEN c > 0 THEN CAST(168 + 16 * streams + bytes + {HEADROOM} AS DOUBLE) / c ELSE 0.0::DOUBLE END, 9) AS utilization FROM state, (SELECT unnest([0::BIGINT, 1000000::BIGINT, 4000000000::BIGINT]) AS c)", "rec", "rel", "segment")
 def capacity_utilization(log):
     rows = root_state(log).withColumn("c", F.explode(F.array(*(F.lit(x).cast("long") for x in (0, 1_000_000, 4_000_000_000)))))
-    actual = F.col("bytes") + C.ROOT + C.LOG_HEADER + 8 + C.checkpoint_base(F.col("streams"))
+    actual = actual_bytes()
     weight = actual + headroom()
     return rows.select(actual.alias("actual_bytes"), F.greatest(F.col("c") - weight, F.lit(0)).cast("long").alias("admissible_bytes"), F.col("c").alias("capacity_bytes"), F.round(F.when(F.col("c") > 0, weight.cast("double") / F.col("c")).otherwise(F.lit(0.0)), 9).alias("utilization"))
 
@@ -236,13 +241,37 @@ def append_admission(log):
     caps = F.array(*(F.lit(x).cast("long") for x in (3_000, 2_500_000, 5_000_000, 3_000_000_000)))
     groups = log.epoch().select(F.col("epoch_id").alias("group_id"), F.col("record_count").alias("n"), F.col("encoded_bytes").alias("b"), F.explode(caps).alias("c"))
     rows = groups.crossJoin(F.broadcast(root_state(log)))  # the state is one row
-    actual = F.col("bytes") + C.ROOT + C.LOG_HEADER + 8 + C.checkpoint_base(F.col("streams"))
-    after = C.checkpoint_base(F.col("streams")) + F.col("entries") + C.SEGMENT_ENTRY + C.bitmap_bytes(F.col("n")) + C.largest_manifest_group(F.col("most")) + C.SEGMENT_FOOTER
-    weight = actual + F.col("b") + C.SEGMENT_HEADER + C.SEGMENT_FOOTER + C.SEALED_FRAME + after
-    least = C.minimum_weight(F.col("streams"), F.col("n"), F.lit(1), F.col("b"))
-    rows = rows.select("group_id", F.col("c").alias("capacity_bytes"), (actual + headroom()).alias("now"), weight.alias("weight"), least.alias("least"))
-    admit, exceeds = F.col("weight") <= F.col("capacity_bytes"), F.col("least") > F.col("capacity_bytes")
-    return rows.select("group_id", "capacity_bytes", F.when(admit, "admit").when(exceeds, "exceeds").otherwise("wait").alias("decision"), F.when(admit, None).when(exceeds, F.col("least")).otherwise(F.col("weight") - F.col("now")).cast("long").alias("needed"), F.when(admit | exceeds, None).otherwise(F.greatest(F.col("capacity_bytes") - F.col("now"), F.lit(0))).cast("long").alias("available"))
+    none = F.lit(0).cast("long")
+    root = {"actual": actual_bytes(), "streams": F.col("streams"), "entries": F.col("entries"), "most": F.col("most"), "active": F.col("active"), "active_free": F.lit(-1), "active_records": none, "active_streams": none}
+    group = {"bytes": F.col("b"), "records": F.col("n"), "streams": F.lit(1), "new_streams": none, "joining": none}
+    return rows.select("group_id", F.col("c").alias("capacity_bytes"), *(c.alias(k) for k, c in C.admission(root, group, F.col("c")).items()))
+
+
+CASES = """cases AS (SELECT 'active' AS root_case, 168 + 16 * streams + bytes AS actual, streams, entries, most, true AS active, 3000 AS free, 100 AS ar, 2 AS ast FROM state UNION ALL SELECT 'empty', 168, 0, 0, 0, false, 0, 0, 0),
+groups AS (SELECT epoch_id AS group_id, record_count AS n, encoded_bytes AS b, CASE WHEN stream_id % 3 = 0 THEN 1 ELSE 0 END AS fresh, CASE WHEN stream_id % 2 = 0 THEN 1 ELSE 0 END AS joining, unnest([1000::BIGINT, 1053000::BIGINT, 2500000::BIGINT, NULL]) AS c FROM epoch)"""
+ADMIT_CASES = f""", {STATE}, {CASES}, f AS (SELECT *, active AND b <= free AS fits, streams + fresh AS after FROM groups, cases),
+  w AS (SELECT *, actual + b + CASE WHEN fits THEN 0 ELSE 48 END + CASE WHEN active AND NOT fits THEN 128 ELSE 0 END + 80 + 16 * after + entries + CASE WHEN fits THEN 8 * ((ar + n + 63) // 64 - (ar + 63) // 64) ELSE 72 + 8 * ((n + 63) // 64) END
+    + greatest(72 + 16 * 65536, 80, 4 * (64 + 16 * greatest(most, CASE WHEN fits THEN ast + joining ELSE 1 END))) + 48 AS weight, actual + 80 + 16 * streams + entries + {MANIFEST} + CASE WHEN active THEN 48 ELSE 0 END AS now,
+    2 * (80 + 16 * after) + 40 + 40 + 48 + b + 72 + 8 * ((n + 63) // 64) + greatest(72 + 16 * 65536, 80, 4 * (64 + 16)) + 48 AS least FROM f)
+  SELECT group_id, root_case, fits, c AS capacity_bytes, CASE WHEN c IS NULL OR weight <= c THEN 'admit' WHEN least > c THEN 'exceeds' ELSE 'wait' END AS decision,
+  CAST(CASE WHEN c IS NULL OR weight <= c THEN NULL WHEN least > c THEN least ELSE greatest(weight - now, 0) END AS BIGINT) AS needed, CAST(CASE WHEN c IS NULL OR weight <= c OR least > c THEN NULL ELSE greatest(c - now, 0) END AS BIGINT) AS available FROM w"""
+
+
+@query(ADMIT_CASES, "rec", "rel", "segment", "epoch")
+def admission_cases(log):
+    """Each epoch as a group, its stream known or new, against an empty root and one whose active segment has 3000
+    bytes left: it fits there, rolls over, or opens the first segment."""
+    caps = F.array(*(F.lit(x).cast("long") for x in (1_000, 1_053_000, 2_500_000, None)))
+    flag = lambda n: F.when(F.col("stream_id") % n == 0, 1).otherwise(0).cast("long")
+    groups = log.epoch().select(F.col("epoch_id").alias("group_id"), F.col("record_count").alias("n"), F.col("encoded_bytes").alias("b"), flag(3).alias("fresh"), flag(2).alias("joining"), F.explode(caps).alias("c"))
+    long = lambda x: F.lit(x).cast("long")
+    full = root_state(log).select(F.lit("active").alias("root_case"), actual_bytes().alias("actual"), "streams", "entries", "most", F.lit(True).alias("active"), long(3000).alias("free"), long(100).alias("ar"), long(2).alias("ast"))
+    empty = log.spark.range(1).select(F.lit("empty").alias("root_case"), long(168).alias("actual"), *(long(0).alias(c) for c in ("streams", "entries", "most")), F.lit(False).alias("active"), *(long(0).alias(c) for c in ("free", "ar", "ast")))
+    rows = groups.crossJoin(F.broadcast(full.unionByName(empty)))  # two rows
+    root = {"actual": "actual", "streams": "streams", "entries": "entries", "most": "most", "active": "active", "active_free": "free", "active_records": "ar", "active_streams": "ast"}
+    group = {"bytes": F.col("b"), "records": F.col("n"), "streams": long(1), "new_streams": F.col("fresh"), "joining": F.col("joining")}
+    verdict = C.admission({k: F.col(v) for k, v in root.items()}, group, F.col("c"))
+    return rows.select("group_id", "root_case", (F.col("active") & (F.col("b") <= F.col("free"))).alias("fits"), F.col("c").alias("capacity_bytes"), *(c.alias(k) for k, c in verdict.items()))
 
 
 @query("SELECT root, CAST(count(*) FILTER (t <= 20000) AS BIGINT) AS selected, CAST(coalesce(max(t) FILTER (t <= 20000), 0) AS BIGINT) AS selected_bytes FROM (SELECT root, sum(encoded_bytes) OVER (PARTITION BY root ORDER BY epoch_id ROWS UNBOUNDED PRECEDING) AS t FROM epoch) GROUP BY root", "epoch")
