@@ -1,9 +1,10 @@
 """Quality rules with cross-document line frequency.
 
 A line is normalised (A-Z lowered, white space collapsed, digits made 0) and hashed.  A line that stands in more than
-``max(min_docs, share of the host's distinct texts)`` distinct texts of one host is boilerplate there and is removed
-from every document of it (``clean``); a document that keeps too few of its words is depleted and rejected.  Equal
-texts count once, so mere copies (the business of the near-duplicate stage) do not condemn each other.
+``max(min_docs, share of the host's distinct documents)`` distinct documents of one host is boilerplate there and is
+removed from every document of it (``clean``); a document that keeps too few of its words is depleted and rejected.
+Documents are distinct by their text: rows of equal text are one document however many identifiers it has, or every
+text that is copied often enough would be rejected with all of its copies, which the near-duplicate stage reduces.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ _TAIL[0x80:0xC0] = True
 _PLAIN = _LOWER.copy()
 _PLAIN[48:58] = 48
 
+#: Documents of a host a line may stand in however small the host is; beyond, the share of the host's documents decides.
+MIN_DOCS = 5
+
 FEATURES = "doc_id long, host string, text_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<int>"
 
 
@@ -158,7 +162,7 @@ def _judged(docs: DataFrame, host: str, min_docs: int, share: float, min_words:
     return feats.drop("line_hash", "line_words").withColumn("base_failed", failed), gone
 
 
-def quality(docs: DataFrame, host: str = "source", min_docs: int = 100, share: float = 0.005, keep_share: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.005, keep_share: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     A null text counts as none (no words, so it fails); a null host is a host of its own; repeated rows and repeated
@@ -172,7 +176,7 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = 100, share: f
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def clean(docs: DataFrame, host: str = "source", min_docs: int = 100, share: float = 0.005, keep_share: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.005, keep_share: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, without the frequent lines of their host; all columns stay.
 
     A line goes with its line break.  ``n_chars``, where there is one, is counted anew for a text that lost a line.

@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS n FROM g WHERE w3 IS NOT NULL), h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
         l AS (SELECT doc_id, source, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
         u AS (SELECT doc_id, source, t, {_WORDS.format(_PLAIN.format("x"))} AS p FROM (SELECT doc_id, source, t, unnest(l) AS x FROM l)),
-        f AS (SELECT source, p FROM (SELECT source, p, count(DISTINCT t) AS n FROM u GROUP BY source, p) JOIN (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source) USING (source) WHERE n > greatest(100, 0.005 * texts)),
+        f AS (SELECT source, p FROM (SELECT source, p, count(DISTINCT t) AS n FROM u GROUP BY source, p) JOIN (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source) USING (source) WHERE n > greatest(5, 0.005 * texts)),
         m AS (SELECT doc_id, sum(len(p)) AS n FROM u JOIN f USING (source, p) GROUP BY doc_id),
         b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words, coalesce(m.n, 0) AS n_removed_words
           FROM d JOIN (SELECT doc_id, l FROM l) l USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id))
