@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
-from tidemark.llm.tokens import WordBpe, WordTable, slices
+from tidemark.llm.common import chunks, materialise, utf8
+from tidemark.llm.tokens import WordBpe, WordTable
 
 _TABLES: dict[str, WordTable] = {}
 
@@ -94,9 +94,10 @@ def _cut(path: str, tokens: int, end: int):
             _TABLES[path] = WordTable(WordBpe(path), [end])
         table = _TABLES[path]
         for batch in batches:
-            texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for i, j in slices(texts):
-                _, ids, n, words = table.encode([(t or "").encode("utf-8", "replace") for t in texts[i:j]])
+            docs = batch.column("doc_id").to_pylist()
+            data, offsets = utf8(batch.column("text"))
+            for i, j in chunks(offsets):
+                _, ids, n, words = table.encode(table.encode_words.spread(data, offsets[i : j + 1]))
                 ids = ids.astype("<u4")
                 stop = np.cumsum(n)[np.cumsum(words) - 1]
                 out, at = [], 0
