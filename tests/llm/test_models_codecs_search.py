@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, language, lm, packing, sentencepiece_bpe, topk, warc
+from tidemark.llm.common import utf8
 from tidemark.llm.tokens import WordBpe, WordTable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -172,13 +174,15 @@ def test_tokens_are_those_of_the_library():
     from tokenizers import Tokenizer
 
     library, table, rng = Tokenizer.from_file(WORDS), WordTable(WordBpe(WORDS), [0], 500), random.Random(1)
-    texts = ["", "a", "<|endoftext|> x<|startoftext|>y", "it's we'll DON'T", "ÀÉÎ ÿ ß ẞ İ ŉ", "á é", "x y z　w\x1cq\x85r", "１２ ①", "ﬁ Σας ΟΔΟΣ", "a\x00b", "== --- ... !!! #$%"]
+    texts = ["", "a", "<|endoftext|> x<|startoftext|>y", "it's we'll DON'T", "ÀÉÎ ÿ ß ẞ İ ŉ", "á é", "x y z　w\x1cq\x85r", "１２ ①", "ﬁ Σας ΟΔΟΣ", "a\x00b", "== --- ... !!! #$%", "x..Σ y.Σ zΣ. A\u0301B\u0331 H\u0331,e=\u0338", "don't.'s x'-'t (É.È) é'É 1.2a3", "Ab<|endoftext|>Cd", "x" * 300 + "." * 99]
     texts += ["".join(chr(rng.choice([rng.randint(1, 0x250), rng.randint(0x250, 0xD7FF), 32, 10, 101, 39, 46, 44])) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
     for i in range(0, len(texts), 50):
-        _, ids, n, words = table.encode([t.encode() for t in texts[i : i + 50]])
-        stop = np.cumsum(n)[np.cumsum(words) - 1]
-        for t, a, b in zip(texts[i : i + 50], np.concatenate(([0], stop[:-1])), stop):
-            assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids + [0]
+        own = texts[i : i + 50]
+        for given in ([t.encode() for t in own], table.encode_words.spread(*utf8(pa.array(own)))):
+            _, ids, n, words = table.encode(given)
+            stop = np.cumsum(n)[np.cumsum(words) - 1]
+            for t, a, b in zip(own, np.concatenate(([0], stop[:-1])), stop):
+                assert ids[a:b].tolist() == library.encode(t, add_special_tokens=False).ids + [0]
 
 
 def test_packing(spark, sf, odd):
