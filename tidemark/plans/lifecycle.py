@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import capacity as C
-from tidemark.operators import metrics, ordered, recovery
+from tidemark.operators import metrics, ordered, recovery, release
 from tidemark.plans.relations import Log, div, sql
 from tidemark.plans.reports import COMMIT, kind_runs
 from tidemark.plans.state import HEADROOM, STATE, actual_bytes, headroom, root_state
+from tidemark.sources import format_v1, root_v1
+from tidemark.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -238,3 +242,53 @@ def benchmark_report(log):
     lines = made.select(F.to_json(F.struct(version.alias("schema_version"), F.col("operation").alias("workload"), "samples", "records", "records_per_second")).alias("line"))
     report = F.from_json("line", "schema_version int, workload string, samples bigint, records bigint, records_per_second double")
     return lines.select(report.alias("r")).where("r.schema_version = 3").select("r.workload", "r.schema_version", "r.samples", "r.records", "r.records_per_second")
+
+
+# ---------------------------------------------------------------- a root of bytes
+
+
+ROOT_ID = bytes(range(16))
+
+
+def byte_root(log: Log):
+    """The events as a root on disk: written by the segment codec, then opened again with verified bodies.
+
+    A checkpoint covers the first half of the segments, the manifest log the rest.  Control state is one checkpoint and
+    one log by the format, a bit a record and a pair a range, so the driver writes those; the tasks write segments.
+    """
+    path = f"{shared_dir(log.spark)}/root-{uuid.uuid4().hex}"
+    number = (seg() - 1).alias("segment_id")
+    rows = log.rec().join(log.table("events").select(F.col("event_id").cast("long").alias("append_order"), "props"), "append_order")
+    rows = rows.select(number, "ordinal", "stream_id", "seq", F.col("event_type").cast("binary").alias("metadata"), F.col("props").cast("binary").alias("payload"))
+    last = log.events().agg((F.max("segment_id") - 1).alias("m")).first().m or 0
+    half = last // 2
+    sealed = log.events().select(number).distinct().where(seg() < last)
+    footers = sorted(root_v1.write_segments(rows, path, ROOT_ID, sealed).where("sealed").collect(), key=lambda r: r.segment_id)
+    rel = log.rel().select(number, "ordinal", "stream_id", "seq")
+    flags = {r.segment_id: [False] * r.epoch_count for r in footers if r.segment_id <= half}
+    for w in release.bitmap(rel.where(seg() <= half).select("segment_id", "ordinal").distinct(), "segment_id", "ordinal").collect():
+        for bit in range(64 if w.segment_id in flags else 0):
+            if w.word >> bit & 1:
+                flags[w.segment_id][64 * w.word_index + bit] = True
+    entries = [{"segment_id": r.segment_id, "sealed": True, "length": r.segment_bytes, "epochs": r.epoch_count, "digest": int(r.segment_digest), "flags": flags[r.segment_id]} for r in footers if r.segment_id in flags]
+    high = {r.stream_id: r.h for r in rows.where(seg() < len(entries)).groupBy("stream_id").agg(F.max("seq").alias("h")).collect()}
+    later = ordered.coalesce_ranges(rel.where(seg() >= len(entries))).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("range_start", "len"))).alias("r")).collect()
+    frames = [format_v1.sealed_frame(r.segment_id, r.segment_bytes, r.epoch_count, int(r.segment_digest)) for r in footers[len(entries) :]]
+    frames += [(format_v1.RELEASE, format_v1.release_body(r.stream_id, [tuple(x) for x in r.r])) for r in sorted(later)]
+    root_v1.write_control(path, ROOT_ID, 0, len(entries), high, entries, frames)
+    return root_v1.recover(log.spark, path, bodies=True)
+
+
+@query("SELECT p.stream_id, p.seq, p.segment_id - 1 AS segment_id, p.ordinal, props AS payload FROM pending p JOIN events e ON e.event_id = p.append_order", "rec", "rel", "pending")
+def root_pending(log):
+    """What is pending in a root of bytes, with its verified payloads."""
+    long = lambda c, name=None: F.col(c).cast("long").alias(name or c)
+    return byte_root(log).pending().select(long("stream_id"), long("sequence", "seq"), long("segment_id"), "ordinal", F.col("payload").cast("string").alias("payload"))
+
+
+@query("""SELECT CAST(count(*) FILTER (segment_id - 1 >= k AND segment_id - 1 < m) + (SELECT count(DISTINCT stream_id) FROM rel, x WHERE segment_id - 1 >= k) AS BIGINT) AS frames, CAST(count(*) AS BIGINT) AS segments, CAST(sum(records) AS BIGINT) AS epochs, CAST(sum(records) AS BIGINT) AS records,
+CAST(0 AS BIGINT) AS repaired_segment_tails, CAST(0 AS BIGINT) AS completed_seals, CAST(0 AS BIGINT) AS completed_deletions, CAST(0 AS BIGINT) AS removed_temporaries FROM segment, x GROUP BY k, m""".replace("SELECT CAST(count", ", x AS (SELECT max(segment_id) - 1 AS m, CASE WHEN max(segment_id) = 1 THEN 0 ELSE (max(segment_id) - 1) // 2 + 1 END AS k FROM rec) SELECT CAST(count", 1), "rec", "rel", "segment")
+def root_recovery(log):
+    """The counts of that recovery."""
+    stats = byte_root(log).stats
+    return log.spark.createDataFrame([tuple(stats.values())], ", ".join(f"{k} long" for k in stats))

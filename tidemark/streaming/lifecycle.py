@@ -9,7 +9,6 @@ restart from the checkpoint replays nothing that was committed.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.storage import shared_dir
+
 OUTPUT = "stream_id long, highwater long, pending_records long, pending_payload_bytes long, released long, ignored long, rejected long"
 
 
@@ -57,8 +58,7 @@ def log_state(commands: DataFrame) -> DataFrame:
 def drain(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     """The final state after the batches of commands, one after the other, each drained and then restarted from the
     checkpoint.  Source, checkpoint and sink are in the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def keep(state: DataFrame, batch: int) -> None:
