@@ -140,15 +140,69 @@ def test_log_surface(spark, tmp_path):
 
 
 def test_config_and_capacity(spark, tmp_path):
-    for wrong in ({"max_epoch_bytes": 127}, {"segment_bytes": 100}, {"max_release_records": 0}, {"commit_units": 0}, {"capacity": 0}):
+    for wrong in ({"max_epoch_bytes": 127}, {"segment_bytes": 100}, {"max_release_records": 0}, {"commit_units": 0}, {"capacity": 0}, {"max_segment_age_ms": 0.5}, {"max_segment_age_ms": 0}, {"commit_bytes": 100}):
         with pytest.raises(api.InvalidConfig):
             api.Config(**wrong)
-    log = api.Log.open(spark, str(tmp_path / "small"), api.Config(capacity=600))
+    with pytest.raises(api.ExceedsCapacity):  # the largest release frame alone takes over a megabyte
+        api.Log.open(spark, str(tmp_path / "large"), api.Config(capacity=1_100_000)).stream(1).append(b"", b"x" * 100_000)
+    # headroom of the golden case of 12 KiB: one release of 16 records
+    small = api.Config(capacity=12 * 1024, max_release_records=16)
+    with pytest.raises(api.InvalidConfig):
+        api.Log.open(spark, str(tmp_path / "none"), api.Config(capacity=400, max_release_records=16))
+    log = api.Log.open(spark, str(tmp_path / "small"), small)
     with pytest.raises(api.ExceedsCapacity):
-        log.stream(1).append(b"", b"x" * 512)
-    log.stream(1).append(b"", b"x" * 100)
-    with pytest.raises(api.Full):
-        log.stream(1).append(b"", b"x" * 150)
+        log.stream(1).append(b"", b"x" * 12_000)
+    ids = []
+    with pytest.raises(api.Full) as e:
+        while True:
+            ids += log.stream(1).append_batch([(b"", b"x" * 512)] * 4)
+    root = log._root()
+    assert len(ids) >= 12 and log.weight() <= 12 * 1024 < log.weight() + e.value.detail["needed"] and e.value.detail["available"] == 12 * 1024 - log.weight()
+    again = api.Log.open(spark, str(tmp_path / "small"), small)
+    assert again._root() == root and again.weight() == log.weight()
+
+
+def test_blocked_append_goes_on_after_reclaim(spark, tmp_path):
+    import threading
+
+    config = api.Config(capacity=6_000, reject_when_full=False, max_release_records=16, segment_bytes=2_000, max_epoch_bytes=1_900)
+    log = api.Log.open(spark, str(tmp_path / "root"), config)
+    a, ids = log.stream(1), []
+    with pytest.raises(api.Cancelled):
+        while True:
+            ids.append(a.append(b"", b"x" * 800, timeout=0))
+    assert log.operations["append"].cancelled == 1 and len(log._state.segments) > 1
+    got = []
+    waiting = threading.Thread(target=lambda: got.append(a.append(b"", b"y" * 800, timeout=60)))
+    waiting.start()
+    assert a.release(ids) == len(ids)
+    files = [p.name for p in (tmp_path / "root" / "records").iterdir() if p.is_dir()]
+    report = log.reclaim()
+    waiting.join()
+    left = {p.name for p in (tmp_path / "root" / "records").iterdir() if p.is_dir()}
+    assert report["segments"] > 0 and got[0].sequence == len(ids) and len(set(files) - left) == report["segments"]
+    assert [r.payload for r in a.read(9, 10_000)] == [b"y" * 800]
+    with pytest.raises(api.Cancelled):
+        log.stream(2).read_wait(1, 1, 0.1)
+    threading.Timer(0.5, lambda: log.stream(2).append(b"", b"now")).start()
+    assert log.stream(2).read_wait(1, 9, 60)[0].payload == b"now" and log.operations["read"].cancelled == 1
+
+
+def test_group_commit_and_age(spark, tmp_path):
+    now = [1000.0]
+    log = api.Log.open(spark, str(tmp_path / "root"), api.Config(commit_units=3, max_segment_age_ms=5_000), clock=lambda: now[0])
+    ids = log.append_group([(i % 2, [(b"", bytes([i]))] * (i + 1)) for i in range(7)])
+    assert [[(r.stream_id, r.sequence) for r in u] for u in ids][:3] == [[(0, 0)], [(1, 0), (1, 1)], [(0, 1), (0, 2), (0, 3)]]
+    commits = log.commits["append"]
+    assert (commits.groups, commits.units, commits.max_units) == (3, 7, 3) and log.known_streams() == [0, 1] and log.age_delay_ms() == 5_000
+    now[0] = 1004.0
+    assert log.age_delay_ms() == 1_000 and log._state.active == 0
+    now[0] = 1005.0
+    assert log.maintain() == {"segments": 0, "bytes": 0} and log._state.active is None
+    log.stream(0).append(b"", b"next")
+    assert log._state.active == 1 and {r.segment_id: r.sealed for r in log.segments().collect()} == {0: True, 1: False}
+    again = api.Log.open(spark, str(tmp_path / "root"), log.config, clock=lambda: now[0])
+    assert again._root() == log._root() and again.highwater(0) == log.highwater(0)
 
 
 def test_streaming_state_is_the_batch_state(spark, sf, tmp_path):

@@ -1,15 +1,18 @@
 """A log on Spark tables with the calls, limits and errors of a staged append/read/release buffer.
 
-Each append is one atomic epoch of one stream and one write; each effective release is one control row per stream.
-Writes of one ``Log`` are serial, as a root has one owner.  What a storage engine promises beyond that (a sync per
-call, an unknown outcome after a cancelled one, advisory locks) Spark's commit protocol does not, and neither does
-this.
+Each append is one atomic epoch of one stream; a group of appends is one write, and each effective release one control
+write.  Records lie in a folder per segment, so reclaiming a segment deletes files.  Writes of one ``Log`` are serial,
+as a root has one owner.  What a storage engine promises beyond that (a sync per call, an unknown outcome after a
+cancelled one, advisory locks) Spark's commit protocol does not, and neither does this.
 """
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from tidemark.operators import capacity as C
 from tidemark.operators.ordered import bounded_prefix, coalesce_ranges
 from tidemark.operators.release import pending
 
-RECORDS = "stream_id long, seq long, segment_id long, ordinal long, epoch_id long, metadata binary, payload binary, metadata_len long, payload_len long"
+RECORDS = "segment_id long, stream_id long, seq long, ordinal long, epoch_id long, created_ms long, metadata binary, payload binary, metadata_len long, payload_len long"
 CONTROL = "manifest_seq long, kind string, stream_id long, seq long, segment_id long"
 
 
@@ -51,12 +54,17 @@ RecordIdScopeMismatch = _kind("RecordIdScopeMismatch", "record_id_scope_mismatch
 UnknownRecordId = _kind("UnknownRecordId", "unknown_record_id")
 Closed = _kind("Closed", "closed")
 Poisoned = _kind("Poisoned", "poisoned")
+Cancelled = _kind("Cancelled", "cancelled")
 StorageFailure = _kind("StorageFailure", "io", True)
 
 
 @dataclass(frozen=True)
 class Config:
-    """Limits of a root; None for a capacity without bound."""
+    """Limits of a root; None for a capacity without bound.
+
+    An append that does not fit is rejected, or waits if ``reject_when_full`` is off.  A group commit takes at most
+    ``commit_units`` appends and ``commit_bytes`` encoded bytes.
+    """
 
     capacity: int | None = None
     reject_when_full: bool = True
@@ -65,7 +73,6 @@ class Config:
     max_release_records: int = 65_536
     commit_units: int = 64
     commit_bytes: int = 8 << 20
-    queue: int = 1_024
     max_segment_age_ms: int | None = None
 
     def __post_init__(self) -> None:
@@ -76,7 +83,9 @@ class Config:
             "max_release_records must be positive": self.max_release_records > 0,
             "commit_units must be positive": self.commit_units > 0,
             "commit_bytes must hold an epoch and a release": self.commit_bytes >= max(self.max_epoch_bytes, release),
-            "queue must be positive": self.queue > 0,
+            "segment_bytes is not a whole number": isinstance(self.segment_bytes, int),
+            "max_epoch_bytes is not a whole number": isinstance(self.max_epoch_bytes, int),
+            "max_segment_age_ms is not whole milliseconds": self.max_segment_age_ms is None or isinstance(self.max_segment_age_ms, int),
             "capacity must be positive": self.capacity is None or self.capacity > 0,
             "max_segment_age_ms must be positive": self.max_segment_age_ms is None or self.max_segment_age_ms > 0,
         }
@@ -114,94 +123,220 @@ class Counters:
     started: int = 0
     succeeded: int = 0
     failed: int = 0
+    cancelled: int = 0
     records: int = 0
     payload_bytes: int = 0
     changed: int = 0
 
 
+@dataclass
+class _Segment:
+    records: int = 0
+    streams: int = 0
+    bytes: int = C.SEGMENT_HEADER
+    created_ms: int = 0
+
+
 @dataclass
 class _State:
-    """What the driver keeps: one entry per stream and per live segment, none per record."""
+    """What the driver keeps: an entry per live segment and the streams of the active one, none per record."""
 
-    high: dict[int, int] = field(default_factory=dict)
-    segment: int = 0
-    used: int = 0
-    ordinal: int = 0
+    streams: int = 0
+    segments: dict[int, _Segment] = field(default_factory=dict)
+    active: int | None = None
+    active_streams: set[int] = field(default_factory=set)
+    next_segment: int = 0
     epoch: int = 0
     manifest: int = 0
+    log_bytes: int = C.LOG_HEADER
+
+
+@dataclass
+class Commits:
+    """Group commits of a kind: their number, units and bytes, and the largest."""
+
+    groups: int = 0
+    units: int = 0
+    bytes: int = 0
+    max_units: int = 0
+    max_bytes: int = 0
+
+    def add(self, units: int, size: int) -> None:
+        self.groups, self.units, self.bytes = self.groups + 1, self.units + units, self.bytes + size
+        self.max_units, self.max_bytes = max(self.max_units, units), max(self.max_bytes, size)
 
 
 class Log:
     """One exclusively owned root directory."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config, root: bytes):
-        self.spark, self.path, self.config, self.root = spark, path.rstrip("/"), config, root
+    #: Highwaters that are remembered; those of other streams are looked up.
+    REMEMBERED = 65_536
+
+    def __init__(self, spark: SparkSession, path: str, config: Config, root: bytes, clock: Callable[[], float] = time.time):
+        self.spark, self.path, self.config, self.root, self.clock = spark, path.rstrip("/"), config, root, clock
         self.lifecycle, self.failure = "running", None
         self.operations = {k: Counters() for k in ("append", "read", "release", "reclaim")}
+        self.commits = {"append": Commits(), "release": Commits()}
         self._lock, self._state = threading.RLock(), _State()
+        self._changed = threading.Condition(self._lock)
+        self._high: OrderedDict[int, int] = OrderedDict()
 
     # ---- opening
 
     @staticmethod
-    def open(spark: SparkSession, path: str, config: Config | None = None) -> Log:
-        """Opens or creates a root; state is recovered by aggregates over its tables, never by collecting records."""
+    def open(spark: SparkSession, path: str, config: Config | None = None, clock: Callable[[], float] = time.time) -> Log:
+        """Opens or creates a root; state is recovered by aggregates over its tables, never by collecting records.
+
+        A root that weighs more than its capacity is refused.
+        """
         path, config = path.rstrip("/"), config or Config()
-        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/root")
-        there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        if not there:
-            spark.createDataFrame([(bytearray(uuid.uuid4().bytes),)], "root binary").coalesce(1).write.parquet(f"{path}/root")
-            spark.createDataFrame([], RECORDS).write.parquet(f"{path}/records")
+        if not _exists(spark, f"{path}/root"):
+            for table in ("records", "control"):
+                if _exists(spark, f"{path}/{table}"):
+                    raise InvalidConfig(f"{path} holds {table} but no root")
             spark.createDataFrame([], CONTROL).write.parquet(f"{path}/control")
-        log = Log(spark, path, config, bytes(spark.read.parquet(f"{path}/root").first().root))
+            spark.createDataFrame([(bytearray(uuid.uuid4().bytes),)], "root binary").coalesce(1).write.parquet(f"{path}/root")
+        log = Log(spark, path, config, bytes(spark.read.parquet(f"{path}/root").first().root), clock)
         log._recover()
+        if config.capacity is not None and log.weight() > config.capacity:
+            raise InvalidConfig(f"the root weighs {log.weight()} bytes, more than {config.capacity}")
         return log
 
     def _recover(self) -> None:
         s = self._state
-        known = self._records().groupBy("stream_id").agg(F.max("seq").alias("h")).unionByName(self._control().where("kind = 'highwater'").groupBy("stream_id").agg(F.max("seq").alias("h")))
-        s.high = {r.stream_id: r.h for r in known.groupBy("stream_id").agg(F.max("h").alias("h")).collect()}
-        top = self._records().agg(F.max("segment_id").alias("s"), F.max("epoch_id").alias("e")).first()
-        gone = self._control().agg(F.max("segment_id").alias("s"), F.max("manifest_seq").alias("m")).first()
-        s.epoch, s.manifest = (top.e or 0), (gone.m or 0)
-        s.segment = max(x for x in (top.s, gone.s, 0) if x is not None)
-        last = self._records().where(F.col("segment_id") == s.segment)
-        size = last.agg(F.count("*").alias("n"), F.sum(C.record_bytes(F.col("metadata_len"), F.col("payload_len"))).alias("b"), F.count_distinct("epoch_id").alias("e")).first()
-        s.ordinal, s.used = size.n, C.SEGMENT_HEADER + (size.b or 0) + C.EPOCH * size.e if size.n else 0
-        if gone.s is not None and gone.s >= s.segment:
-            s.segment, s.ordinal, s.used = gone.s + 1, 0, 0
+        rows, control = self._records(), self._control()
+        part = rows.groupBy("segment_id", "stream_id").agg(F.count("*").alias("n"), F.sum(C.record_bytes(F.col("metadata_len"), F.col("payload_len"))).alias("b"), F.count_distinct("epoch_id").alias("e"), F.max("epoch_id").alias("top"), F.min("created_ms").alias("c"))
+        for r in part.groupBy("segment_id").agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum("b") + C.EPOCH * F.sum("e")).alias("b"), F.max("top").alias("top"), F.min("c").alias("c")).collect():
+            s.segments[r.segment_id] = _Segment(r.n, r.k, C.SEGMENT_HEADER + r.b, r.c)
+            s.epoch = max(s.epoch, r.top)
+        seals = [r.segment_id for r in control.where("kind = 'sealed'").select("segment_id").collect()]  # one a live or removed segment
+        for segment in seals:
+            if segment in s.segments:
+                s.segments[segment].bytes += C.SEGMENT_FOOTER
+        gone = control.agg(F.max("segment_id").alias("s"), F.max("manifest_seq").alias("m"), F.sum(F.when(F.col("kind") == "frame", F.col("seq"))).alias("b")).first()
+        s.manifest, s.log_bytes = gone.m or 0, C.LOG_HEADER + (gone.b or 0)
+        s.next_segment = max([x + 1 for x in (*s.segments, gone.s) if x is not None], default=0)
+        open_ = [x for x in s.segments if x not in set(seals)]
+        s.active = max(open_) if open_ else None
+        if s.active is not None:
+            s.active_streams = {r.stream_id for r in rows.where(F.col("segment_id") == s.active).select("stream_id").distinct().collect()}
+        s.streams = self._highwaters().select("stream_id").distinct().count()
 
     def _records(self) -> DataFrame:
-        return self.spark.read.schema(RECORDS).parquet(f"{self.path}/records")
+        """Records of live segments; a reclaimed segment has no folder any more, or is left out until it is gone."""
+        if not _exists(self.spark, f"{self.path}/records"):
+            return self.spark.createDataFrame([], RECORDS)
+        removed = self._control().where("kind = 'removed'").select("segment_id")
+        return self.spark.read.schema(RECORDS).parquet(f"{self.path}/records").join(removed, "segment_id", "left_anti")
 
     def _control(self) -> DataFrame:
         return self.spark.read.schema(CONTROL).parquet(f"{self.path}/control")
 
-    def _pending(self) -> DataFrame:
-        gone = self._control().where("kind = 'release'")
-        removed = self._control().where("kind = 'removed'").select("segment_id")
-        return pending(self._records().join(removed, "segment_id", "left_anti"), gone)
-
-    def _write(self, rows: list[tuple], schema: str, table: str) -> None:
+    def _highwaters(self) -> DataFrame:
+        """(stream_id, seq): each stream's records and what the removal of others has kept."""
+        return self._records().select("stream_id", "seq").unionByName(self._control().where("kind = 'highwater'").select("stream_id", "seq"))
+
+    def highwater(self, stream_id: int) -> int:
+        """The last sequence of a stream; -1 if there is none."""
+        if stream_id not in self._high:
+            top = self._highwaters().where(F.col("stream_id") == stream_id).agg(F.max("seq")).first()[0]
+            self._high[stream_id] = -1 if top is None else top
+        self._high.move_to_end(stream_id)
+        while len(self._high) > self.REMEMBERED:
+            self._high.popitem(last=False)
+        return self._high[stream_id]
+
+    def _pending(self, stream_id: int | None = None) -> DataFrame:
+        """The filter stands below the join; an append's file holds one stream, so its statistics prune files."""
+        rows, gone = self._records(), self._control().where("kind = 'release'")
+        if stream_id is not None:
+            rows, gone = rows.where(F.col("stream_id") == stream_id), gone.where(F.col("stream_id") == stream_id)
+        return pending(rows, gone)
+
+    def _guarded(self, write: Callable[[], None]) -> None:
         try:
-            self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
+            write()
         except Exception as e:
             if self.lifecycle == "running":
                 self.lifecycle, self.failure = "poisoned", e
             raise StorageFailure(str(e)) from e
 
+    def _write_control(self, rows: list[tuple], frames: list[int]) -> None:
+        """Control rows as one write; ``frames`` are the sizes of the frames that the format would take for them."""
+        s = self._state
+        rows = rows + [(s.manifest + 1 + i, "frame", None, size, None) for i, size in enumerate(frames)]
+        self._guarded(lambda: self.spark.createDataFrame(rows, CONTROL).coalesce(1).write.mode("append").parquet(f"{self.path}/control"))
+        s.manifest, s.log_bytes = s.manifest + len(frames), s.log_bytes + sum(frames)
+
     def _check_open(self) -> None:
         if self.lifecycle == "poisoned":
             raise Poisoned(str(self.failure))
         if self.lifecycle != "running":
             raise Closed()
 
+    # ---- capacity
+
+    def _root(self) -> dict[str, object]:
+        s = self._state
+        active = s.segments.get(s.active) if s.active is not None else None
+        entries = sum(C.SEGMENT_ENTRY + -(-g.records // 64) * 8 for g in s.segments.values())
+        free = 0
+        if active is not None and not self._expired():
+            free = self.config.segment_bytes - active.bytes - C.SEGMENT_FOOTER
+        return {
+            "actual": C.ROOT + C.CHECKPOINT_BASE + C.STREAM_ENTRY * s.streams + s.log_bytes + sum(g.bytes for g in s.segments.values()), "streams": s.streams, "entries": entries, "most": max([g.streams for g in s.segments.values()], default=0),
+            "active": active is not None, "active_free": free, "active_records": active.records if active else 0, "active_streams": active.streams if active else 0,
+        }
+
+    def weight(self) -> int:
+        """File bytes and maintenance headroom."""
+        r = {k: F.lit(v) for k, v in self._root().items()}
+        return self.spark.range(1).select((r["actual"] + C.maintenance_headroom(r["streams"], r["entries"], r["most"], r["active"], self.config.max_release_records)).cast("long")).first()[0]
+
+    def _admit(self, group: dict[str, int]) -> None:
+        """The admission of the format (``capacity.admission``), evaluated over one row."""
+        if self.config.capacity is None:
+            return
+        lit = lambda d: {k: F.lit(v) if isinstance(v, bool) else F.lit(v).cast("long") for k, v in d.items()}
+        verdict = C.admission(lit(self._root()), lit(group), F.lit(self.config.capacity).cast("long"), self.config.max_release_records)
+        r = self.spark.range(1).select(*(c.alias(k) for k, c in verdict.items())).first()
+        if r.decision == "exceeds":
+            raise ExceedsCapacity(needed=r.needed, total=self.config.capacity)
+        if r.decision == "wait":
+            raise Full(needed=r.needed, available=r.available)
+
+    def _expired(self) -> bool:
+        s, age = self._state, self.config.max_segment_age_ms
+        return age is not None and s.active is not None and max(0, int(self.clock() * 1000) - s.segments[s.active].created_ms) >= age
+
+    def age_delay_ms(self) -> int | None:
+        """Milliseconds until the active segment is too old; the bound itself without one, None without a bound."""
+        s, age = self._state, self.config.max_segment_age_ms
+        if age is None or s.active is None:
+            return age
+        return max(0, age - max(0, int(self.clock() * 1000) - s.segments[s.active].created_ms))
+
+    def _seal(self) -> None:
+        s = self._state
+        self._write_control([(s.manifest + 1, "sealed", None, None, s.active)], [C.SEALED_FRAME])
+        s.segments[s.active].bytes += C.SEGMENT_FOOTER
+        s.active, s.active_streams = None, set()
+
+    def maintain(self) -> dict[str, int]:
+        """What an idle owner does: seals an active segment that is too old, then reclaims."""
+        with self._lock:
+            self._check_open()
+            if self._expired():
+                self._seal()
+            return self.reclaim()
+
     # ---- surface
 
     def stream(self, stream_id: int) -> Stream:
         return Stream(self, stream_id)
 
     def known_streams(self) -> list[int]:
-        return sorted(self._state.high)
+        return sorted(r.stream_id for r in self._highwaters().select("stream_id").distinct().collect())
 
     def health(self) -> dict[str, object]:
         return {"lifecycle": self.lifecycle, "failure": self.failure}
@@ -210,37 +345,158 @@ class Log:
         left = self._pending().agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_len"), F.lit(0)).alias("b")).first()
         state = self.segments()
         seg = state.agg(F.count("*").alias("n"), F.count_if("sealed").alias("s"), F.count_if(F.expr("sealed and unreleased = 0")).alias("r")).first()
-        return {"streams": len(self._state.high), "pending_records": left.n, "pending_payload_bytes": left.b, "live_segments": seg.n, "sealed_segments": seg.s, "reclaimable_segments": seg.r}
+        return {"streams": self._state.streams, "pending_records": left.n, "pending_payload_bytes": left.b, "live_segments": seg.n, "sealed_segments": seg.s, "reclaimable_segments": seg.r, "actual_file_bytes": self._root()["actual"]}
 
     def segments(self) -> DataFrame:
-        """(segment_id, records, unreleased, sealed, bytes) of the live segments."""
-        removed = self._control().where("kind = 'removed'").select("segment_id")
-        rows = self._records().join(removed, "segment_id", "left_anti")
+        """(segment_id, records, unreleased, bytes, sealed) of the live segments; bytes are those of their records."""
         gone = self._control().where("kind = 'release'").select("stream_id", "seq", F.lit(1).alias("g")).distinct()
-        state = rows.join(gone, ["stream_id", "seq"], "left").groupBy("segment_id").agg(F.count("*").alias("records"), (F.count("*") - F.count("g")).alias("unreleased"), F.sum(C.record_bytes(F.col("metadata_len"), F.col("payload_len"))).alias("bytes"))
-        return state.withColumn("sealed", F.col("segment_id") < self._state.segment)
+        state = self._records().join(gone, ["stream_id", "seq"], "left").groupBy("segment_id").agg(F.count("*").alias("records"), (F.count("*") - F.count("g")).alias("unreleased"), F.sum(C.record_bytes(F.col("metadata_len"), F.col("payload_len"))).alias("bytes"))
+        sealed = F.lit(True) if self._state.active is None else F.col("segment_id") != self._state.active
+        return state.withColumn("sealed", sealed)
 
     def released_ranges(self) -> DataFrame:
         return coalesce_ranges(self._control().where("kind = 'release'"))
 
+    def append_group(self, units: list[tuple[int, list[tuple[bytes, bytes]]]]) -> list[list[RecordId]]:
+        """Group commit: one epoch a unit (stream, records), as many in one write as the limits allow, in order."""
+        done: list[list[RecordId]] = []
+        while len(done) < len(units):
+            group, size = [], 0
+            for stream_id, records in units[len(done) :]:
+                more = epoch_bytes(records)
+                if group and (len(group) >= self.config.commit_units or size + more > self.config.commit_bytes):
+                    break
+                group.append((stream_id, records))
+                size += more
+            done += self._append(group)
+        return done
+
+    def _append(self, group: list[tuple[int, list[tuple[bytes, bytes]]]], timeout: float | None = None) -> list[list[RecordId]]:
+        """One write of whole epochs.  Order of errors: empty, too large, exhausted, lifecycle, capacity."""
+        config, count = self.config, self.operations["append"]
+        with self._lock:
+            count.started += len(group)
+            try:
+                for stream_id, records in group:
+                    if not records:
+                        raise EmptyAppend()
+                    if epoch_bytes(records) > config.max_epoch_bytes:
+                        raise EpochTooLarge(bytes=epoch_bytes(records), limit=config.max_epoch_bytes)
+                    if self.highwater(stream_id) + len(records) >= 2**63:
+                        raise SequenceExhausted()
+                self._check_open()
+                size, streams = sum(epoch_bytes(r) for _, r in group), {i for i, _ in group}
+                self._wait_until_admitted(size, sum(len(r) for _, r in group), streams, timeout)
+                return self._commit(group, size, streams)
+            except Cancelled:
+                count.cancelled += len(group)
+                raise
+            except LogError:
+                count.failed += len(group)
+                raise
+
+    def _wait_until_admitted(self, size: int, records: int, streams: set[int], timeout: float | None) -> None:
+        until = None if timeout is None else time.monotonic() + timeout
+        while True:
+            s = self._state
+            try:
+                return self._admit({"bytes": size, "records": records, "streams": len(streams), "new_streams": sum(self.highwater(i) < 0 for i in streams), "joining": len(streams - s.active_streams)})
+            except Full:
+                if self.config.reject_when_full:
+                    raise
+            left = None if until is None else until - time.monotonic()
+            if left is not None and left <= 0:
+                raise Cancelled("the append was given up while it waited for capacity")
+            self._changed.wait(left)
+            self._check_open()
+
+    def _commit(self, group: list[tuple[int, list[tuple[bytes, bytes]]]], size: int, streams: set[int]) -> list[list[RecordId]]:
+        s, count = self._state, self.operations["append"]
+        if s.active is not None and (self._expired() or s.segments[s.active].bytes + size > self.config.segment_bytes - C.SEGMENT_FOOTER):
+            self._seal()
+        fresh = s.active is None
+        segment = s.next_segment if fresh else s.active
+        state = _Segment(created_ms=int(self.clock() * 1000)) if fresh else s.segments[segment]
+        high = {i: self.highwater(i) for i in streams}
+        rows, ids = [], []
+        for n, (stream_id, records) in enumerate(group):
+            own = []
+            for metadata, payload in records:
+                high[stream_id] += 1
+                rows.append((segment, stream_id, high[stream_id], state.records + len(rows), s.epoch + 1 + n, state.created_ms, bytearray(metadata), bytearray(payload), len(metadata), len(payload)))
+                own.append(RecordId(self.root, stream_id, high[stream_id]))
+            ids.append(own)
+        made = self.spark.createDataFrame(rows, RECORDS).repartition(min(len(streams), 8), "stream_id").sortWithinPartitions("stream_id", "seq")
+        self._guarded(lambda: made.write.mode("append").partitionBy("segment_id").parquet(f"{self.path}/records"))
+        if fresh:
+            s.segments[segment], s.active, s.next_segment = state, segment, segment + 1
+        s.streams += sum(self.highwater(i) < 0 for i in streams)
+        s.active_streams |= streams
+        state.records, state.bytes, state.streams = state.records + len(rows), state.bytes + size, len(s.active_streams)
+        s.epoch += len(group)
+        self._high.update(high)
+        count.succeeded += len(group)
+        count.records += len(rows)
+        count.payload_bytes += sum(r[9] for r in rows)
+        self.commits["append"].add(len(group), size)
+        self._changed.notify_all()
+        return ids
+
     def reclaim(self) -> dict[str, int]:
-        """Removes sealed segments without pending records, keeping the highwaters their removal would lose."""
+        """Removes sealed segments without pending records, four a group, and deletes their files.
+
+        Of their highwaters only those are written that no live segment and no earlier removal holds.
+        """
         with self._lock:
             self._check_open()
-            done = self.segments().where("sealed and unreleased = 0").select("segment_id", "bytes").collect()
-            s = self._state
-            rows = [(s.manifest + 1 + i, "removed", None, None, r.segment_id) for i, r in enumerate(done)]
-            if rows:
-                rows += [(s.manifest + 1 + len(done), "highwater", k, v, None) for k, v in s.high.items()]
-                self._write(rows, CONTROL, "control")
-                s.manifest += len(done) + 1
+            s, freed = self._state, 0
+            done = [r.segment_id for r in self.segments().where("sealed and unreleased = 0").select("segment_id").orderBy("segment_id").collect()]  # of the live ones
+            for i in range(0, len(done), C.RECLAIM_JOB):
+                job = done[i : i + C.RECLAIM_JOB]
+                freed += self._remove(job)
             self.operations["reclaim"].succeeded += 1
-            return {"segments": len(done), "bytes": sum(r.bytes for r in done)}
+            self._changed.notify_all()
+            return {"segments": len(done), "bytes": freed}
+
+    def _remove(self, job: list[int]) -> int:
+        s = self._state
+        kept = self._control().where("kind = 'highwater'").groupBy("stream_id").agg(F.max("seq").alias("kept"))
+        tops = self._records().where(F.col("segment_id").isin(job)).groupBy("segment_id", "stream_id").agg(F.max("seq").alias("seq"))
+        rises = tops.join(kept, "stream_id", "left").where("kept is null or seq > kept")
+        rows = [(s.manifest + 1 + job.index(r.segment_id), "highwater", r.stream_id, r.seq, None) for r in rises.collect()]  # streams of four segments
+        named = [sum(r[0] == s.manifest + 1 + k for r in rows) for k in range(len(job))]
+        rows += [(s.manifest + 1 + k, "removed", None, None, segment) for k, segment in enumerate(job)]
+        self._write_control(rows, [C.REMOVED_BASE + C.STREAM_ENTRY * n for n in named])
+        freed = sum(s.segments.pop(segment).bytes for segment in job)
+        for segment in job:  # the removal is durable, so files that a crash leaves are not read again
+            _delete(self.spark, f"{self.path}/records/segment_id={segment}")
+        return freed
 
     def shutdown(self) -> None:
+        """Closes admission; those who wait are let go with ``Closed``."""
         with self._lock:
             if self.lifecycle == "running":
                 self.lifecycle = "closed"
+            self._changed.notify_all()
+
+
+def epoch_bytes(records: list[tuple[bytes, bytes]]) -> int:
+    return C.EPOCH + sum(C.DESCRIPTOR + len(m) + len(p) for m, p in records)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, store = _path(spark, path)
+    return store.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, store = _path(spark, path)
+    store.delete(p, True)
 
 
 class Stream:
@@ -250,47 +506,15 @@ class Stream:
         self.log, self.id = log, stream_id
 
     def stats(self) -> dict[str, object]:
-        left = self.log._pending().where(F.col("stream_id") == self.id).agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_len"), F.lit(0)).alias("b")).first()
-        return {"durable_known": self.id in self.log._state.high, "pending_records": left.n, "pending_payload_bytes": left.b}
+        left = self.log._pending(self.id).agg(F.count("*").alias("n"), F.coalesce(F.sum("payload_len"), F.lit(0)).alias("b")).first()
+        return {"durable_known": self.log.highwater(self.id) >= 0, "pending_records": left.n, "pending_payload_bytes": left.b}
 
-    def append(self, metadata: bytes, payload: bytes) -> RecordId:
-        return self.append_batch([(metadata, payload)])[0]
+    def append(self, metadata: bytes, payload: bytes, timeout: float | None = None) -> RecordId:
+        return self.append_batch([(metadata, payload)], timeout)[0]
 
-    def append_batch(self, records: list[tuple[bytes, bytes]]) -> list[RecordId]:
-        """One epoch: all of it or nothing.  Order of errors: empty, too large, exhausted, lifecycle, capacity."""
-        log, config = self.log, self.log.config
-        with log._lock:
-            count, s = log.operations["append"], log._state
-            count.started += 1
-            try:
-                size = C.EPOCH + sum(C.DESCRIPTOR + len(m) + len(p) for m, p in records)
-                first = s.high.get(self.id, -1) + 1
-                if not records:
-                    raise EmptyAppend()
-                if size > config.max_epoch_bytes:
-                    raise EpochTooLarge(bytes=size, limit=config.max_epoch_bytes)
-                if first + len(records) - 1 >= 2**63:
-                    raise SequenceExhausted()
-                log._check_open()
-                used, segment, ordinal = s.used or C.SEGMENT_HEADER, s.segment, s.ordinal
-                if s.ordinal and used + size > config.segment_bytes - C.SEGMENT_FOOTER:
-                    segment, used, ordinal = segment + 1, C.SEGMENT_HEADER, 0
-                if config.capacity is not None:
-                    least = C.ROOT + C.CHECKPOINT_BASE + C.LOG_HEADER + C.SEGMENT_HEADER + size + C.SEGMENT_FOOTER
-                    if least > config.capacity:
-                        raise ExceedsCapacity(needed=least, total=config.capacity)
-                    held = log.segments().agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-                    if held + least > config.capacity:
-                        raise Full(needed=held + least - config.capacity)
-                rows = [(self.id, first + i, segment, ordinal + i, s.epoch + 1, bytearray(m), bytearray(p), len(m), len(p)) for i, (m, p) in enumerate(records)]
-                log._write(rows, RECORDS, "records")
-            except LogError:
-                count.failed += 1
-                raise
-            s.segment, s.used, s.ordinal, s.epoch = segment, used + size, ordinal + len(records), s.epoch + 1
-            s.high[self.id] = first + len(records) - 1
-            count.succeeded, count.records, count.payload_bytes = count.succeeded + 1, count.records + len(records), count.payload_bytes + sum(len(p) for _, p in records)
-            return [RecordId(log.root, self.id, first + i) for i in range(len(records))]
+    def append_batch(self, records: list[tuple[bytes, bytes]], timeout: float | None = None) -> list[RecordId]:
+        """One epoch: all of it or nothing.  ``timeout`` bounds the wait for capacity of a root that blocks."""
+        return self.log._append([(self.id, records)], timeout)[0]
 
     def read(self, max_records: int, max_bytes: int) -> list[Record]:
         """The longest pending prefix within the limits; payload bytes count, metadata does not.  Nothing is []."""
@@ -301,7 +525,7 @@ class Stream:
             if max_records < 1 or max_bytes < 0:
                 raise InvalidReadLimits()
             log._check_open()
-            mine = log._pending().where(F.col("stream_id") == self.id)
+            mine = log._pending(self.id)
             rows = bounded_prefix(mine, max_records, max_bytes).orderBy("seq").collect()  # bounded by both limits
             if not rows:
                 first = mine.orderBy("seq").select("seq", "payload_len").limit(1).collect()
@@ -314,6 +538,20 @@ class Stream:
         count.records += len(rows)
         return [Record(RecordId(log.root, self.id, r.seq), bytes(r.metadata), bytes(r.payload)) for r in rows]
 
+    def read_wait(self, max_records: int, max_bytes: int, timeout: float) -> list[Record]:
+        """Like ``read``, but waits until something is pending; a wait that is given up counts as cancelled."""
+        log, until = self.log, time.monotonic() + timeout
+        while True:
+            with log._lock:
+                got = self.read(max_records, max_bytes)
+                if got:
+                    return got
+                left = until - time.monotonic()
+                if left <= 0:
+                    log.operations["read"].cancelled += 1
+                    raise Cancelled("the read was given up while nothing was pending")
+                log._changed.wait(left)
+
     def release(self, ids: list[RecordId]) -> int:
         """Releases exactly these records; those gone already are no-ops.  One bad id rejects the whole call.
 
@@ -330,17 +568,20 @@ class Stream:
                     if i.root != log.root or i.stream_id != self.id:
                         raise RecordIdScopeMismatch(id=str(i))
                 for i in ids:
-                    if not 0 <= i.sequence <= s.high.get(self.id, -1):
+                    if not 0 <= i.sequence <= log.highwater(self.id):
                         raise UnknownRecordId(id=str(i))
                 if not ids:
                     count.succeeded += 1
                     return 0
                 log._check_open()
                 wanted = log.spark.createDataFrame([(self.id, n) for n in sorted({i.sequence for i in ids})], "stream_id long, seq long")
-                new = [r.seq for r in log._pending().join(wanted, ["stream_id", "seq"], "left_semi").select("seq").collect()]  # at most the ids given
+                new = sorted(r.seq for r in log._pending(self.id).join(wanted, ["stream_id", "seq"], "left_semi").select("seq").collect())  # at most the ids given
                 if new:
-                    log._write([(s.manifest + 1, "release", self.id, n, None) for n in sorted(new)], CONTROL, "control")
-                    s.manifest += 1
+                    ranges = 1 + sum(b != a + 1 for a, b in zip(new, new[1:]))
+                    size = C.RELEASE_BASE + C.RANGE * ranges
+                    log._write_control([(s.manifest + 1, "release", self.id, n, None) for n in new], [size])
+                    log.commits["release"].add(1, size)
+                    log._changed.notify_all()
             except LogError:
                 count.failed += 1
                 raise
