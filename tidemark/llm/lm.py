@@ -13,25 +13,25 @@ The probability of a word is the attention's, interpolated with the corpus: a wo
 has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
 
 Learning.  Counts of words and ids cover all training texts.  The weights start on a bounded sample
-(pieces of about ``start_texts`` rows drawn by hash, read again until ``start_positions`` are trained), then every position of every training text takes
-part: each task trains from the common weights on all windows of its texts, and the weights are averaged by trained
-positions, in two levels.
+(pieces of about ``start_texts`` rows drawn by hash, read again until ``start_positions`` are trained), then every
+position of every training text takes part: each lane trains from the common weights on all windows of its texts, and
+the weights are averaged by trained positions, in two levels.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fan_in, materialise
+from tidemark.llm.common import chunks, fan_in, materialise, utf8
 from tidemark.llm.language import fold
 from tidemark.llm.tokens import WordTable, slices
 
@@ -189,8 +189,17 @@ class Attention:
         return out[: len(local)]
 
     def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """log10 probability of the id after each position; 0 where a text ends."""
-        out = np.log(np.maximum(self.foretold(self.local[ids], text, chance), 1e-30)).astype(np.float64)
+        """log10 probability of the id after each position; 0 where a text ends.
+
+        Each text begins on the grid of windows, so its score does not hang on the texts beside it.
+        """
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        size = np.diff(first, append=len(text))
+        room = -(-size // STRIDE) * STRIDE
+        place = np.arange(len(text)) + np.repeat(np.cumsum(room) - room - first, size)
+        x, owner = np.zeros(int(room.sum()), np.int32), np.full(int(room.sum()), -1, np.int64)
+        x[place], owner[place] = self.local[ids], text
+        out = np.log(np.maximum(self.foretold(x, owner, chance)[place], 1e-30)).astype(np.float64)
         out[:-1] += self.inner[ids[1:]]
         out[:-1] *= text[1:] == text[:-1]
         out[-1:] = 0
@@ -251,38 +260,9 @@ def _flat(table: WordTable, texts: list[str | None]) -> tuple[np.ndarray, ...]:
     return np.insert(ids, np.cumsum(size) - size, table.end[0]), np.repeat(np.arange(len(texts)), size + 1), where, n, words
 
 
-def _spans(table: WordTable, texts: list[str | None], share: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, text of each) of a span of each text: a ``share``-th of its words, ``least`` at least, from a place drawn
-    by its bytes.  An end stands before and after a span only where the text has one; elsewhere nothing is foretold.
-    """
-    words, number, begins = [], [], []
-    for i, b in enumerate(lowered(texts)):
-        own = b.split()
-        n = max(least, -(-len(own) // share))
-        at = zlib.crc32(b[:256]) % max(1, len(own) - n + 1)
-        part = own[at : at + n]
-        if at + n >= len(own):
-            part.append(b"")
-        words += part
-        number += [i] * len(part)
-        begins.append(at == 0)
-    where = table.lookup(words)
-    n = table.first[where + 1] - table.first[where]
-    take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - table.first[where], n)
-    text = np.repeat(np.array(number, np.int64), n)
-    first = np.searchsorted(text, np.arange(len(texts)))
-    return np.insert(table.flat[take], first, table.end[0]), np.insert(text, first, np.where(begins, np.arange(len(texts)), -1))
-
-
-def _batches(model: Attention, table: WordTable, texts: list[str | None], share: int, size: int):
-    """Windows of spans of a run of texts, in batches of ``size``."""
-    ids, text = _spans(table, texts, share)
-    parts = model.windows(model.local[ids], text)
-    for i in range(0, len(parts[0]), size):
-        yield tuple(a[i : i + size] for a in parts)
-
-
-def _trainer(state: bytes, path: str, pattern: str, share: int, rate: float, least: int = 0, windows: int = 128):
+def _trainer(state: bytes, path: str, pattern: str, rate: float, least: int = 0, windows: int = 128):
+    """Trains from ``state`` on every window of the texts of a task, again and again until ``least`` are trained."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, seen = pickle.loads(state), _table(path, pattern), 0
         for batch in batches:
@@ -290,7 +270,10 @@ def _trainer(state: bytes, path: str, pattern: str, share: int, rate: float, lea
             while True:
                 before = seen
                 for i, j in slices(texts, 1 << 19):
-                    for b in _batches(model, table, texts[i:j], share, windows):
+                    ids, text, *_ = _flat(table, texts[i:j])
+                    parts = model.windows(model.local[ids], text)
+                    for k in range(0, len(parts[0]), windows):
+                        b = tuple(a[k : k + windows] for a in parts)
                         seen += int(b[-1].sum())
                         # the rate falls as 1 / sqrt of the steps so far
                         model.learn(*b, rate / (1 + model.step / 200) ** 0.5)
@@ -303,24 +286,30 @@ def _trainer(state: bytes, path: str, pattern: str, share: int, rate: float, lea
 
 
 def _average(table: pa.Table) -> pa.Table:
-    total, n = 0.0, 0
+    """The weights' mean by trained positions, added in the order of the lanes."""
+    table, total, n = table.sort_by("at"), 0.0, 0
     for w, s in zip(table.column("weights").to_pylist(), table.column("seen").to_pylist()):
         total, n = total + np.frombuffer(w, np.float32).astype(np.float64) * s, n + s
-    return pa.table({"weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "seen": [n]})
+    return pa.table({"weights": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "seen": [n], "at": pa.array([table.column("at")[0].as_py()], pa.int32())})
 
 
 # ---------------------------------------------------------------- corpus counts
 
 def _count_words(batches: Iterator[pa.RecordBatch], hold: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the texts of a task; a batch's words are told apart in Arrow."""
     held: Counter[bytes] = Counter()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.update((text or "").encode("utf-8", "replace").lower().split())
-            held[b""] += 1
+        _, at = utf8(batch.column("text"))
+        for i, j in chunks(at):
+            text = pc.ascii_lower(pc.fill_null(batch.column("text").slice(i, j - i).cast(pa.large_string()), ""))
+            kinds = pc.value_counts(pc.ascii_split_whitespace(text).flatten())
+            counts = dict(zip(kinds.field("values").cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), kinds.field("counts").to_pylist()))
+            counts[b""] = j - i  # an end a text; white space at its ends leaves empty strings, which are no words
+            held.update(counts)
             if len(held) > hold:
                 yield out()
                 held.clear()
@@ -359,34 +348,41 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
 
 
 def start_pieces(texts: DataFrame, n: int, start_texts: int, size: int = 20_000) -> DataFrame:
-    """About ``start_texts`` of the ``n`` rows, all if there are no more, and a piece of ``size`` characters of each."""
-    h = F.xxhash64("text", F.monotonically_increasing_id())
-    rows = texts.withColumn("h", h)
-    rows = rows.where(F.pmod("h", F.lit(n)) < start_texts) if n > start_texts else rows
+    """About ``start_texts`` of the ``n`` rows (text, h), all if there are no more, and a piece of ``size`` characters
+    of each, in the order of their hash."""
+    rows = texts.where(F.pmod("h", F.lit(n)) < start_texts) if n > start_texts else texts
     at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
-    return rows.select(F.col("text").substr(at.cast("int"), F.lit(size)).alias("text"))
+    return rows.select("h", F.col("text").substr(at.cast("int"), F.lit(size)).alias("text")).repartition(1).sortWithinPartitions("h", "text").select("text")
+
+
+#: Texts of a lane, in which the pass over all texts trains one after another, and the most lanes there are.
+LANE_TEXTS, LANES = 4_000, 65_536
 
 
 def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, rate: float = 0.015) -> Attention:
-    """The model of the rows of ``docs`` (text).  No rows leave it untrained, but proper.
+    """The model of the rows of ``docs`` (doc_id, text).  No rows leave it untrained, but proper.
 
-    ``trained`` is the number of positions in the pass over all texts.
+    Rows are dealt to lanes, and ordered in them, by a hash of identifier and text, and the number of lanes follows
+    from the number of rows: the result does not hang on how the table lies in partitions.  ``trained`` is the number
+    of positions in the pass over all texts.
     """
     model = Attention(id_counts(counts, path, pattern))
     model.trained = 0
-    texts = docs.select(F.col("text").cast("string").alias("text"))
     schema = "weights binary, seen long"
     n = counts.where("octet_length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # each text has one end
-    sample = start_pieces(texts, n, start_texts).repartition(1)
-    got = sample.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate, start_positions), schema).collect()
     if not n:
         return model
+    text = F.col("text").cast("string")
+    texts = docs.select(text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"))
+    got = start_pieces(texts, n, start_texts).mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate, start_positions), schema).collect()
     if got:
         model.put(np.frombuffer(got[0].weights, np.float32))
     model.step, model.m1, model.m2 = 0, {}, {}
-    part = texts.mapInArrow(_trainer(pickle.dumps(model), path, pattern, 1, rate * 0.2, windows=256), schema)
-    part = part.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(texts.rdd.getNumPartitions()))))
-    got = part.groupBy("lane").applyInArrow(_average, schema).groupBy(F.lit("all")).applyInArrow(_average, schema).collect()
+    lanes = min(LANES, -(-n // LANE_TEXTS))
+    dealt = texts.repartition(lanes, "h").sortWithinPartitions("h", "text").select("text")
+    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=256), schema).withColumn("at", F.spark_partition_id())
+    part = part.withColumn("lane", F.pmod("at", F.lit(fan_in(lanes))))
+    got = part.groupBy("lane").applyInArrow(_average, f"{schema}, at int").groupBy(F.lit("all")).applyInArrow(_average, f"{schema}, at int").collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
     model.trained = got[0].seen
     return model
