@@ -73,32 +73,70 @@ def test_scoring_is_the_forward_pass():
     assert np.allclose(got[counted.ravel()[:700]], want[counted.ravel()[:700]], rtol=1e-4)
 
 
-def test_spans_foretell_only_what_the_text_has():
-    table = lm._table(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    texts = [" ".join(f"w{i}" for i in range(400)), "", None, "one two", "x" * 3000]
-    ids, text = lm._spans(table, texts, 4)
-    end = table.end[0]
-    whole, owner, *_ = lm._flat(table, texts)
-    assert (ids == end).sum() == 5 + 4 and [int((text == i).sum()) for i in (1, 2, 3)] == [2, 2, int((owner == 3).sum())]
-    long = lambda a, t: a[t == 0].tolist()
-    assert str(long(ids, text))[1:-1] in str(long(whole, owner)) and len(long(ids, text)) > 100
+def test_score_is_recomputed(spark, odd):
+    """Every window of every text, one at a time, with a plain softmax; words interpolated with the corpus."""
+    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    docs = odd.collect()
+    learned = odd.where(language.fold(5) != 1)
+    model, counts = lm.train(learned, lm.word_counts(learned), *args), Counter()
+    split = lambda t: (t or "").encode().lower().split() + [b""]
+    for d in learned.collect():
+        counts.update(split(d.text))
+    total, table, p, chance = sum(counts.values()), lm._table(*args), model.p, model.chances()
+
+    def text_score(text):
+        words = split(text)
+        ids = [table.end[0]]
+        size = []
+        for w in words:
+            own = table.encode([w])[1][:-1].tolist() if w else [table.end[0]]
+            ids += own
+            size.append(len(own))
+        x = model.local[np.array(ids)]
+        logs = []
+        for t in range(len(ids) - 1):
+            first = max(0, t // lm.STRIDE * lm.STRIDE - lm.STRIDE)  # windows are cut from the text's begin
+            keys = np.arange(first, t + 1)
+            a = p["k"][x[keys]] @ p["q"][x[t]] * lm.KEY**-0.5 + p["r"][t - keys]
+            a = np.exp(a - a.max())
+            z = np.tanh(p["h"][x[t]] + (a / a.sum()) @ p["v"][x[keys]])
+            m = z @ p["w"] + p["b"]
+            m = np.exp(m - m.max())
+            logs.append((np.log((m / m.sum()) @ chance[x[t + 1]]) + model.inner[ids[t + 1]]) / np.log(10))
+        at, out = 0, 0.0
+        for w, n in zip(words, size):
+            attention = sum(logs[at : at + n])
+            out += np.log10((1 - lm.SHARE) * counts[w] / total + lm.SHARE * 10**attention) if counts[w] else np.log10(lm.SHARE) + attention
+            at += n
+        return out
+
+    want = Counter(((d.doc_id or -1), round(text_score(d.text), 2)) for d in docs if len(d.text or "") < 5000)
+    got = Counter(((r.doc_id or -1), round(r.score, 2)) for r in lm.score_documents(odd, *args).collect())
+    assert all(got[k] == n for k, n in want.items()) and len(want) > 6
+
+
+def test_scores_do_not_hang_on_partitions(spark, sf):
+    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(d, *args).collect()} for d in (docs.repartition(1), docs.repartition(5)))
+    assert a == pytest.approx(b, rel=1e-5)
 
 
 def test_all_positions_are_trained(spark):
     args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(n)),) for i, n in enumerate([3000, 700, 1, 0, 1200])] + [(None,)], "text string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(n))) for i, n in enumerate([3000, 700, 1, 0, 1200])] + [(None, None)], "doc_id long, text string")
     counts = lm.word_counts(docs)
     assert lm.train(docs, counts, *args, start_positions=1000).trained == lm.id_counts(counts, *args).sum() > 4900
 
 
 def test_long_texts_train_and_start(spark):
     args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    docs = spark.createDataFrame([(" ".join(f"w{i * j % 97}" for j in range(30_000)),) for i in (1, 2)], "text string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(30_000))) for i in (1, 2)], "doc_id long, text string")
     counts = lm.word_counts(docs)
     model = lm.train(docs, counts, *args, start_positions=1000)
     assert model.trained == lm.id_counts(counts, *args).sum() > 60_000
-    assert [len(r.text) for r in lm.start_pieces(docs, 2, 3000).collect()] == [20_000] * 2
-    rows = spark.range(0, 8000, 1, 8).selectExpr("concat(if(id < 4000, 'a', 'b'), id) text")
+    assert [len(r.text) for r in lm.start_pieces(docs.withColumn("h", F.xxhash64("text")), 2, 3000).collect()] == [20_000] * 2
+    rows = spark.range(0, 8000, 1, 8).selectExpr("concat(if(id < 4000, 'a', 'b'), id) text", "xxhash64(id) h")
     got = [r.text for r in lm.start_pieces(rows, 8000, 800).collect()]
     assert 600 < len(got) < 1000 and min(sum(t[0] == c for t in got) for c in "ab") > 250
 
