@@ -258,6 +258,35 @@ def test_every_constraint_holds(rule):
         assert sorted(offset[where == b]) == sorted(np.cumsum(np.concatenate(([0], own[np.argsort(offset[where == b])][:-1]))))
 
 
+def neighbours(lengths, where):
+    """The next larger piece in the bin of each: bins have other numbers under another rule."""
+    last, out = {}, {}
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        out[i], last[where[i]] = last.get(where[i]), i
+    return out
+
+
+def test_weights_steer_the_choice_and_cost_no_sequence():
+    lengths = np.clip(np.random.default_rng(5).lognormal(5.3, 1.1, 8192).astype(int), 1, 2047)
+    own, _ = packing.best_fit(lengths, packing.Capacity())
+    scalar, _ = packing.best_fit(lengths, packing.Capacity(weights=(1.0, 0.0, 0.0)))
+    a, b = neighbours(lengths, own), neighbours(lengths, scalar)
+    assert own.max() == scalar.max() <= -(-lengths.sum() // 2048) and sum(a[i] != b[i] for i in a) > 0.03 * len(a)
+
+
+@pytest.mark.parametrize("tight", [{"tokens": 90}, {"documents": 2}, {"attention": 8_200}])
+def test_each_capacity_binds(tight):
+    from dataclasses import replace
+
+    lengths = np.random.default_rng(6).integers(1, 91, 2000)
+    loose = packing.Capacity(120, 6, 12_000)
+    more, _ = packing.best_fit(lengths, replace(loose, **tight))
+    fewer, _ = packing.best_fit(lengths, loose)
+    cap, bins = replace(loose, **tight), range(more.max() + 1)
+    use = np.array([(lengths[more == b].sum(), (more == b).sum(), (lengths[more == b] ** 2).sum()) for b in bins])
+    assert (use <= (cap.tokens, cap.documents, cap.attention)).all() and more.max() > fewer.max()
+
+
 # ------------------------------------------------ top-k
 
 def test_top_k_is_brute_force(spark, sf):
