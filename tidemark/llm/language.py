@@ -121,12 +121,18 @@ class Model:
         return lang.tolist(), score, fit, margin
 
 
-def train(docs: DataFrame, alpha: float = 0.1) -> Model:
-    """Counts over all rows of ``docs`` (text, lang) that have a language."""
+def train(docs: DataFrame, alpha: float = 0.1, most: int = 512) -> Model:
+    """Counts over all rows of ``docs`` (text, lang) that have a language.
+
+    A language takes 512 KB of counts, so more than ``most`` are refused: such a column is no language.
+    """
     rows = docs.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     schema = "lang string, counts binary, docs long"
     part = rows.mapInArrow(_count, schema).withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(rows.rdd.getNumPartitions()))))
-    return Model(part.groupBy("lang", "lane").applyInArrow(_sum, schema).groupBy("lang").applyInArrow(_sum, schema).collect(), alpha)
+    found = part.groupBy("lang", "lane").applyInArrow(_sum, schema).groupBy("lang").applyInArrow(_sum, schema).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages")
+    return Model(found, alpha)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, measures: bool = False) -> DataFrame:
@@ -159,7 +165,12 @@ def fold(folds: int) -> Column:
 
 
 def language_documents(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """Predictions for every row; documents of the held-out fold are not learned from.  A null text is ``und``."""
+    """Predictions for every row of ``docs`` (doc_id, text, lang); documents of the held-out fold are not learned from.
+
+    A null text, or one without a letter, is ``und`` with score 0; so is every text if no row to learn from has a
+    language.  A null doc_id counts as an empty one for the fold; repeated rows count and are predicted each; of
+    languages that are equally likely the first by name wins; other columns are not read.
+    """
     model = train(docs.where(fold(folds) != held).select("text", "lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(folds) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict(rows, model, ["doc_id", "held_out"])

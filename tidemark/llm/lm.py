@@ -478,4 +478,5 @@ def score(docs: DataFrame, held_out: Column, path: str, pattern: str, hot_words:
 
 
 def score_documents(docs: DataFrame, path: str, pattern: str, folds: int = 5, held: int = 1) -> DataFrame:
+    """``score`` with the fold ``held`` of ``folds`` held out, by the checksum of the identifier (null: empty)."""
     return score(docs, fold(folds) == held, path, pattern)

@@ -179,7 +179,9 @@ def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, sha
 def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share: float = 0.005, keep_share: float = 0.3, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps, without the frequent lines of their host; all columns stay.
 
-    A line goes with its line break.  ``n_chars``, where there is one, is counted anew for a text that lost a line.
+    A null text fails the base rules and goes; a null host is a host of its own; rows of the same identifier, host and
+    text are judged alike and each stay or go; an empty table stays empty.  A line goes with its line break.
+    ``n_chars``, where there is one, is counted anew for a text that lost a line.
     """
     feats, gone = _judged(docs, host, min_docs, share, min_words, max_repeat)
     judged = feats.select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_id").alias("__text"), "base_failed", "n_words").distinct()
@@ -195,4 +197,5 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, share
 
 
 def quality_documents(docs: DataFrame) -> DataFrame:
+    """The counts and the verdict of ``quality`` with its defaults, by the ``source`` of a document."""
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")

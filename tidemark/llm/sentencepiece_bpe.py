@@ -212,7 +212,11 @@ class Codec:
         return text[1:] if self.prefix and ids and self.pieces[ids[0]][0].startswith(SPACE) else text
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), each distinct word worked out once."""
+        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text), each distinct word worked out once.
+
+        Each distinct unit's ids are decoded when they are made.  Where they give the unit itself, which is remembered
+        with them, the decoded text takes the unit's own characters; elsewhere what the ids decode to.
+        """
         text = (text or "").replace(SPACE, " ")
         if not text:
             got = []

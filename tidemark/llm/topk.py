@@ -206,5 +206,11 @@ def integers(table: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def search_embeddings(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+    """The k best rows for each row whose vec_id is divisible by ``every``, against all rows.
+
+    Null identifiers and vectors that are null or hold a null or non-finite component take no part; repeated vectors
+    are candidates each; an empty table gives no rows; other columns are not read.  As the queries are a share of the
+    rows, the work is theirs times all rows: each row is sent once per block of queries.
+    """
     rows = integers(table)
     return top_k(rows, rows.where(F.col("vec_id") % every == 0), k)

@@ -214,4 +214,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) written to archives and read back: a row per page.
+
+    A null html is an empty payload and a null url is ``-``; a page with a null page_id is a response if no page of
+    the payload has an identifier, and else revisits the one with the largest; rows repeated with that largest
+    identifier are responses each; an empty table gives no rows; other columns are not read.
+    """
     return read_archives(write_archives(pages))
