@@ -179,6 +179,32 @@ def test_language(spark, sf, odd):
     assert language.language_documents(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_language_is_naive_bayes(spark, sf):
+    """Counts, log probabilities and scores one gram at a time, over the same hashed buckets."""
+    docs = [d for d in spark.read.parquet(f"{sf}/documents.parquet").collect() if d.doc_id < 60]
+    grams = {}
+    for d in docs:
+        two, three, start, stop = language.grams([d.text])
+        grams[d.doc_id] = [int(g[i]) for i in range(start[0], stop[0]) for g in (two, three)]
+    count, total, seen = defaultdict(Counter), Counter(), Counter()
+    for d in docs:
+        if crc(d.doc_id) % 3 != 1 and d.lang is not None:
+            seen[d.lang] += 1
+            count[d.lang].update(grams[d.doc_id])
+            total[d.lang] += len(grams[d.doc_id])
+    got = {r.doc_id: r for r in language.language_documents(spark.createDataFrame([tuple(d) for d in docs], DOCS)).collect()}
+    for d in docs:
+        r, own = got[d.doc_id], grams[d.doc_id]
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {k: np.log(seen[k] / sum(seen.values())) + sum(np.log((count[k][g] + 0.1) / (total[k] + 0.1 * 2**language.BITS)) for g in own) for k in seen}
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(min(0, v - logs[best])) for v in logs.values()), abs=1e-3)
+    with pytest.raises(ValueError, match="languages"):
+        language.train(spark.range(40).selectExpr("cast(id as string) lang", "'abc' text"), most=30)
+
+
 # ------------------------------------------------ SentencePiece
 
 def test_sentencepiece(spark, sf, odd):
@@ -411,6 +437,32 @@ def test_language_stage_rejects_what_is_not_of_its_language(spark, sf):
     assert Counter(d.doc_id for d in got) == Counter([*clean, -6, -7])
 
 
+@pytest.mark.parametrize("stage", ["quality_rules", "language_id", "near_duplicates", "best_fit_packing"])
+def test_stages_take_odd_tables(spark, sf, stage):
+    import corpus_pipeline as pipe
+
+    run, clash = dict(pipe.STAGES)[stage], [F.lit(7).alias(c) for c in ("uid", "component", "lang_pred", "score", "kept", "piece", "__left", "host", "node")]
+    for rows in ([], [(i, None, None, None, None) for i in (1, 1, None)], ODD):
+        docs = spark.createDataFrame(rows, DOCS).select("*", *clash)
+        got = run(spark, docs, sf).collect()
+        if stage == "best_fit_packing":
+            assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r[0] for r in rows)
+        elif stage == "near_duplicates":  # one row of each distinct text but those without words, which all stay
+            words = [(i, (t or "").lower().split()) for i, t, *_ in rows]
+            kinds = {" ".join(w) for _, w in words if w}
+            assert len(got) == len(kinds) + sum(not w for _, w in words) and set(got) <= {tuple(r) for r in rows}
+        elif stage == "language_id":
+            assert Counter(map(tuple, got)) - Counter(rows) == Counter() and all(r.text and any(c.isalpha() for c in r.text) for r in got if any(x[2] for x in rows))
+        else:
+            assert Counter(map(tuple, got)) == Counter(r for r in rows if not base_of(r[1]))
+
+
+def base_of(text):
+    from test_sharding_quality_jaccard import base
+
+    return base(text)[-1]
+
+
 # ------------------------------------------------ registration
 
 def test_registered_and_like_their_sql(spark):

@@ -46,6 +46,18 @@ def test_shards(spark, sf):
         assert all(r.grown_shard in (r.shard, 16) and r.law == "key" for r in rows)
 
 
+def xxhash64(n):
+    """Spark's hash of a long with its default seed 42."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(int(n).to_bytes(8, "little", signed=True), 42)
+
+
+def test_shard_of_a_document_is_the_jump_of_its_hash(spark, sf):
+    rows = sharding.shard_documents(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    assert all((r.shard, r.grown_shard) == (jump(xxhash64(r.doc_id), 16), jump(xxhash64(r.doc_id), 17)) for r in rows) and len({r.shard for r in rows}) == 16
+
+
 def base(text):
     text = text or ""
     words = WORD.findall(text)
