@@ -29,14 +29,18 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and are not depleted, without the boilerplate lines of their host."""
+    """Rows that pass the base rules and are not depleted, without the boilerplate lines of their host.
+
+    A null text fails; a null source is a host of its own; repeated rows stay or go alike; no rows, none kept.
+    """
     return clean(docs.select(*COLUMNS), min_docs=MIN_DOCS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is certain and is the one they state, if any; learned from all rows that state one.
 
-    Nothing goes where none does.
+    Nothing goes where none does, so neither from an empty table nor from one without languages; elsewhere a null text
+    and one without a letter go.  Repeated rows count each.
     """
     model = train(docs)
     if not model.langs:
@@ -50,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near duplicates: that of the smallest doc_id.
 
     Rows are told apart by their place in ``docs``, which must be a table that is read the same each time, as what a
-    stage has written is.
+    stage has written is.  Rows without words (null, empty, blank) link with nothing and all stay; of repeated rows one
+    stays; a row without a doc_id stays only for a group that has none.
     """
     rows = docs.select(*COLUMNS).withColumn("uid", F.monotonically_increasing_id())
     groups = jaccard_components(rows.select(F.col("uid").alias("doc_id"), "text"), WORDS, NUM, DEN).select(F.col("doc_id").alias("uid"), F.col("component_id").alias("component"))
@@ -59,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows in sequences of at most 2048 tokens."""
+    """Pieces of all rows in sequences of at most 2048 tokens; a row without text is one piece, its end."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -69,6 +74,7 @@ STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again; columns beside COLUMNS are not read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
