@@ -67,7 +67,7 @@ class Subwords:
 def _table(path: str, pattern: str) -> WordTable:
     if path not in _TABLES:
         sub = Subwords(path, pattern)
-        _TABLES[path] = WordTable(sub, [sub.size - 1])
+        _TABLES[path] = WordTable(sub, [sub.size - 1], 250_000)
     return _TABLES[path]
 
 
@@ -295,7 +295,7 @@ def _average(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------- corpus counts
 
-def _count_words(batches: Iterator[pa.RecordBatch], hold: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterator[pa.RecordBatch], hold: int = 150_000) -> Iterator[pa.RecordBatch]:
     """(word, n) of the texts of a task; a batch's words are told apart in Arrow."""
     held: Counter[bytes] = Counter()
 
@@ -327,15 +327,14 @@ def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
     """Occurrences of every subword id, from the counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path, pattern)
-        total = np.zeros(table.encode_words.size, np.int64)
-        for batch in batches:
+        sub = Subwords(path, pattern)
+        total = np.zeros(sub.size, np.int64)
+        for batch in batches:  # each word comes once, so none is remembered
             words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for i in range(0, len(words), 50_000):
-                where = table.lookup(words[i : i + 50_000])
-                size = table.first[where + 1] - table.first[where]
-                take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - table.first[where], size)
-                total += np.bincount(table.flat[take], weights=np.repeat(n[i : i + 50_000], size), minlength=len(total)).astype(np.int64)
+            real = [i for i, w in enumerate(words) if w]
+            ids, size = sub([words[i] for i in real])
+            total += np.bincount(ids, weights=np.repeat(n[real], size), minlength=len(total)).astype(np.int64)
+            total[-1] += int(n.sum() - n[real].sum())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     def add(table: pa.Table) -> pa.Table:
