@@ -277,9 +277,9 @@ def record_id_codec(log):
 @query("SELECT stream_id, highwater, CAST(coalesce(n, 0) AS BIGINT) AS pending_records, CAST(coalesce(b, 0) AS BIGINT) AS pending_payload_bytes, CAST(r AS BIGINT) AS released FROM (SELECT stream_id, max(seq) AS highwater FROM rec GROUP BY stream_id) LEFT JOIN (SELECT stream_id, count(*) AS n, sum(payload_len) AS b FROM pending GROUP BY stream_id) USING (stream_id) JOIN (SELECT stream_id, count(*) AS r FROM rel GROUP BY stream_id) USING (stream_id)", "rec", "rel", "pending")
 def streaming_state_final(log):
     """Appends, then releases (each twice), as a stream of commands drained through the state processor."""
-    from tidemark.streaming.lifecycle import drain
+    from tidemark.streaming.lifecycle import cut, drain
 
     command = lambda df, kind, size: df.select("stream_id", F.lit(kind).alias("kind"), F.col("append_order").alias("order"), "seq", size.cast("long").alias("payload_len"))
     appends, releases = command(log.rec(), "append", F.col("payload_len")), command(log.rel(), "release", F.lit(0))
-    final = drain(log.spark, [appends, releases.unionByName(releases)])
+    final = drain(log.spark, [*cut(appends), *cut(releases.unionByName(releases))])
     return final.select("stream_id", "highwater", "pending_records", "pending_payload_bytes", "released")

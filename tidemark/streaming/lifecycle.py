@@ -29,20 +29,28 @@ class StreamLog(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         high, records, size, released, ignored, rejected = self.head.get() if self.head.exists() else (-1, 0, 0, 0, 0, 0)
-        frames = pd.concat(list(rows)).sort_values("order", kind="stable")
-        for kind, seq, length in zip(frames["kind"], frames["seq"], frames["payload_len"]):
+        # a trigger is bounded (``cut``), and so is what a stream has in it
+        frame = pd.concat(list(rows)).sort_values("order", kind="stable")
+        fresh: dict[int, int] = {}  # what this batch appends and has not released: one state call a row, or none
+        for kind, seq, length in zip(frame["kind"].tolist(), frame["seq"].tolist(), frame["payload_len"].tolist()):
             if kind == "append":
                 high += 1
-                self.pending.updateValue((high,), (int(length),))
-                records, size = records + 1, size + int(length)
+                fresh[high] = length
+                records, size = records + 1, size + length
             elif seq > high or seq < 0:
                 rejected += 1
-            elif self.pending.containsKey((int(seq),)):
-                size -= self.pending.getValue((int(seq),))[0]
-                self.pending.removeKey((int(seq),))
-                records, released = records - 1, released + 1
             else:
-                ignored += 1
+                gone = fresh.pop(seq, None)
+                if gone is None:
+                    held = self.pending.getValue((seq,)) if self.pending.containsKey((seq,)) else None
+                    if held is None:
+                        ignored += 1
+                        continue
+                    gone = held[0]
+                    self.pending.removeKey((seq,))
+                size, records, released = size - gone, records - 1, released + 1
+        for seq, length in fresh.items():
+            self.pending.updateValue((seq,), (length,))
         self.head.update((high, records, size, released, ignored, rejected))
         yield pd.DataFrame([(key[0], high, records, size, released, ignored, rejected)], columns=["stream_id", "highwater", "pending_records", "pending_payload_bytes", "released", "ignored", "rejected"])
 
@@ -55,9 +63,18 @@ def log_state(commands: DataFrame) -> DataFrame:
     return commands.groupBy("stream_id").transformWithStateInPandas(StreamLog(), OUTPUT, "Update", "None")
 
 
+def cut(commands: DataFrame, size: int = 1_000_000) -> list[DataFrame]:
+    """Batches of ``size`` orders each, in order: what one trigger takes does not grow with the table."""
+    ends = commands.agg(F.min("order").alias("a"), F.max("order").alias("b")).first()
+    if ends.a is None:
+        return []
+    return [commands.where(F.col("order").between(at, at + size - 1)) for at in range(ends.a, ends.b + 1, size)]
+
+
 def drain(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     """The final state after the batches of commands, one after the other, each drained and then restarted from the
-    checkpoint.  Source, checkpoint and sink are in the shared folder."""
+    checkpoint.  Source, checkpoint and sink are in the shared folder.  A batch is a
+    trigger, so ``cut`` large tables of commands first."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
