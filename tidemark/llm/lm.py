@@ -7,7 +7,8 @@ the whole vocabulary costs MIX products.  Ids beyond the most frequent share one
 smoothed corpus frequency.  Probabilities are proper over id sequences.
 
 Windows hold 2 * STRIDE positions and overlap by STRIDE: every position is scored once, as a query of the second half
-of its window, with at least STRIDE positions before it where the text has them.
+of its window, with at least STRIDE positions before it where the text has them.  Texts are spelled once; counting,
+learning and scoring read their ids.
 
 The probability of a word is the attention's, interpolated with the corpus: a word seen c times in N training tokens
 has (1 - SHARE) c / N + SHARE * attention(word | what precedes).
@@ -22,20 +23,18 @@ from __future__ import annotations
 
 import base64
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, fan_in, materialise, utf8
+from tidemark.llm.common import _LOWER, chunks, fan_in, materialise, mix, powers, utf8
 from tidemark.llm.language import fold
-from tidemark.llm.tokens import WordTable, slices
+from tidemark.llm.tokens import WordTable
 
-STRIDE, KEY, STATE, MIX, TOP = 16, 16, 32, 48, 2047
+STRIDE, KEY, STATE, MIX, TOP = 16, 8, 16, 24, 2047
 SHARE = 0.8
 _TABLES: dict[str, WordTable] = {}
 
@@ -71,17 +70,16 @@ def _table(path: str, pattern: str) -> WordTable:
     return _TABLES[path]
 
 
-def lowered(texts: list[str | None]) -> list[bytes]:
-    """Bytes of texts with A-Z lowered; bytes split as the words do."""
-    return [(t or "").encode("utf-8", "replace").lower() for t in texts]
-
-
 # ---------------------------------------------------------------- the model
 
 class Attention:
-    """Weights and the forward and backward passes.  Local ids: 0..n-1 the frequent ids, n all others."""
+    """Weights and the forward and backward passes.  Local ids: 0..n-1 the frequent ids, n all others.
+
+    ``e`` holds a row per local id: its query, key, value and own state beside each other, so a position is gathered
+    once.  ``r`` is the bias per distance, ``w`` and ``b`` make the state choose, ``g`` are the distributions.
+    """
 
-    NAMES = ("q", "k", "v", "h", "r", "w", "b", "g")
+    NAMES = ("e", "r", "w", "b", "g")
 
     def __init__(self, counts: np.ndarray, seed: int = 7):
         """``counts`` of all ids in the training texts."""
@@ -97,149 +95,142 @@ class Attention:
         mass = np.append(smooth[top], smooth[rest].sum())
         draw = lambda *shape, s=0.1: rng.normal(0, s, shape).astype(np.float32)
         self.p = {
-            "q": draw(n, KEY), "k": draw(n, KEY), "v": draw(n, STATE, s=0.3), "h": draw(n, STATE, s=0.3), "r": np.zeros(2 * STRIDE, np.float32),
+            "e": np.concatenate([draw(n, 2 * KEY), draw(n, 2 * STATE, s=0.3)], 1), "r": np.zeros(2 * STRIDE, np.float32),
             "w": draw(STATE, MIX, s=0.3), "b": np.zeros(MIX, np.float32), "g": np.log(mass / mass.sum()).astype(np.float32)[:, None] + draw(n, MIX, s=0.5),
         }
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None]
         self.distance, self.causal = np.clip(i - j, 0, 2 * STRIDE - 1), i >= j
         self.step, self.m1, self.m2 = 0, {}, {}
 
-    def windows(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(inputs, inputs with those before, allowed keys, targets, counted) by window of a flat run of texts.
+    def layout(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(local ids, text of each, place of each given id): each text begins on the grid of windows.
 
-        ``ids`` has each text after an end; ``text`` numbers them.
+        So no window holds two texts, and no text's score hangs on those beside it.  A stride of nothing stands before
+        the first window and an id behind the last.
         """
-        n = -(-len(ids) // STRIDE) * STRIDE
-        x = np.zeros(n, np.int32)
-        x[: len(ids)] = ids
-        t = np.full(n, -1, np.int64)
-        t[: len(ids)] = text
-        target = np.append(x[1:], 0).reshape(-1, STRIDE)
-        counted = np.append(t[1:] == t[:-1], False).reshape(-1, STRIDE) & (t.reshape(-1, STRIDE) >= 0)
-        x, t = x.reshape(-1, STRIDE), t.reshape(-1, STRIDE)
-        before = lambda a, fill: np.concatenate([np.concatenate([np.full((1, STRIDE), fill, a.dtype), a[:-1]]), a], 1)
-        keys, owner = before(x, 0), before(t, -2)
-        allowed = (t[:, :, None] == owner[:, None, :]) & self.causal
-        return x, keys, allowed, target, counted
-
-    def forward(self, x: np.ndarray, keys: np.ndarray, allowed: np.ndarray, target: np.ndarray, chance: np.ndarray):
-        p = self.p
-        q, k, v = p["q"][x], p["k"][keys], p["v"][keys]
-        a = q @ k.transpose(0, 2, 1)
-        a *= KEY**-0.5
-        a += p["r"][self.distance]
-        np.clip(a, -40, 40, out=a)
-        np.exp(a, out=a)
-        a *= allowed
-        a /= a.sum(-1, keepdims=True)
-        z = np.tanh(p["h"][x] + a @ v)
-        mix = z @ p["w"] + p["b"]
-        mix -= mix.max(-1, keepdims=True)
-        np.exp(mix, out=mix)
-        mix /= mix.sum(-1, keepdims=True)
-        each = mix * chance[target]
-        return q, k, v, a, z, mix, each, each.sum(-1)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        size = np.diff(first, append=len(text))
+        room = -(-size // STRIDE) * STRIDE
+        place = STRIDE + np.arange(len(text)) + np.repeat(np.cumsum(room) - room - first, size)
+        x, owner = np.zeros(STRIDE + int(room.sum()) + 1, np.int32), np.full(STRIDE + int(room.sum()) + 1, -1, np.int64)
+        owner[:STRIDE] = -2
+        x[place], owner[place] = self.local[ids], text
+        return x, owner, place
 
     def chances(self) -> np.ndarray:
         """Probability of each local id (row) in each distribution (column)."""
-        g = self.p["g"] - self.p["g"].max(0)
-        g = np.exp(g)
+        g = np.exp(self.p["g"] - self.p["g"].max(0))
         return g / g.sum(0)
 
-    def foretold(self, local: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 256) -> np.ndarray:
-        """Probability of the id after each position, as ``forward`` has it, with one gather of keys for all windows.
+    @staticmethod
+    def _around(a: np.ndarray) -> np.ndarray:
+        """Windows of 2 * STRIDE rows, one a stride."""
+        return np.lib.stride_tricks.as_strided(a, (len(a) // STRIDE - 1, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))
 
-        Windows without a text's border need no mask but the causal one, which is in the bias.
-        """
-        p, n = self.p, -(-len(local) // STRIDE) * STRIDE
-        x, t = np.zeros(n + STRIDE, np.int32), np.full(n + STRIDE, -1, np.int64)
-        x[STRIDE : STRIDE + len(local)], t[STRIDE : STRIDE + len(text)] = local, text
-        t[:STRIDE] = -2
-        target = np.append(x[STRIDE + 1 :], 0)
-        bias = np.where(self.causal, p["r"][self.distance], np.float32(-1e9)).astype(np.float32)
-        q, ones, each = (p["q"] * np.float32(KEY**-0.5)), np.ones(2 * STRIDE, np.float32), np.ones(MIX, np.float32)
+    def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the ``m`` positions from ``i`` of a layout: (their rows and those of the stride before, attention, state,
+        choice, choice times chance of the next id, probability of the next id)."""
+        p = self.p
+        rows = p["e"].take(x[i : i + m + STRIDE], 0)
+        q, k, v = self._windows(rows)
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(self.causal, p["r"][self.distance], np.float32(-1e9))
         # exponents that the weights themselves bound need no clipping
-        size = lambda a: float(np.sqrt((a * a).sum(1).max()))
-        clip_a = size(q) * size(p["k"]) + float(np.abs(p["r"]).max()) > 40
-        clip_mix = float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60
-        out = np.empty(n, np.float32)
-        for i in range(0, n, block * STRIDE):
-            m = min(block * STRIDE, n - i)
-            own, around = x[i + STRIDE : i + STRIDE + m], x[i : i + m + STRIDE]
-            view = lambda a: np.lib.stride_tricks.as_strided(a, (m // STRIDE, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))  # noqa: E731, B023
-            a = q.take(own, 0).reshape(-1, STRIDE, KEY) @ view(p["k"].take(around, 0)).transpose(0, 2, 1)
-            a += bias
-            if clip_a:
-                np.minimum(a, 40, out=a)
-            np.exp(a, out=a)
-            tw = t[i : i + m + STRIDE]
-            for w in np.flatnonzero(tw[: m : STRIDE] != tw[2 * STRIDE - 1 :: STRIDE][: m // STRIDE]):
-                span = tw[w * STRIDE : (w + 2) * STRIDE]
-                a[w] *= span[STRIDE:, None] == span[None]
-            state = (a @ view(p["v"].take(around, 0))).reshape(m, STATE)
-            state /= (a.reshape(m, 2 * STRIDE) @ ones)[:, None]
-            state += p["h"].take(own, 0)
-            np.tanh(state, out=state)
-            mix = state @ p["w"]
-            mix += p["b"]
-            if clip_mix:
-                np.minimum(mix, 60, out=mix)
-            np.exp(mix, out=mix)
-            out[i : i + m] = np.einsum("ij,ij->i", mix, chance.take(target[i : i + m], 0)) / (mix @ each)
-        return out[: len(local)]
-
-    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """log10 probability of the id after each position; 0 where a text ends.
-
-        Each text begins on the grid of windows, so its score does not hang on the texts beside it.
-        """
-        first = np.flatnonzero(np.diff(text, prepend=-1))
-        size = np.diff(first, append=len(text))
-        room = -(-size // STRIDE) * STRIDE
-        place = np.arange(len(text)) + np.repeat(np.cumsum(room) - room - first, size)
-        x, owner = np.zeros(int(room.sum()), np.int32), np.full(int(room.sum()), -1, np.int64)
-        x[place], owner[place] = self.local[ids], text
-        out = np.log(np.maximum(self.foretold(x, owner, chance)[place], 1e-30)).astype(np.float64)
+        size = lambda w: float(np.sqrt((w * w).sum(1).max()))
+        if size(p["e"][:, :KEY]) * size(p["e"][:, KEY : 2 * KEY]) + float(np.abs(p["r"]).max()) > 40:
+            np.minimum(a, 40, out=a)
+        np.exp(a, out=a)
+        begins = owner[i + STRIDE : i + STRIDE + m : STRIDE] != owner[i : i + m : STRIDE]
+        a[begins, :, :STRIDE] = 0
+        a /= (a.reshape(m, 2 * STRIDE) @ np.ones(2 * STRIDE, a.dtype)).reshape(-1, STRIDE, 1)
+        z = (a @ v).reshape(m, STATE)
+        z += rows[STRIDE:, 2 * KEY + STATE :]
+        np.tanh(z, out=z)
+        mix = z @ p["w"]
+        mix += p["b"]
+        if float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60:
+            np.minimum(mix, 60, out=mix)
+        np.exp(mix, out=mix)
+        ones = np.ones(MIX, mix.dtype)
+        mix /= (mix @ ones)[:, None]
+        each = chance.take(x[i + STRIDE + 1 : i + STRIDE + 1 + m], 0)
+        each *= mix
+        return rows, a, z, mix, each, each @ ones
+
+    def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries (scaled), keys and values by window, each in one piece for the matrix products."""
+        q = rows[STRIDE:, :KEY].reshape(-1, STRIDE, KEY) * rows.dtype.type(KEY**-0.5)
+        return q, np.ascontiguousarray(self._around(rows[:, KEY : 2 * KEY])), np.ascontiguousarray(self._around(rows[:, 2 * KEY : 2 * KEY + STATE]))
+
+    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 512) -> np.ndarray:
+        """log10 probability of the id after each position; 0 where a text ends."""
+        x, owner, place = self.layout(ids, text)
+        n = len(x) - STRIDE - 1
+        prob = np.concatenate([np.zeros(STRIDE, np.float32), *(self.forward(x, owner, i, min(block * STRIDE, n - i), chance)[-1] for i in range(0, n, block * STRIDE))])
+        out = np.log(np.maximum(prob[place], 1e-30)).astype(np.float64)
         out[:-1] += self.inner[ids[1:]]
         out[:-1] *= text[1:] == text[:-1]
         out[-1:] = 0
         return out / np.log(10)
 
-    def learn(self, x: np.ndarray, keys: np.ndarray, allowed: np.ndarray, target: np.ndarray, counted: np.ndarray, rate: float) -> float:
-        """One Adam step on a batch of windows; the mean loss in nats."""
-        p, chance = self.p, self.chances()
-        q, k, v, a, z, mix, each, prob = self.forward(x, keys, allowed, target, chance)
-        n = max(1, int(counted.sum()))
-        weight = (counted / n).astype(np.float32)[..., None]
+    @staticmethod
+    def _scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+        """Sums of ``values`` by their row."""
+        return np.stack([np.bincount(at, column, rows) for column in np.ascontiguousarray(values.T)], 1).astype(np.float32)
+
+    def learn(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, rate: float) -> tuple[float, int]:
+        """One Adam step on the ``m`` positions from ``i`` of a layout: (the mean loss in nats, positions foretold)."""
+        p, chance, n_rows = self.p, self.chances(), len(self.p["e"])
+        rows, a, z, mix, each, prob = self.forward(x, owner, i, m, chance)
+        own = owner[i + STRIDE : i + STRIDE + m + 1]
+        counted = (own[1:] == own[:-1]) & (own[:-1] >= 0)
+        seen = int(counted.sum())
+        weight = (counted / np.float32(max(1, seen))).astype(np.float32)[:, None]
         prob = np.maximum(prob, 1e-30)
-        post = each / prob[..., None] * weight
-        d_mix = mix * weight - post
-        grad = {"w": np.tensordot(z, d_mix, ((0, 1), (0, 1))), "b": d_mix.sum((0, 1))}
-        rows = len(p["h"])
-
-        def scatter(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-            at, values = at.ravel(), values.reshape(-1, values.shape[-1])
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            out = np.zeros((rows, values.shape[1]), np.float32)
-            out[at[order][first]] = np.add.reduceat(values[order], first)
-            return out
-
-        grad["g"] = chance * post.sum((0, 1)) - scatter(target, post)
-        d_h = (d_mix @ p["w"].T) * (1 - z * z)
-        grad["h"] = scatter(x, d_h)
-        grad["v"] = scatter(keys, a.transpose(0, 2, 1) @ d_h)
-        d_a = d_h @ v.transpose(0, 2, 1)
-        d_a = a * (d_a - (d_a * a).sum(-1, keepdims=True))
-        grad["r"] = np.bincount(self.distance.ravel(), weights=d_a.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-        d_a *= KEY**-0.5
-        grad["q"], grad["k"] = scatter(x, d_a @ k), scatter(keys, d_a.transpose(0, 2, 1) @ q)
+        post = each
+        post *= weight / prob[:, None]
+        d_mix = mix
+        d_mix *= weight
+        d_mix -= post
+        d_h = d_mix @ p["w"].T
+        d_h *= 1 - z * z
+        d_state = d_h.reshape(-1, STRIDE, STATE)
+        q, k, v = self._windows(rows)
+        d_a = d_state @ v.transpose(0, 2, 1)
+        d_a -= np.einsum("wij,wij->wi", d_a, a)[:, :, None]
+        d_a *= a
+        grad = {"w": z.T @ d_mix, "b": d_mix.sum(0), "r": np.bincount(self.distance.ravel(), weights=d_a.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)}
+        d_rows = np.zeros_like(rows)
+        d_rows[STRIDE:, :KEY] = (d_a @ k).reshape(m, KEY)
+        d_rows[STRIDE:, :KEY] *= KEY**-0.5
+        d_rows[STRIDE:, 2 * KEY + STATE :] = d_h
+        for d, at, width in ((d_a.transpose(0, 2, 1) @ q, KEY, KEY), (a.transpose(0, 2, 1) @ d_state, 2 * KEY, STATE)):
+            d_rows[:m, at : at + width] += d[:, :STRIDE].reshape(m, width)
+            d_rows[STRIDE:, at : at + width] += d[:, STRIDE:].reshape(m, width)
+        grad["e"] = self._scatter(x[i : i + m + STRIDE], d_rows, n_rows)
+        grad["g"] = chance * post.sum(0) - self._scatter(x[i + STRIDE + 1 : i + STRIDE + 1 + m], post, n_rows)
+        self._adam(grad, rate)
+        return float(-(np.log(prob) * counted).sum() / max(1, seen)), seen
+
+    def _adam(self, grad: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
+        fix1, fix2 = 1 - 0.9**self.step, 1 - 0.99**self.step
         for name, g in grad.items():
-            m1 = self.m1[name] = 0.9 * self.m1.get(name, 0) + 0.1 * g
-            m2 = self.m2[name] = 0.99 * self.m2.get(name, 0) + 0.01 * g * g
-            p[name] = p[name] - rate * (m1 / (1 - 0.9**self.step)) / (np.sqrt(m2 / (1 - 0.99**self.step)) + 1e-8)
-        return float(-(np.log(prob) * counted).sum() / n)
+            if name not in self.m1:
+                self.m1[name], self.m2[name] = np.zeros_like(g), np.zeros_like(g)
+            m1, m2 = self.m1[name], self.m2[name]
+            m1 *= 0.9
+            m1 += 0.1 * g
+            m2 *= 0.99
+            g *= g
+            g *= 0.01
+            m2 += g
+            np.sqrt(m2, out=g)
+            g *= fix2**-0.5
+            g += 1e-8
+            np.divide(m1, g, out=g)
+            g *= -rate / fix1
+            self.p[name] = self.p[name] + g
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
@@ -252,31 +243,92 @@ class Attention:
             at += n
 
 
-def _flat(table: WordTable, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """(ids with an end before each text, text of each of these, word numbers, ids of each word, words of each text)."""
-    where, ids, n, words = table.encode(lowered(texts))
-    last = np.cumsum(words) - 1
-    size = np.add.reduceat(n, np.concatenate(([0], last[:-1] + 1))) if len(texts) else np.zeros(0, np.int64)
-    return np.insert(ids, np.cumsum(size) - size, table.end[0]), np.repeat(np.arange(len(texts)), size + 1), where, n, words
+# ---------------------------------------------------------------- texts as ids
+
+class Spelling:
+    """What ids alone tell: where words begin, and a 64-bit number of each word (ids determine words)."""
+
+    def __init__(self, path: str, pattern: str):
+        sub = Subwords(path, pattern)
+        if sub.size > 1 << 16:
+            raise ValueError("ids of more than two bytes")
+        self.size, self.end, self.starts = sub.size, sub.size - 1, sub.starts.copy()
+        self.starts[self.end] = True
+        self.number = mix(np.arange(1, sub.size + 1, dtype=np.uint64))
+
+    def words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first position, number) of each word; the end of a text is a word."""
+        first = np.flatnonzero(self.starts[ids])
+        size = np.diff(first, append=len(ids))
+        if not len(first):
+            return first, np.zeros(0, np.int64)
+        place = np.arange(len(ids)) - np.repeat(first, size)
+        values = self.number[ids] * powers(int(size.max()))[place]
+        return first, mix(np.add.reduceat(values, first) + size.astype(np.uint64)).view(np.int64)
+
+
+_SPELLING: dict[str, Spelling] = {}
+
+
+def _spelling(path: str, pattern: str) -> Spelling:
+    if path not in _SPELLING:
+        _SPELLING[path] = Spelling(path, pattern)
+    return _SPELLING[path]
+
+
+def _spell(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(path, pattern)
+        for batch in batches:
+            data, at = utf8(batch.column("text"))
+            for i, j in chunks(at):
+                part, offsets = batch.slice(i, j - i), np.ascontiguousarray(at[i : j + 1] - at[i])
+                # lowered here: Arrow's own kernel gave other bytes for slices of long columns
+                text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[at[i] : at[j]]]))
+                _, ids, n, words = table.encode(text)
+                stop = np.cumsum(n)[np.cumsum(words) - 1]
+                offsets = np.concatenate(([0], stop)).astype(np.int32) * 2
+                spelled = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), spelled], names=["uid", "doc_id", "held_out", "ids"])
+
+    return run
+
+
+def spelled(rows: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``rows`` (uid, doc_id, held_out, text) with ``ids`` (two bytes each, the end last) in place of the text, written
+    to the shared folder: words are looked up once for all that follows."""
+    return materialise(rows.mapInArrow(_spell(path, pattern), "uid long, doc_id long, held_out boolean, ids binary"), "ids")
+
+
+def _ids_of(batch: pa.RecordBatch, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, ids, how many each has) of runs of rows of about ``size`` ids."""
+    column = batch.column("ids").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, "<u2") if data is not None and data.size else np.zeros(0, np.uint16)
+    for i, j in chunks(at, 2 * size):
+        yield i, j, flat[at[i] // 2 : at[j] // 2].astype(np.int32), np.diff(at[i : j + 1]) // 2
+
+
+def _after_ends(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with an end before each text, text of each)."""
+    return np.insert(ids, np.cumsum(size) - size, end), np.repeat(np.arange(len(size)), size + 1)
 
 
 def _trainer(state: bytes, path: str, pattern: str, rate: float, least: int = 0, windows: int = 128):
     """Trains from ``state`` on every window of the texts of a task, again and again until ``least`` are trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, seen = pickle.loads(state), _table(path, pattern), 0
+        model, end, seen = pickle.loads(state), _spelling(path, pattern).end, 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             while True:
                 before = seen
-                for i, j in slices(texts, 1 << 19):
-                    ids, text, *_ = _flat(table, texts[i:j])
-                    parts = model.windows(model.local[ids], text)
-                    for k in range(0, len(parts[0]), windows):
-                        b = tuple(a[k : k + windows] for a in parts)
-                        seen += int(b[-1].sum())
+                for _, _, ids, size in _ids_of(batch):
+                    x, owner, _ = model.layout(*_after_ends(ids, size, end))
+                    n = len(x) - STRIDE - 1
+                    for i in range(0, n, windows * STRIDE):
                         # the rate falls as 1 / sqrt of the steps so far
-                        model.learn(*b, rate / (1 + model.step / 200) ** 0.5)
+                        seen += model.learn(x, owner, i, min(windows * STRIDE, n - i), rate / (1 + model.step / 200) ** 0.5)[1]
                 if seen >= least or seen == before:
                     break
         if seen:
@@ -295,95 +347,100 @@ def _average(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------- corpus counts
 
-def _count_words(batches: Iterator[pa.RecordBatch], hold: int = 150_000) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the texts of a task; a batch's words are told apart in Arrow."""
-    held: Counter[bytes] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-    for batch in batches:
-        _, at = utf8(batch.column("text"))
-        for i, j in chunks(at):
-            text = pc.ascii_lower(pc.fill_null(batch.column("text").slice(i, j - i).cast(pa.large_string()), ""))
-            kinds = pc.value_counts(pc.ascii_split_whitespace(text).flatten())
-            counts = dict(zip(kinds.field("values").cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), kinds.field("counts").to_pylist()))
-            counts[b""] = j - i  # an end a text; white space at its ends leaves empty strings, which are no words
-            held.update(counts)
-            if len(held) > hold:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+def word_counts(texts: DataFrame, path: str, pattern: str, hold: int = 400_000) -> DataFrame:
+    """(word, n) over all rows of ``texts`` (ids): the number of each word, and how often it occurs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, words, n = _spelling(path, pattern), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
+        for batch in batches:
+            for _, _, ids, _ in _ids_of(batch):
+                kinds, c = np.unique(spelling.words(ids)[1], return_counts=True)
+                both, inverse = np.unique(np.concatenate([words, kinds]), return_inverse=True)
+                words, n = both, np.bincount(inverse, weights=np.concatenate([n, c]), minlength=len(both)).astype(np.int64)
+                if len(words) > hold:
+                    yield out()
+                    words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield out()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all rows; the empty word is the end of a text."""
-    part = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word binary, n long")
-    return part.groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("ids").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
-    """Occurrences of every subword id, from the counts of words."""
+def id_counts(texts: DataFrame, path: str, pattern: str) -> np.ndarray:
+    """Occurrences of every id in ``texts`` (ids)."""
+    size = _spelling(path, pattern).size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = Subwords(path, pattern)
-        total = np.zeros(sub.size, np.int64)
-        for batch in batches:  # each word comes once, so none is remembered
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            real = [i for i, w in enumerate(words) if w]
-            ids, size = sub([words[i] for i in real])
-            total += np.bincount(ids, weights=np.repeat(n[real], size), minlength=len(total)).astype(np.int64)
-            total[-1] += int(n.sum() - n[real].sum())
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, _, ids, _ in _ids_of(batch):
+                total += np.bincount(ids, minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
 
     def add(table: pa.Table) -> pa.Table:
         return pa.table({"counts": pa.array([sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist()).tobytes()], pa.binary())})
 
-    part = counts.mapInArrow(run, "counts binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(counts.rdd.getNumPartitions()))))
+    part = texts.select("ids").mapInArrow(run, "counts binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(fan_in(texts.rdd.getNumPartitions()))))
     rows = part.groupBy("lane").applyInArrow(add, "counts binary").groupBy(F.lit("all")).applyInArrow(add, "counts binary").collect()
-    sub = Subwords(path, pattern)
-    return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(sub.size, np.int64)
-
-
-def start_pieces(texts: DataFrame, n: int, start_texts: int, size: int = 20_000) -> DataFrame:
-    """About ``start_texts`` of the ``n`` rows (text, h), all if there are no more, and a piece of ``size`` characters
-    of each, in the order of their hash."""
+    return np.frombuffer(rows[0][0], np.int64) if rows else np.zeros(size, np.int64)
+
+
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted numbers, counts) of the most frequent words, ``most`` at most: those whose count is above a power of
+    2 ** 0.25 beyond which there are no more than that."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 4).cast("int")
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r.s):  # 256 steps at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.s
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    got = counts.where(step >= least).toArrow()
+    words, n = got.column("word").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
+def start_pieces(texts: DataFrame, n: int, start_texts: int, size: int = 6_000) -> DataFrame:
+    """About ``start_texts`` of the ``n`` rows (ids, h), all if there are no more, and a piece of ``size`` ids of each,
+    in the order of their hash."""
     rows = texts.where(F.pmod("h", F.lit(n)) < start_texts) if n > start_texts else texts
-    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - size, F.lit(0)) + 1) + 1
-    return rows.select("h", F.col("text").substr(at.cast("int"), F.lit(size)).alias("text")).repartition(1).sortWithinPartitions("h", "text").select("text")
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.octet_length("ids") / 2 - size, F.lit(0)).cast("long") + 1) * 2 + 1
+    return rows.select("h", F.substring("ids", at.cast("int"), F.lit(2 * size)).alias("ids")).repartition(1).sortWithinPartitions("h", "ids").select("ids")
 
 
 #: Texts of a lane, in which the pass over all texts trains one after another, and the most lanes there are.
 LANE_TEXTS, LANES = 4_000, 65_536
 
 
-def train(docs: DataFrame, counts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, rate: float = 0.015) -> Attention:
-    """The model of the rows of ``docs`` (doc_id, text).  No rows leave it untrained, but proper.
+def train(texts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, start_positions: int = 5_000_000, rate: float = 0.015) -> Attention:
+    """The model of the rows of ``texts`` (doc_id, ids).  No rows leave it untrained, but proper.
 
-    Rows are dealt to lanes, and ordered in them, by a hash of identifier and text, and the number of lanes follows
+    Rows are dealt to lanes, and ordered in them, by a hash of identifier and ids, and the number of lanes follows
     from the number of rows: the result does not hang on how the table lies in partitions.  ``trained`` is the number
     of positions in the pass over all texts.
     """
-    model = Attention(id_counts(counts, path, pattern))
+    model = Attention(id_counts(texts, path, pattern))
     model.trained = 0
     schema = "weights binary, seen long"
-    n = counts.where("octet_length(word) = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # each text has one end
+    n = texts.count()
     if not n:
         return model
-    text = F.col("text").cast("string")
-    texts = docs.select(text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"))
-    got = start_pieces(texts, n, start_texts).mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate, start_positions), schema).collect()
+    rows = texts.select("ids", F.xxhash64(F.col("doc_id").cast("string"), "ids").alias("h"))
+    got = start_pieces(rows, n, start_texts).mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate, start_positions), schema).collect()
     if got:
         model.put(np.frombuffer(got[0].weights, np.float32))
     model.step, model.m1, model.m2 = 0, {}, {}
     lanes = min(LANES, -(-n // LANE_TEXTS))
-    dealt = texts.repartition(lanes, "h").sortWithinPartitions("h", "text").select("text")
-    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=256), schema).withColumn("at", F.spark_partition_id())
+    dealt = rows.repartition(lanes, "h").sortWithinPartitions("h", "ids").select("ids")
+    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=1024), schema).withColumn("at", F.spark_partition_id())
     part = part.withColumn("lane", F.pmod("at", F.lit(fan_in(lanes))))
     got = part.groupBy("lane").applyInArrow(_average, f"{schema}, at int").groupBy(F.lit("all")).applyInArrow(_average, f"{schema}, at int").collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
     model.trained = got[0].seen
+    model.m1, model.m2 = {}, {}
     return model
 
 
@@ -404,68 +461,61 @@ class Unigram:
         return np.where(c * self.own > 0, both, np.log10(self.share) + attention)
 
 
-_SCORES = "uid long, doc_id long, held_out boolean, n long, known long, base double, mixed double, attention double, word binary"
+_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("mixed", pa.float64()), ("attention", pa.float64()), ("word", pa.int64())])
+_SCORES = "uid long, doc_id long, held_out boolean, n long, known long, base double, mixed double, attention double, word long"
 
 
 def _scorer(sent, path: str, pattern: str):
+    """A row per text with what its frequent words give, and a row per occurrence of any other word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, unigram = sent.value
-        table, chance = _table(path, pattern), model.chances()
-        counts, names = np.zeros(0, np.int64), table.names
+        model, (hot, hot_n), unigram = sent.value
+        spelling, chance = _spelling(path, pattern), model.chances()
         for batch in batches:
-            texts, uid = batch.column("text").to_pylist(), batch.column("uid").to_numpy()
-            for i, j in slices(texts):
-                ids, text, where, n, words = _flat(table, texts[i:j])
-                if table.names is not names:
-                    counts, names = np.zeros(0, np.int64), table.names
-                if len(counts) < len(names):
-                    counts = np.concatenate([counts, np.array([hot.get(w, -1) for w in names[len(counts) :]], np.int64)])
-                position = model.log10(ids, text, chance)
-                owner = np.repeat(np.arange(j - i), words)
-                # the id at i of text t was foretold from position i + t
-                each = position[np.arange(n.sum()) + np.repeat(owner, n)]
-                attention = np.add.reduceat(each, np.cumsum(n) - n)
-                c = counts[where]
+            uid = batch.column("uid").to_numpy()
+            for i, j, ids, size in _ids_of(batch):
+                position = model.log10(*_after_ends(ids, size, spelling.end), chance)
+                owner = np.repeat(np.arange(j - i), size)
+                # the id at k of text t was foretold from position k + t
+                each = position[np.arange(len(ids)) + owner]
+                first, word = spelling.words(ids)
+                attention, owner = np.add.reduceat(each, first), owner[first]
+                kinds, inverse = np.unique(word, return_inverse=True)
+                at = np.minimum(np.searchsorted(hot, kinds), max(0, len(hot) - 1))
+                c = np.where(hot[at] == kinds, hot_n[at], -1)[inverse] if len(hot) else np.full(len(word), -1)
                 here = c >= 0
-                add = lambda x: np.bincount(owner[here], weights=x, minlength=j - i)
+                add = lambda x, of=slice(None): np.bincount(owner[of], weights=x, minlength=j - i)  # noqa: E731, B023
+                longs = lambda x: pa.array(x.astype(np.int64))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), pa.array(words.astype(np.int64)), pa.array(add(np.ones(here.sum())).astype(np.int64)),
-                     pa.array(add(unigram.base(c[here]))), pa.array(add(unigram.mixed(c[here], attention[here]))), pa.array(np.bincount(owner, weights=attention, minlength=j - i)), pa.nulls(j - i, pa.binary())],
+                    [part.column("uid"), part.column("doc_id"), part.column("held_out"), longs(np.bincount(owner, minlength=j - i)), longs(np.bincount(owner[here], minlength=j - i)),
+                     pa.array(add(unigram.base(c[here]), here)), pa.array(add(unigram.mixed(c[here], attention[here]), here)), pa.array(add(attention)), pa.nulls(j - i, pa.int64())],
                     schema=_ARROW,
                 )
                 rare = np.flatnonzero(~here)
-                kinds, inverse = np.unique(where[rare], return_inverse=True)
-                word = pa.array([names[k] for k in kinds.tolist()], pa.binary()).take(pa.array(inverse))
-                m = len(rare)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[i:j][owner[rare]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(attention[rare]), word], schema=_ARROW)
+                empty = [pa.nulls(len(rare), f.type) for f in list(_ARROW)[1:7]]
+                yield pa.RecordBatch.from_arrays([pa.array(uid[i:j][owner[rare]]), *empty, pa.array(attention[rare]), pa.array(word[rare])], schema=_ARROW)
 
     return run
 
 
-_ARROW = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("mixed", pa.float64()), ("attention", pa.float64()), ("word", pa.binary())])
-
-
-def score(docs: DataFrame, held_out: Column, path: str, pattern: str, hot_words: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, path: str, pattern: str, hot_words: int = 500_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score of every row of ``docs``.
 
     Rows (doc_id, text) that are not held out are learned from.  A null text is empty: its only token is the end.
-    Repeated rows are scored each.  With no training rows every token is unknown.  Counts of the most frequent words,
-    at most ``hot_words`` of at most 64 bytes, are broadcast; those of all other words are joined.
+    Repeated rows are scored each.  With no training rows every token is unknown; an empty table gives no rows; other
+    columns are not read.  Words are told apart by 64-bit numbers of their ids.  Counts of the most frequent words, at
+    most ``hot_words`` (16 bytes each), are broadcast; those of all other words are joined.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    learned = rows.where("not held_out")
-    counts = materialise(word_counts(learned), "words")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
+    texts = spelled(rows, path, pattern)
+    learned = texts.where("not held_out")
+    counts = materialise(word_counts(learned, path, pattern), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unigram = Unigram(n, v)
-    top = counts.where("octet_length(word) <= 64").orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
-    hot = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))
-    model = train(learned, counts, path, pattern)
-    model.m1, model.m2 = {}, {}
-    sent = spark.sparkContext.broadcast((model, hot, unigram))
-    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
-    both = materialise(numbered.mapInArrow(_scorer(sent, path, pattern), _SCORES), "scores")
+    sent = spark.sparkContext.broadcast((train(learned, path, pattern), frequent(counts, hot_words), unigram))
+    both = materialise(texts.mapInArrow(_scorer(sent, path, pattern), _SCORES), "scores")
     joined = both.where("word is not null").select("uid", "word", "attention").join(counts.select("word", F.col("n").alias("c")), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     own = c * F.lit(unigram.own)
