@@ -57,107 +57,126 @@ def test_attention_sums_to_one_and_learns():
         total = total + 10.0 ** model.log10(np.array([3, 5, 7, last]), np.zeros(4, int), model.chances())[2]
     assert abs(total[0] - 1) < 1e-4
     before = model.log10(ids, text, model.chances()).sum()
-    for _ in range(200):
-        model.learn(*model.windows(model.local[ids], text), 0.02)
+    x, owner, _ = model.layout(ids, text)
+    n = len(x) - lm.STRIDE - 1
+    seen = [model.learn(x, owner, 0, n, 0.02)[1] for _ in range(200)]
     after = model.log10(ids, text, model.chances())
-    assert after.sum() > 0.3 * before and (after[99::100] == 0).all()
+    assert after.sum() > 0.3 * before and (after[99::100] == 0).all() and set(seen) == {6 * 99}
 
 
-def test_scoring_is_the_forward_pass():
+def plain_score(model, ids):
+    """log10 of each next id of one text: every window alone, with a plain softmax."""
+    p, chance, x, logs = model.p, model.chances(), model.local[np.array(ids)], []
+    q, k, v, h = np.split(p["e"], [lm.KEY, 2 * lm.KEY, 2 * lm.KEY + lm.STATE], 1)
+    for t in range(len(ids) - 1):
+        keys = np.arange(max(0, t // lm.STRIDE * lm.STRIDE - lm.STRIDE), t + 1)
+        a = k[x[keys]] @ q[x[t]] * lm.KEY**-0.5 + p["r"][t - keys]
+        a = np.exp(a - a.max())
+        z = np.tanh(h[x[t]] + (a / a.sum()) @ v[x[keys]])
+        m = z @ p["w"] + p["b"]
+        m = np.exp(m - m.max())
+        logs.append((np.log((m / m.sum()) @ chance[x[t + 1]]) + model.inner[ids[t + 1]]) / np.log(10))
+    return logs
+
+
+def test_windows_are_those_of_each_text():
     model = lm.Attention(np.arange(1.0, 13.0))
     rng = np.random.default_rng(3)
-    ids, text = rng.integers(0, 12, 700), np.repeat(np.arange(7), [1, 40, 300, 16, 15, 17, 311])
-    x, keys, allowed, target, counted = model.windows(model.local[ids], text)
-    want = model.forward(x, keys, allowed, target, model.chances())[-1].ravel()[:700]
-    got = model.foretold(model.local[ids], text, model.chances(), 3)
-    assert np.allclose(got[counted.ravel()[:700]], want[counted.ravel()[:700]], rtol=1e-4)
+    ids, size = rng.integers(0, 12, 700), [1, 40, 300, 16, 15, 17, 311]
+    got = model.log10(ids, np.repeat(np.arange(7), size), model.chances(), 3)
+    for a, n in zip(np.cumsum(size) - size, size):
+        assert np.allclose(got[a : a + n - 1], plain_score(model, ids[a : a + n].tolist()), atol=1e-4) and got[a + n - 1] == 0
+
+
+ARGS = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+def spelled(docs):
+    return lm.spelled(docs.selectExpr("monotonically_increasing_id() uid", "doc_id", "false held_out", "text"), *ARGS)
+
+
+def test_words_are_told_by_their_ids(spark):
+    texts = ["", " \t ", None, "a b  A\nb", "x\u3000y \u3000 z \x85 \u00a0 q", "日本 \u3000 \u3000 e", "<|endoftext|> end", "w" * 5000, "a\u2028b \x1c"]
+    rows = spelled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    spelling, numbers = lm._spelling(*ARGS), {}
+    for text, r in zip(texts, rows):
+        words = (text or "").encode().lower().split() + [b""]
+        first, number = spelling.words(np.frombuffer(bytes(r.ids), "<u2").astype(np.int32))
+        assert len(number) == len(words)
+        for w, k in zip(words, number.tolist()):
+            assert numbers.setdefault(w, k) == k
+    assert len(set(numbers.values())) == len(numbers)
 
 
 def test_score_is_recomputed(spark, odd):
-    """Every window of every text, one at a time, with a plain softmax; words interpolated with the corpus."""
-    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
-    docs = odd.collect()
-    learned = odd.where(language.fold(5) != 1)
-    model, counts = lm.train(learned, lm.word_counts(learned), *args), Counter()
+    """Every window of every text, one at a time; words interpolated with the corpus."""
+    docs, learned = odd.collect(), odd.where(language.fold(5) != 1)
+    model, counts = lm.train(spelled(learned), *ARGS), Counter()
     split = lambda t: (t or "").encode().lower().split() + [b""]
     for d in learned.collect():
         counts.update(split(d.text))
-    total, table, p, chance = sum(counts.values()), lm._table(*args), model.p, model.chances()
+    total, table = sum(counts.values()), lm._table(*ARGS)
 
     def text_score(text):
         words = split(text)
-        ids = [table.end[0]]
-        size = []
-        for w in words:
-            own = table.encode([w])[1][:-1].tolist() if w else [table.end[0]]
-            ids += own
-            size.append(len(own))
-        x = model.local[np.array(ids)]
-        logs = []
-        for t in range(len(ids) - 1):
-            first = max(0, t // lm.STRIDE * lm.STRIDE - lm.STRIDE)  # windows are cut from the text's begin
-            keys = np.arange(first, t + 1)
-            a = p["k"][x[keys]] @ p["q"][x[t]] * lm.KEY**-0.5 + p["r"][t - keys]
-            a = np.exp(a - a.max())
-            z = np.tanh(p["h"][x[t]] + (a / a.sum()) @ p["v"][x[keys]])
-            m = z @ p["w"] + p["b"]
-            m = np.exp(m - m.max())
-            logs.append((np.log((m / m.sum()) @ chance[x[t + 1]]) + model.inner[ids[t + 1]]) / np.log(10))
-        at, out = 0, 0.0
-        for w, n in zip(words, size):
-            attention = sum(logs[at : at + n])
+        own = [table.encode([w])[1][:-1].tolist() if w else [table.end[0]] for w in words]
+        logs, out = plain_score(model, [table.end[0]] + [i for x in own for i in x]), 0.0
+        for w, x in zip(words, own):
+            attention, logs = sum(logs[: len(x)]), logs[len(x) :]
             out += np.log10((1 - lm.SHARE) * counts[w] / total + lm.SHARE * 10**attention) if counts[w] else np.log10(lm.SHARE) + attention
-            at += n
         return out
 
     want = Counter(((d.doc_id or -1), round(text_score(d.text), 2)) for d in docs if len(d.text or "") < 5000)
-    got = Counter(((r.doc_id or -1), round(r.score, 2)) for r in lm.score_documents(odd, *args).collect())
-    assert all(got[k] == n for k, n in want.items()) and len(want) > 6
+    for hot in (500_000, 1):  # words that are joined count as those that are broadcast
+        got = Counter(((r.doc_id or -1), round(r.score, 2)) for r in lm.score(odd, language.fold(5) == 1, *ARGS, hot_words=hot).collect())
+        assert all(got[k] == n for k, n in want.items()) and len(want) > 6
 
 
 def test_scores_do_not_hang_on_partitions(spark, sf):
-    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    a, b = ({r.doc_id: r.score for r in lm.score_documents(d, *args).collect()} for d in (docs.repartition(1), docs.repartition(5)))
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(d, *ARGS).collect()} for d in (docs.repartition(1), docs.repartition(5)))
     assert a == pytest.approx(b, rel=1e-5)
 
 
 def test_all_positions_are_trained(spark):
-    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(n))) for i, n in enumerate([3000, 700, 1, 0, 1200])] + [(None, None)], "doc_id long, text string")
-    counts = lm.word_counts(docs)
-    assert lm.train(docs, counts, *args, start_positions=1000).trained == lm.id_counts(counts, *args).sum() > 4900
+    texts = spelled(docs)
+    assert lm.train(texts, *ARGS, start_positions=1000).trained == lm.id_counts(texts, *ARGS).sum() > 4900
 
 
 def test_long_texts_train_and_start(spark):
-    args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(30_000))) for i in (1, 2)], "doc_id long, text string")
-    counts = lm.word_counts(docs)
-    model = lm.train(docs, counts, *args, start_positions=1000)
-    assert model.trained == lm.id_counts(counts, *args).sum() > 60_000
-    assert [len(r.text) for r in lm.start_pieces(docs.withColumn("h", F.xxhash64("text")), 2, 3000).collect()] == [20_000] * 2
-    rows = spark.range(0, 8000, 1, 8).selectExpr("concat(if(id < 4000, 'a', 'b'), id) text", "xxhash64(id) h")
-    got = [r.text for r in lm.start_pieces(rows, 8000, 800).collect()]
-    assert 600 < len(got) < 1000 and min(sum(t[0] == c for t in got) for c in "ab") > 250
+    texts = spelled(docs)
+    model = lm.train(texts, *ARGS, start_positions=1000)
+    assert model.trained == lm.id_counts(texts, *ARGS).sum() > 60_000
+    assert [len(r.ids) for r in lm.start_pieces(texts.withColumn("h", F.xxhash64("ids")), 2, 3000).collect()] == [12_000] * 2
+    rows = spark.range(0, 8000, 1, 8).selectExpr("cast(concat(if(id < 4000, 'aa', 'bb'), id) as binary) ids", "xxhash64(id) h")
+    got = [bytes(r.ids) for r in lm.start_pieces(rows, 8000, 800).collect()]
+    assert 600 < len(got) < 1000 and min(sum(t[:1] == c for t in got) for c in (b"a", b"b")) > 250
 
 
 def test_attention_gradients():
     model = lm.Attention(np.arange(1.0, 13.0))
     rng = np.random.default_rng(2)
-    parts = model.windows(model.local[rng.integers(0, 12, 70)], np.repeat([0, 1], [30, 40]))
+    x, owner, _ = model.layout(rng.integers(0, 12, 70), np.repeat([0, 1], [30, 40]))
+    n = len(x) - lm.STRIDE - 1
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
-    loss = lambda: -(np.log(model.forward(*parts[:4], model.chances())[-1]) * parts[4]).sum() / parts[4].sum()
+    own = owner[lm.STRIDE :]
+    counted = (own[1:] == own[:-1]) & (own[:-1] >= 0)
+    loss = lambda: -(np.log(model.forward(x, owner, 0, n, model.chances())[-1]) * counted).sum() / counted.sum()
     start = {k: v.copy() for k, v in model.p.items()}
-    model.learn(*parts, 0.0)
+    model.learn(x, owner, 0, n, 0.0)
+    columns = {"e": (0, lm.KEY, 2 * lm.KEY + 1, 2 * lm.KEY + lm.STATE + 3)}
     for name in model.NAMES:
-        at = tuple(rng.integers(0, n) for n in start[name].shape)
-        if name in ("q", "k", "v", "h", "g"):
-            at = (int(parts[0][1, 3]), *at[1:])
-        model.p = {k: v.copy() for k, v in start.items()}
-        model.p[name][at] += 1e-4
-        up = loss()
-        model.p[name][at] -= 2e-4
-        assert (up - loss()) / 2e-4 == pytest.approx(10 * model.m1[name][at], abs=2e-4), name
+        for column in columns.get(name, (0,)):
+            at = tuple(rng.integers(0, m) for m in start[name].shape)
+            if name in ("e", "g"):
+                at = (int(x[lm.STRIDE + 3]), column if name == "e" else at[1])
+            model.p = {k: v.copy() for k, v in start.items()}
+            model.p[name][at] += 1e-4
+            up = loss()
+            model.p[name][at] -= 2e-4
+            assert (up - loss()) / 2e-4 == pytest.approx(10 * model.m1[name][at], abs=2e-4), (name, at)
 
 
 # ------------------------------------------------ language ID
