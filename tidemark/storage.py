@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of the warehouse, which is shared too."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a folder of the warehouse, which a cluster shares too; a ``local`` master has one machine and
+    one process, for which the system's temporary folder will do.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and spark.sparkContext.master.split("[")[0] == "local":
+        path = f"{tempfile.gettempdir()}/tidemark-{os.getpid()}"
     return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-work").rstrip("/")
