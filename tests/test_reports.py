@@ -25,12 +25,15 @@ def test_benchmark_reports(spark, tmp_path):
     assert row.identity == "e|w|4|1|2|1|3|5" and row.latency_ns.p99 == 8
     with pytest.raises(Exception, match="unsupported report version 2"):
         reports.read_benchmark(spark, str(tmp_path / "old.json")).collect()
+    reports.write_benchmark(reports.read_benchmark(spark, str(tmp_path / "ok.json")), str(tmp_path / "again"))
+    assert reports.read_benchmark(spark, str(tmp_path / "again")).first() == row
 
 
 def test_lines_and_tables(spark):
     rows = spark.createDataFrame([('q"\\\n', None, 2, 9)], "a string, b string, v long, t long")
     assert reports.prometheus(rows, "m", ["a", "b"], "v", "t").first().value == 'm{a="q\\"\\\\\\n",b=""} 2 9'
     assert reports.markdown(rows.select("v", "b")) == "| v | b |\n| --- | --- |\n| 2 |  |"
+    assert reports.markdown_report("Run", {"Capacity": rows.select("v")}) == "# Run\n\n## Capacity\n\n| v |\n| --- |\n| 2 |\n"
     with pytest.raises(ValueError):
         reports.markdown(spark.range(5), 4)
 

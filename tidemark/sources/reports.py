@@ -39,12 +39,27 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("identity", F.concat_ws("|", *(F.col(c).cast("string") for c in IDENTITY)))
 
 
+def write_benchmark(results: DataFrame, path: str) -> None:
+    """One report of this version with all ``results`` (the columns of RESULT that are there), a JSON document.
+
+    A report is a few cases, gathered into one row; ``read_benchmark`` reads it back.
+    """
+    row = results.agg(F.collect_list(F.struct(*(F.col(c) for c in results.columns if c != "identity"))).alias("results"))
+    row.select(F.lit(VERSION).cast("long").alias("schema_version"), "results").coalesce(1).write.json(path)
+
+
 def prometheus(rows: DataFrame, name: str, labels: list[str], value: str, timestamp: str) -> DataFrame:
     """``name{label="value",...} value timestamp`` lines, labels escaped; write them with ``write.text``."""
     pairs = [F.concat(F.lit(f'{c}="'), escape_label(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit('"')) for c in labels]
     return rows.select(F.concat(F.lit(name + "{"), F.concat_ws(",", *pairs), F.lit("} "), F.col(value).cast("string"), F.lit(" "), F.col(timestamp).cast("string")).alias("value"))
 
 
+def markdown_report(title: str, tables: dict[str, DataFrame], limit: int = 1_000) -> str:
+    """A Markdown report: a heading, and under one of its own each table (capacity, throughput, latency, commits)."""
+    parts = [f"# {title}", *(f"## {name}\n\n{markdown(rows, limit)}" for name, rows in tables.items())]
+    return "\n\n".join(parts) + "\n"
+
+
 def markdown(rows: DataFrame, limit: int = 1_000) -> str:
     """A Markdown table of a report, which is a few rows; more than ``limit`` are an error, not cut."""
     got = rows.limit(limit + 1).collect()
