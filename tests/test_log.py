@@ -188,6 +188,24 @@ def test_blocked_append_goes_on_after_reclaim(spark, tmp_path):
     assert log.stream(2).read_wait(1, 9, 60)[0].payload == b"now" and log.operations["read"].cancelled == 1
 
 
+def test_compaction_of_a_log(spark, tmp_path):
+    config = api.Config(segment_bytes=400, max_epoch_bytes=300)
+    log = api.Log.open(spark, str(tmp_path / "root"), config)
+    a, b = log.stream(1), log.stream(2)
+    ids = [a.append(b"", b"x" * 100) for _ in range(5)] + [b.append(b"", b"y")]
+    a.release(ids[:3])
+    a.release(ids[:1] + ids[4:5])
+    assert log.reclaim()["segments"] > 0
+    before, size = log.stats(), log._state.log_bytes
+    assert not log.compact(always=False) and log.compact() and log._state.log_bytes == 40 < size
+    after = log.stats()
+    assert after["actual_file_bytes"] == before["actual_file_bytes"] - size + 40 and {k: v for k, v in after.items() if k != "actual_file_bytes"} == {k: v for k, v in before.items() if k != "actual_file_bytes"}
+    (tmp_path / "root" / "control" / f"{9:020d}").mkdir()  # a checkpoint that never came to its end
+    again = api.Log.open(spark, str(tmp_path / "root"), config)
+    assert again._root() == log._root() and again.highwater(1) == 4 and again._state.next_segment == log._state.next_segment
+    assert [r.id.sequence for r in again.stream(1).read(9, 999)] == [3] and again.stream(1).append(b"", b"").sequence == 5 and again.stream(1).release(ids[:3]) == 0
+
+
 def test_group_commit_and_age(spark, tmp_path):
     now = [1000.0]
     log = api.Log.open(spark, str(tmp_path / "root"), api.Config(commit_units=3, max_segment_age_ms=5_000), clock=lambda: now[0])

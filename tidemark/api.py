@@ -180,6 +180,7 @@ class Log:
         self._lock, self._state = threading.RLock(), _State()
         self._changed = threading.Condition(self._lock)
         self._high: OrderedDict[int, int] = OrderedDict()
+        self._version = 0
 
     # ---- opening
 
@@ -194,9 +195,11 @@ class Log:
             for table in ("records", "control"):
                 if _exists(spark, f"{path}/{table}"):
                     raise InvalidConfig(f"{path} holds {table} but no root")
-            spark.createDataFrame([], CONTROL).write.parquet(f"{path}/control")
+            spark.createDataFrame([], CONTROL).write.parquet(f"{path}/control/{0:020d}")
             spark.createDataFrame([(bytearray(uuid.uuid4().bytes),)], "root binary").coalesce(1).write.parquet(f"{path}/root")
         log = Log(spark, path, config, bytes(spark.read.parquet(f"{path}/root").first().root), clock)
+        whole = [v for v in _names(spark, f"{path}/control") if _exists(spark, f"{path}/control/{v}/_SUCCESS")]
+        log._version = int(max(whole))  # a checkpoint that was not written to its end does not count
         log._recover()
         if config.capacity is not None and log.weight() > config.capacity:
             raise InvalidConfig(f"the root weighs {log.weight()} bytes, more than {config.capacity}")
@@ -209,7 +212,7 @@ class Log:
         for r in part.groupBy("segment_id").agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum("b") + C.EPOCH * F.sum("e")).alias("b"), F.max("top").alias("top"), F.min("c").alias("c")).collect():
             s.segments[r.segment_id] = _Segment(r.n, r.k, C.SEGMENT_HEADER + r.b, r.c)
             s.epoch = max(s.epoch, r.top)
-        seals = [r.segment_id for r in control.where("kind = 'sealed'").select("segment_id").collect()]  # one a live or removed segment
+        seals = [r.segment_id for r in control.where("kind = 'sealed'").join(control.where("kind = 'removed'").select("segment_id"), "segment_id", "left_anti").select("segment_id").collect()]  # of live segments
         for segment in seals:
             if segment in s.segments:
                 s.segments[segment].bytes += C.SEGMENT_FOOTER
@@ -230,7 +233,10 @@ class Log:
         return self.spark.read.schema(RECORDS).parquet(f"{self.path}/records").join(removed, "segment_id", "left_anti")
 
     def _control(self) -> DataFrame:
-        return self.spark.read.schema(CONTROL).parquet(f"{self.path}/control")
+        return self.spark.read.schema(CONTROL).parquet(self._control_path())
+
+    def _control_path(self) -> str:
+        return f"{self.path}/control/{self._version:020d}"
 
     def _highwaters(self) -> DataFrame:
         """(stream_id, seq): each stream's records and what the removal of others has kept."""
@@ -265,9 +271,34 @@ class Log:
         """Control rows as one write; ``frames`` are the sizes of the frames that the format would take for them."""
         s = self._state
         rows = rows + [(s.manifest + 1 + i, "frame", None, size, None) for i, size in enumerate(frames)]
-        self._guarded(lambda: self.spark.createDataFrame(rows, CONTROL).coalesce(1).write.mode("append").parquet(f"{self.path}/control"))
+        self._guarded(lambda: self.spark.createDataFrame(rows, CONTROL).coalesce(1).write.mode("append").parquet(self._control_path()))
         s.manifest, s.log_bytes = s.manifest + len(frames), s.log_bytes + sum(frames)
 
+    def compact(self, always: bool = True) -> bool:
+        """Folds the control rows into a checkpoint; without ``always`` only a log of ``COMPACT_AT`` bytes, or one whose
+        weight passes the capacity.
+
+        What stays: releases and seals of live segments, a highwater per stream, and the last numbers.  The new rows
+        are a folder of their own, which counts once it is whole; the old one goes then.
+        """
+        with self._lock:
+            self._check_open()
+            s, total = self._state, self.config.capacity
+            if not (always or s.log_bytes >= C.COMPACT_AT or (total is not None and self.weight() > total)):
+                return False
+            control, none = self._control(), F.lit(None).cast("long")
+            live = self._records().select("stream_id", "seq")
+            kept = control.where("kind = 'release'").join(live, ["stream_id", "seq"], "left_semi").dropDuplicates(["stream_id", "seq"]).select(*control.columns)
+            kept = kept.unionByName(control.where("kind = 'sealed'").join(control.where("kind = 'removed'").select("segment_id"), "segment_id", "left_anti").select(*control.columns))
+            high = self._highwaters().groupBy("stream_id").agg(F.max("seq").alias("seq"))
+            kept = kept.unionByName(high.select(F.lit(s.manifest).cast("long").alias("manifest_seq"), F.lit("highwater").alias("kind"), "stream_id", "seq", none.alias("segment_id")))
+            last = self.spark.createDataFrame([(s.manifest, "last", None, None, s.next_segment - 1 if s.next_segment else None)], CONTROL)
+            old, self._version = self._control_path(), self._version + 1
+            self._guarded(lambda: kept.unionByName(last).write.parquet(self._control_path()))
+            s.log_bytes = C.LOG_HEADER
+            _delete(self.spark, old)
+            return True
+
     def _check_open(self) -> None:
         if self.lifecycle == "poisoned":
             raise Poisoned(str(self.failure))
@@ -323,12 +354,14 @@ class Log:
         s.active, s.active_streams = None, set()
 
     def maintain(self) -> dict[str, int]:
-        """What an idle owner does: seals an active segment that is too old, then reclaims."""
+        """What an idle owner does: seals an active segment that is too old, reclaims, and compacts a long log."""
         with self._lock:
             self._check_open()
             if self._expired():
                 self._seal()
-            return self.reclaim()
+            done = self.reclaim()
+            self.compact(always=False)
+            return done
 
     # ---- surface
 
@@ -494,6 +527,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return store.exists(p)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, store = _path(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(p)]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p, store = _path(spark, path)
     store.delete(p, True)
