@@ -34,7 +34,7 @@ from tidemark.llm.common import _LOWER, chunks, fan_in, materialise, mix, powers
 from tidemark.llm.language import fold
 from tidemark.llm.tokens import WordTable
 
-STRIDE, KEY, STATE, MIX, TOP = 16, 8, 16, 24, 2047
+STRIDE, KEY, STATE, MIX, TOP = 8, 8, 16, 16, 2047
 SHARE = 0.8
 _TABLES: dict[str, WordTable] = {}
 
@@ -128,8 +128,8 @@ class Attention:
         return np.lib.stride_tricks.as_strided(a, (len(a) // STRIDE - 1, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))
 
     def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the ``m`` positions from ``i`` of a layout: (their rows and those of the stride before, attention, state,
-        choice, choice times chance of the next id, probability of the next id)."""
+        """Of the ``m`` positions from ``i`` of a layout: (their rows and those of the stride before, queries, keys and
+        values by window, attention, state, choice, choice times chance of the next id, probability of the next id)."""
         p = self.p
         rows = p["e"].take(x[i : i + m + STRIDE], 0)
         q, k, v = self._windows(rows)
@@ -155,14 +155,14 @@ class Attention:
         mix /= (mix @ ones)[:, None]
         each = chance.take(x[i + STRIDE + 1 : i + STRIDE + 1 + m], 0)
         each *= mix
-        return rows, a, z, mix, each, each @ ones
+        return rows, (q, k, v), a, z, mix, each, each @ ones
 
     def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Queries (scaled), keys and values by window, each in one piece for the matrix products."""
         q = rows[STRIDE:, :KEY].reshape(-1, STRIDE, KEY) * rows.dtype.type(KEY**-0.5)
         return q, np.ascontiguousarray(self._around(rows[:, KEY : 2 * KEY])), np.ascontiguousarray(self._around(rows[:, 2 * KEY : 2 * KEY + STATE]))
 
-    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 512) -> np.ndarray:
+    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 1024) -> np.ndarray:
         """log10 probability of the id after each position; 0 where a text ends."""
         x, owner, place = self.layout(ids, text)
         n = len(x) - STRIDE - 1
@@ -181,7 +181,7 @@ class Attention:
     def learn(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, rate: float) -> tuple[float, int]:
         """One Adam step on the ``m`` positions from ``i`` of a layout: (the mean loss in nats, positions foretold)."""
         p, chance, n_rows = self.p, self.chances(), len(self.p["e"])
-        rows, a, z, mix, each, prob = self.forward(x, owner, i, m, chance)
+        rows, (q, k, v), a, z, mix, each, prob = self.forward(x, owner, i, m, chance)
         own = owner[i + STRIDE : i + STRIDE + m + 1]
         counted = (own[1:] == own[:-1]) & (own[:-1] >= 0)
         seen = int(counted.sum())
@@ -195,7 +195,6 @@ class Attention:
         d_h = d_mix @ p["w"].T
         d_h *= 1 - z * z
         d_state = d_h.reshape(-1, STRIDE, STATE)
-        q, k, v = self._windows(rows)
         d_a = d_state @ v.transpose(0, 2, 1)
         d_a -= np.einsum("wij,wij->wi", d_a, a)[:, :, None]
         d_a *= a
@@ -315,7 +314,7 @@ def _after_ends(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray
     return np.insert(ids, np.cumsum(size) - size, end), np.repeat(np.arange(len(size)), size + 1)
 
 
-def _trainer(state: bytes, path: str, pattern: str, rate: float, least: int = 0, windows: int = 128):
+def _trainer(state: bytes, path: str, pattern: str, rate: float, least: int = 0, windows: int = 256):
     """Trains from ``state`` on every window of the texts of a task, again and again until ``least`` are trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +434,7 @@ def train(texts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, s
     model.step, model.m1, model.m2 = 0, {}, {}
     lanes = min(LANES, -(-n // LANE_TEXTS))
     dealt = rows.repartition(lanes, "h").sortWithinPartitions("h", "ids").select("ids")
-    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=1024), schema).withColumn("at", F.spark_partition_id())
+    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=2048), schema).withColumn("at", F.spark_partition_id())
     part = part.withColumn("lane", F.pmod("at", F.lit(fan_in(lanes))))
     got = part.groupBy("lane").applyInArrow(_average, f"{schema}, at int").groupBy(F.lit("all")).applyInArrow(_average, f"{schema}, at int").collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
