@@ -434,7 +434,7 @@ def train(texts: DataFrame, path: str, pattern: str, start_texts: int = 3_000, s
     model.step, model.m1, model.m2 = 0, {}, {}
     lanes = min(LANES, -(-n // LANE_TEXTS))
     dealt = rows.repartition(lanes, "h").sortWithinPartitions("h", "ids").select("ids")
-    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=2048), schema).withColumn("at", F.spark_partition_id())
+    part = dealt.mapInArrow(_trainer(pickle.dumps(model), path, pattern, rate * 0.2, windows=4096), schema).withColumn("at", F.spark_partition_id())
     part = part.withColumn("lane", F.pmod("at", F.lit(fan_in(lanes))))
     got = part.groupBy("lane").applyInArrow(_average, f"{schema}, at int").groupBy(F.lit("all")).applyInArrow(_average, f"{schema}, at int").collect()
     model.put(np.frombuffer(got[0].weights, np.float32))
