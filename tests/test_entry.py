@@ -40,3 +40,14 @@ def test_entry(spark):
 def test_no_other_module_imports_the_optional_subpackage():
     code = "import sys; sys.modules['tidemark.llm'] = None\nimport tidemark.api, tidemark.plans.catalog, tidemark.sources.format_v1, tidemark.streaming.lifecycle"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
+@pytest.mark.parametrize("name", ["duration_deltas"])
+def test_the_last_half_second_counts_in_the_next_interval(spark, tmp_path, name):
+    times = ["2024-01-01 10:00:00", "2024-01-01 22:59:59.5", "2024-01-01 23:59:59.499999", "2024-01-01 23:59:59.5", "2024-01-02 00:59:58.5", "2024-01-02 00:59:59.7", "2024-01-03 05:59:59.9", "1969-12-31 23:00:00"]
+    con = duckdb.connect()
+    rows = ", ".join(f"({i}, TIMESTAMP '{t}', {i}, 'view', {10.25 * i + 30}, 'x')" for i, t in enumerate(times))
+    con.sql(f"CREATE TABLE events AS SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value, props FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.sql(catalog.ORACLE_SQL[name])
+    assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)

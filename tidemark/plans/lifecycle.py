@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import capacity as C
 from tidemark.operators import metrics, ordered, recovery, release
-from tidemark.plans.relations import Log, div, sql
+from tidemark.plans.relations import Log, div, seconds_div, sql
 from tidemark.plans.reports import COMMIT, kind_runs
 from tidemark.plans.state import HEADROOM, STATE, actual_bytes, headroom, root_state
 from tidemark.sources import format_v1, root_v1
@@ -164,7 +164,7 @@ DAY = "CAST(epoch(ts) AS BIGINT) // 86400"
 FROM (SELECT *, lag(n) OVER w AS bn, lag(t) OVER w AS bt, lag(m) OVER w AS bm FROM (SELECT operation, {DAY} AS day, CASE WHEN {DAY} % 7 = 0 THEN 5 ELSE count(*) END AS n, sum(elapsed_ns) AS t, max(elapsed_ns) AS m FROM ops GROUP BY operation, {DAY}) WINDOW w AS (PARTITION BY operation ORDER BY day))""", "ops")
 def duration_deltas(log):
     """Differences of counters read once a day; where one began anew it grew by nothing, and a maximum counts if new."""
-    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400).cast("long").alias("day")
+    day = seconds_div("ts", 86_400).alias("day")
     read = log.ops().groupBy("operation", day).agg(F.count("*").alias("n"), F.sum("elapsed_ns").alias("t"), F.max("elapsed_ns").alias("m"))
     read = read.withColumn("n", F.when(F.col("day") % 7 == 0, 5).otherwise(F.col("n")))
     before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy("operation").orderBy("day")), F.lit(0))  # noqa: E731  a row a day
