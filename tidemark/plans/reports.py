@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec
 from tidemark.operators import capacity as C
 from tidemark.operators import metrics, ordered, recovery, release
-from tidemark.plans.relations import Log, div, sql
+from tidemark.plans.relations import Log, div, seconds_div, sql
 from tidemark.plans.state import frames, highwaters
 
 QUERIES: dict = {}
@@ -154,7 +154,7 @@ BUCKETS = "unnest([" + ", ".join(f"{b}::DOUBLE" for b in metrics.BOUNDS) + ", 'i
 
 @query(f"SELECT bucket_start, operation, CASE WHEN le = 'inf'::DOUBLE THEN NULL ELSE le END AS le, CAST(count(*) FILTER (elapsed_ns / 1e9::DOUBLE <= le) AS BIGINT) AS cumulative FROM (SELECT CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS bucket_start, operation, elapsed_ns, {BUCKETS} FROM ops) GROUP BY bucket_start, operation, le", "ops")
 def interval_histogram(log):
-    day = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400) * 86_400).cast("long")
+    day = seconds_div("ts", 86_400) * 86_400
     return metrics.cumulative_buckets(log.ops().withColumn("bucket_start", day), ["bucket_start", "operation"], F.col("elapsed_ns") / 1e9)
 
 
