@@ -203,7 +203,7 @@ QUANTILE = "min(elapsed_ns) FILTER (r >= ceil((n - 1) * {}::DOUBLE) + 1)"
 FROM (SELECT operation, {DAY} AS day, elapsed_ns, failed, row_number() OVER (PARTITION BY operation, {DAY} ORDER BY elapsed_ns) AS r, count(*) OVER (PARTITION BY operation, {DAY}) AS n FROM ops) GROUP BY operation, day""", "ops")
 def interval_quantiles(log):
     """Calls, failures and latency quantiles of each interval and operation."""
-    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400).cast("long")
+    day = seconds_div("ts", 86_400)
     ops = log.ops().withColumn("day", day)
     by = ["operation", "day"]
     ranks = metrics.nearest_rank(ops, by, "elapsed_ns", {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99})
