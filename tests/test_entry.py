@@ -42,7 +42,7 @@ def test_no_other_module_imports_the_optional_subpackage():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
 
 
-@pytest.mark.parametrize("name", ["duration_deltas", "interval_histogram", "interval_quantiles"])
+@pytest.mark.parametrize("name", ["duration_deltas", "interval_histogram", "interval_quantiles", "phase_machine"])
 def test_the_last_half_second_counts_in_the_next_interval(spark, tmp_path, name):
     times = ["2024-01-01 10:00:00", "2024-01-01 22:59:59.5", "2024-01-01 23:59:59.499999", "2024-01-01 23:59:59.5", "2024-01-02 00:59:58.5", "2024-01-02 00:59:59.7", "2024-01-03 05:59:59.9", "1969-12-31 23:00:00"]
     con = duckdb.connect()

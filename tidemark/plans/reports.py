@@ -245,7 +245,7 @@ def _phase(state: tuple[str, int], row: tuple[int, float, int]) -> tuple[tuple[s
 @query(PHASES)
 def phase_machine(log):
     """Hysteresis over hourly utilisation samples, and the drain of the last day; hours, not rows, are folded."""
-    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("long")
+    hour = seconds_div("ts", 3600)
     samples = log.table("events").groupBy(hour.alias("sample_idx")).agg((F.avg("value") / 60.0).alias("u"))
     rows = samples.crossJoin(log.table("events").agg((F.max(hour) - 24).alias("deadline")))  # one row
     rows = rows.select(F.lit(0).alias("run"), "sample_idx", "u", "deadline")
