@@ -182,3 +182,29 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)}
+
+
+def test_components_leave_one_table(spark):
+    from pathlib import Path
+
+    from tidemark.storage import shared_dir
+
+    folders = lambda: set(Path(shared_dir(spark).removeprefix("file:")).glob("cc-*"))
+    before = folders()
+    found = common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+    assert found.count() == 31 and len(folders() - before) == 1
+
+
+@pytest.mark.parametrize("salt", [0, 1, 2])
+def test_other_parts_lose_no_link(spark, salt):
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 4, 9, 40, 200):
+        for _ in range(8):
+            x = rng.integers(1, 2**63, n).astype(np.uint64)
+            sets += [np.unique(x), np.unique(np.concatenate([x[: n - n // 12], rng.integers(1, 2**63, n // 20).astype(np.uint64)]))]
+    t = jaccard.Threshold(4, 5)
+    rows = spark.createDataFrame([(bytearray(s.tobytes()),) for s in sets], "grams binary")
+    got = {r.node: r.component for r in jaccard.candidate_components(rows, jaccard._kept_sets, t, sum(map(len, sets)), 3000, salt).collect()}
+    linked = [(jaccard.set_id(x), jaccard.set_id(y)) for x in sets for y in sets if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))]
+    assert sum(x != y for x, y in linked) > 20 and all(x == y or got[x] == got[y] for x, y in linked)

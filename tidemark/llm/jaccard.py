@@ -10,8 +10,9 @@
 3. Components of candidate stars are joined in tries.  Sets are ordered globally inside the group (frequent first, so
    that paths are shared), stored in a path-compressed trie, and a probe walks it level by level with the partial
    overlap of each node, pruning subtrees whose remaining length cannot reach the overlap that is needed.  A component
-   larger than a task's budget is cut in chunks: chunks are first joined with pivots, and only components that are
-   still apart go through the grid of chunk pairs.
+   larger than a task's budget is cut in chunks: chunks are first joined with pivots.  Components that are still apart
+   are parted by signatures of other parts, weighed by their own sets alone, and only what is then larger than a
+   budget and apart goes through the grid of chunk pairs.
 
 A threshold is ``num / den``: linked when den * |x & y| >= num * |x | y|.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, connected_components, fan_in, materialise, mix, shingles, utf8, words_of
+from tidemark.llm.common import chunks, connected_components, discard, fan_in, materialise, mix, shingles, utf8, words_of
 
 _ONE = np.uint64(1)
 
@@ -47,6 +48,15 @@ def _sets(batch: pa.RecordBatch, n: int):
             yield i + k, s
 
 
+def _text_sets(n: int):
+    return lambda batch: _sets(batch, n)
+
+
+def _kept_sets(batch: pa.RecordBatch):
+    """(row of batch, set) of sets that are there as bytes."""
+    return ((i, np.frombuffer(g, np.uint64)) for i, g in enumerate(batch.column("grams").to_pylist()))
+
+
 class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -68,6 +78,8 @@ class Threshold:
 
 
 SKETCH_BITS = 22
+#: Times that large components which are still apart are parted anew before their chunk pairs are joined.
+ROUNDS = 2
 #: Sets a task remembers as done; others are only done again.
 SEEN = 200_000
 
@@ -76,11 +88,12 @@ def slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def signatures(s: np.ndarray, t: Threshold, rare: np.ndarray | None = None) -> np.ndarray:
+def signatures(s: np.ndarray, t: Threshold, rare: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
     """Signatures of which two linked, different sets share at least one.
 
     ``rare`` tells by ``slot`` which elements count in a part's weight; without it all do.  Weights depend on a part's
-    content alone, so of any k + 1 heaviest parts the one that is the same in both sets is emitted by both.
+    content alone, so of any k + 1 heaviest parts the one that is the same in both sets is emitted by both.  Each ``salt`` makes other parts, for which
+    the same holds.
     """
     n, out = len(s), []
     count = np.ones(n) if rare is None else rare[slot(s)].astype(float)
@@ -90,7 +103,7 @@ def signatures(s: np.ndarray, t: Threshold, rare: np.ndarray | None = None) -> n
         if k < 1:
             continue  # linked sets of this class are equal
         p = max(k + 1, int(1.15 * (k + 1)))
-        seed = mix(np.array([c + 1], np.uint64))[0]
+        seed = mix(np.array([c + 1 + (salt << 32)], np.uint64))[0]
         h = mix(s + seed)
         part = ((h >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(np.int64)
         weight = np.bincount(part, weights=count, minlength=p)
@@ -123,7 +136,7 @@ def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _PACKED = "bucket int, sig binary, node binary, member binary, centre binary"
 
 
-def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 500_000):
+def _emit_signatures(sets, t: Threshold, buckets: int, sent, salt: int = 0, hold: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, held, seen = [], [], 0, set()
 
@@ -145,13 +158,13 @@ def _emit_signatures(n: int, t: Threshold, buckets: int, sent, hold: int = 500_0
                 yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "sig", "node", "member", "centre"])
 
         for batch in batches:
-            for _, s in _sets(batch, n):
+            for _, s in sets(batch):
                 me = set_id(s)
                 if not me or me in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(me)  # only spares work
-                sig = signatures(s, t, sent.value)
+                sig = signatures(s, t, sent.value, salt)
                 if len(sig):
                     sigs.append(sig)
                     nodes.append(np.full(len(sig), me, np.int64))
@@ -171,7 +184,7 @@ def _join_signatures(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([member, join("member", np.int64)]), "b": np.concatenate([centre, join("centre", np.int64)])})
 
 
-def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
+def rare_slots(rows: DataFrame, sets) -> np.ndarray:
     """Which of 2^22 slots hold no frequent element: counts over all rows, summed in two levels, against their noise.
 
     A fixed 4 MB whatever the input.  More input drowns the less frequent elements; that costs selectivity, no links.
@@ -180,7 +193,7 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held = np.zeros(1 << SKETCH_BITS, np.int64), []
         for batch in batches:
-            for _, s in _sets(batch, n):
+            for _, s in sets(batch):
                 held.append(slot(s))
                 if len(held) >= 2000:
                     total += np.bincount(np.concatenate(held), minlength=len(total))
@@ -212,6 +225,15 @@ def rare_slots(rows: DataFrame, n: int) -> np.ndarray:
     return counts <= noise + 4 * noise**0.5 + 4
 
 
+def candidate_components(rows: DataFrame, sets, t: Threshold, total: int, task_signatures: int, salt: int = 0) -> DataFrame:
+    """(node, component) over equal signatures of the sets of ``rows``, which have ``total`` elements; no link is lost."""
+    apart = 2 * (t.den - t.num) / (t.den + t.num) * t.den / t.num
+    buckets = int(np.clip(np.ceil(2 * apart * total / task_signatures), 1, 1 << 22))
+    sent = rows.sparkSession.sparkContext.broadcast(rare_slots(rows, sets))
+    packed = rows.mapInArrow(_emit_signatures(sets, t, buckets, sent, salt), _PACKED)
+    return connected_components(packed.groupBy("bucket").applyInArrow(_join_signatures, "a long, b long").distinct())
+
+
 # ---------------------------------------------------------------- the trie
 
 class Trie:
@@ -443,12 +465,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
 
     classes = materialise(rows.mapInArrow(ids, "doc_id long, n_shingles long, node long"), "classes")
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    apart = 2 * (den - num) / (den + num) * den / num
-    buckets = int(np.clip(np.ceil(2 * apart * total / task_signatures), 1, 1 << 22))
-    sent = spark.sparkContext.broadcast(rare_slots(rows.select("text"), n))
-    packed = rows.mapInArrow(_emit_signatures(n, t, buckets, sent), _PACKED)
-    stars = packed.groupBy("bucket").applyInArrow(_join_signatures, "a long, b long").distinct()
-    candidates = materialise(connected_components(stars), "candidates")
+    candidates = materialise(candidate_components(rows.select("text"), _text_sets(n), t, total, task_signatures), "candidates")
 
     reps = classes.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     reps = materialise(reps.join(candidates, "node"), "reps")
@@ -475,10 +492,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     links = materialise(join(diagonal.union(pivots)), "links")
     if size.where("parts > 1").limit(1).count():
         so_far = connected_components(links)
-        split = member.where("parts > 1").select("node", "component", "part", "parts").join(so_far.withColumnRenamed("component", "joined"), "node", "left")
+        joined = so_far.withColumnRenamed("component", "joined")
+        own = F.coalesce("joined", "node")
+
+        def still_apart(names: DataFrame) -> DataFrame:
+            open_ = names.join(joined, "node", "left").groupBy("component").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+            return materialise(names.join(open_, "component", "left_semi"), "apart")
+
+        # What is still apart is mostly held together by passages that all rows together drown and these alone show to be
+        # frequent.  Other parts, weighed by these sets alone, lose no link either, so linked sets share both components.
+        sets = member.where("parts > 1").select("node", "grams", F.expr("octet_length(grams) div 8").alias("n"))
+        names = still_apart(member.where("parts > 1").select("node", "component").distinct())
+        for salt in range(1, ROUNDS + 1):
+            mine = sets.join(names.select("node"), "node", "left_semi")
+            again = candidate_components(mine.select("grams"), _kept_sets, t, mine.agg(F.sum("n")).first()[0] or 0, task_signatures, salt)
+            before, names = names, names.join(again.withColumnRenamed("component", "again"), "node").select("node", F.xxhash64("component", "again").alias("component"))
+            names = still_apart(names)
+            discard(before)
+            size = sets.select("node", "n").distinct().join(names, "node").groupBy("component").agg(F.ceil(F.sum("n") / task_grams).cast("int").alias("parts"))
+            if not size.where("parts > 1").limit(1).count():
+                break
         # a chunk pair is joined only where the component is still apart
-        open_ = split.groupBy("component").agg(F.min(F.coalesce("joined", "node")).alias("lo"), F.max(F.coalesce("joined", "node")).alias("hi")).where("lo <> hi").select("component")
-        grid = member.join(open_, "component").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("k <> part")
+        grid = sets.join(names, "node").join(size, "component").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         grid = grid.select("component", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "node", "grams")
         links = links.union(materialise(join(grid), "grid"))
     joined = connected_components(links)
