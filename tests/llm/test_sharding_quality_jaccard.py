@@ -208,3 +208,36 @@ def test_other_parts_lose_no_link(spark, salt):
     got = {r.node: r.component for r in jaccard.candidate_components(rows, jaccard._kept_sets, t, sum(map(len, sets)), 3000, salt).collect()}
     linked = [(jaccard.set_id(x), jaccard.set_id(y)) for x in sets for y in sets if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))]
     assert sum(x != y for x, y in linked) > 20 and all(x == y or got[x] == got[y] for x, y in linked)
+
+
+def test_a_bucket_leaves_an_edge_a_set():
+    """Near copies share many signatures, whose smallest sets differ: not an edge for each of these."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    node, sig = (x.ravel() for x in np.meshgrid(rng.permutation(60) * 7 - 100, np.arange(40)))
+    here = rng.random(len(sig)) < 0.4
+    none = np.zeros(0, np.int64).tobytes()
+    table = pa.table({"bucket": [0], "sig": [sig[here].astype(np.uint64).tobytes()], "node": [node[here].astype(np.int64).tobytes()], "member": [none], "centre": [none]})
+    got = jaccard._join_signatures(table)
+    assert sorted(zip(got["a"].to_pylist(), got["b"].to_pylist())) == [(-100, int(i)) for i in np.unique(node)[1:]]
+
+
+@pytest.mark.parametrize("most", [0, 100, 1_000_000])
+def test_components_write_no_more_rounds_than_they_need(spark, monkeypatch, most):
+    written, write = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(common, "TASK_EDGES", most)
+    rng = np.random.default_rng(9)
+    edges = [tuple(map(int, x)) for x in rng.integers(-150, 150, (220, 2))] + [(200 + i, 201 + i) for i in range(60)]
+    got = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    least = {x: x for a, b in edges if a != b for x in (a, b)}
+    while any(least[a] != least[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == least and (most < 1000 or len(written) == 2)
+    written.clear()
+    star = [(i // 10 * 10, i) for i in range(200)]
+    got = dict(map(tuple, common.connected_components(spark.createDataFrame(star, "a long, b long")).collect()))
+    assert got == {i: a for a, i in star} and len(written) == 1 + (most > 180)

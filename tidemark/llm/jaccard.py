@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, connected_components, discard, fan_in, materialise, mix, shingles, utf8, words_of
+from tidemark.llm.common import chunks, connected_components, discard, fan_in, materialise, mix, shingles, stars, utf8, words_of
 
 _ONE = np.uint64(1)
 
@@ -181,7 +181,9 @@ def _emit_signatures(sets, t: Threshold, buckets: int, sent, salt: int = 0, hold
 def _join_signatures(table: pa.Table) -> pa.Table:
     join = lambda c, ty: np.frombuffer(b"".join(table.column(c).to_pylist()), ty)
     _, _, member, centre = _stars(join("sig", np.uint64), join("node", np.int64))
-    return pa.table({"a": np.concatenate([member, join("member", np.int64)]), "b": np.concatenate([centre, join("centre", np.int64)])})
+    # a set shares many of its signatures, each with a centre of its own: an edge a set says as much
+    a, b = stars(np.concatenate([member, join("member", np.int64)]), np.concatenate([centre, join("centre", np.int64)]))
+    return pa.table({"a": a, "b": b})
 
 
 def rare_slots(rows: DataFrame, sets) -> np.ndarray:
@@ -231,7 +233,7 @@ def candidate_components(rows: DataFrame, sets, t: Threshold, total: int, task_s
     buckets = int(np.clip(np.ceil(2 * apart * total / task_signatures), 1, 1 << 22))
     sent = rows.sparkSession.sparkContext.broadcast(rare_slots(rows, sets))
     packed = rows.mapInArrow(_emit_signatures(sets, t, buckets, sent, salt), _PACKED)
-    return connected_components(packed.groupBy("bucket").applyInArrow(_join_signatures, "a long, b long").distinct())
+    return connected_components(packed.groupBy("bucket").applyInArrow(_join_signatures, "a long, b long"))
 
 
 # ---------------------------------------------------------------- the trie
@@ -516,7 +518,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         grid = sets.join(names, "node").join(size, "component").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         grid = grid.select("component", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "node", "grams")
-        links = links.union(materialise(join(grid), "grid"))
+        links = so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).union(materialise(join(grid), "grid"))
     joined = connected_components(links)
 
     # component ids are smallest doc_ids: equal sets first, then links
