@@ -181,6 +181,20 @@ def test_attention_gradients():
 
 # ------------------------------------------------ language ID
 
+def test_a_step_is_the_same_in_blocks():
+    rng = np.random.default_rng(11)
+    counts = rng.integers(1, 90, 60)
+    ids, text = rng.integers(0, 60, 700), np.repeat(np.arange(14), 50)
+    made = []
+    for block in (1, 5, 10_000):
+        model = lm.Attention(counts)
+        x, owner, _ = model.layout(ids, text)
+        made.append((*[v for _ in range(3) for v in model.learn(x, owner, 0, len(x) - lm.STRIDE - 1, 0.02, block)], model.weights()))
+    assert [m[1] for m in made] == [700 - 14] * 3
+    for m in made[:2]:
+        assert np.allclose(m[:6], made[2][:6], rtol=1e-4) and np.abs(m[6] - made[2][6]).max() < 2e-3
+
+
 def test_language(spark, sf, odd):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     truth = {d.doc_id: d for d in df.collect()}

@@ -36,6 +36,8 @@ from tidemark.llm.tokens import WordTable
 
 STRIDE, KEY, STATE, MIX, TOP = 8, 8, 16, 16, 2047
 SHARE = 0.8
+#: Windows that a step works on at once: what they need stays in a core's cache.
+BLOCK = 512
 _TABLES: dict[str, WordTable] = {}
 
 
@@ -127,17 +129,21 @@ class Attention:
         """Windows of 2 * STRIDE rows, one a stride."""
         return np.lib.stride_tricks.as_strided(a, (len(a) // STRIDE - 1, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray) -> tuple[np.ndarray, ...]:
+    def clipped(self) -> tuple[bool, bool]:
+        """Whether exponents of the attention and of the choice need clipping: not where the weights bound them."""
+        p, size = self.p, lambda w: float(np.sqrt((w * w).sum(1).max()))
+        far = size(p["e"][:, :KEY]) * size(p["e"][:, KEY : 2 * KEY]) + float(np.abs(p["r"]).max()) > 40
+        return far, float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60
+
+    def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray, clip: tuple[bool, bool] | None = None) -> tuple[np.ndarray, ...]:
         """Of the ``m`` positions from ``i`` of a layout: (their rows and those of the stride before, queries, keys and
         values by window, attention, state, choice, choice times chance of the next id, probability of the next id)."""
-        p = self.p
+        p, clip = self.p, clip or self.clipped()
         rows = p["e"].take(x[i : i + m + STRIDE], 0)
         q, k, v = self._windows(rows)
         a = q @ k.transpose(0, 2, 1)
         a += np.where(self.causal, p["r"][self.distance], np.float32(-1e9))
-        # exponents that the weights themselves bound need no clipping
-        size = lambda w: float(np.sqrt((w * w).sum(1).max()))
-        if size(p["e"][:, :KEY]) * size(p["e"][:, KEY : 2 * KEY]) + float(np.abs(p["r"]).max()) > 40:
+        if clip[0]:
             np.minimum(a, 40, out=a)
         np.exp(a, out=a)
         begins = owner[i + STRIDE : i + STRIDE + m : STRIDE] != owner[i : i + m : STRIDE]
@@ -148,7 +154,7 @@ class Attention:
         np.tanh(z, out=z)
         mix = z @ p["w"]
         mix += p["b"]
-        if float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60:
+        if clip[1]:
             np.minimum(mix, 60, out=mix)
         np.exp(mix, out=mix)
         ones = np.ones(MIX, mix.dtype)
@@ -165,8 +171,8 @@ class Attention:
     def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 1024) -> np.ndarray:
         """log10 probability of the id after each position; 0 where a text ends."""
         x, owner, place = self.layout(ids, text)
-        n = len(x) - STRIDE - 1
-        prob = np.concatenate([np.zeros(STRIDE, np.float32), *(self.forward(x, owner, i, min(block * STRIDE, n - i), chance)[-1] for i in range(0, n, block * STRIDE))])
+        n, clip = len(x) - STRIDE - 1, self.clipped()
+        prob = np.concatenate([np.zeros(STRIDE, np.float32), *(self.forward(x, owner, i, min(block * STRIDE, n - i), chance, clip)[-1] for i in range(0, n, block * STRIDE))])
         out = np.log(np.maximum(prob[place], 1e-30)).astype(np.float64)
         out[:-1] += self.inner[ids[1:]]
         out[:-1] *= text[1:] == text[:-1]
@@ -174,42 +180,57 @@ class Attention:
         return out / np.log(10)
 
     @staticmethod
-    def _scatter(at: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-        """Sums of ``values`` by their row."""
-        return np.stack([np.bincount(at, column, rows) for column in np.ascontiguousarray(values.T)], 1).astype(np.float32)
-
-    def learn(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, rate: float) -> tuple[float, int]:
-        """One Adam step on the ``m`` positions from ``i`` of a layout: (the mean loss in nats, positions foretold)."""
-        p, chance, n_rows = self.p, self.chances(), len(self.p["e"])
-        rows, (q, k, v), a, z, mix, each, prob = self.forward(x, owner, i, m, chance)
+    def _scatter(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
+        """Sums of the values of each column by their row."""
+        at = at.astype(np.intp)  # once, not for each column
+        return np.stack([np.bincount(at, column, rows) for column in columns], 1).astype(np.float32)
+
+    def learn(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, rate: float, block: int = BLOCK) -> tuple[float, int]:
+        """One Adam step on the ``m`` positions from ``i`` of a layout: (the mean loss in nats, positions foretold).
+
+        Gradients add up over blocks of windows, which a core's cache holds; they are of the weights before the step.
+        """
+        p, chance, clip, n_rows = self.p, self.chances(), self.clipped(), len(self.p["e"])
         own = owner[i + STRIDE : i + STRIDE + m + 1]
         counted = (own[1:] == own[:-1]) & (own[:-1] >= 0)
-        seen = int(counted.sum())
-        weight = (counted / np.float32(max(1, seen))).astype(np.float32)[:, None]
-        prob = np.maximum(prob, 1e-30)
-        post = each
-        post *= weight / prob[:, None]
-        d_mix = mix
-        d_mix *= weight
-        d_mix -= post
-        d_h = d_mix @ p["w"].T
-        d_h *= 1 - z * z
-        d_state = d_h.reshape(-1, STRIDE, STATE)
-        d_a = d_state @ v.transpose(0, 2, 1)
-        d_a -= np.einsum("wij,wij->wi", d_a, a)[:, :, None]
-        d_a *= a
-        grad = {"w": z.T @ d_mix, "b": d_mix.sum(0), "r": np.bincount(self.distance.ravel(), weights=d_a.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)}
-        d_rows = np.zeros_like(rows)
-        d_rows[STRIDE:, :KEY] = (d_a @ k).reshape(m, KEY)
-        d_rows[STRIDE:, :KEY] *= KEY**-0.5
-        d_rows[STRIDE:, 2 * KEY + STATE :] = d_h
-        for d, at, width in ((d_a.transpose(0, 2, 1) @ q, KEY, KEY), (a.transpose(0, 2, 1) @ d_state, 2 * KEY, STATE)):
-            d_rows[:m, at : at + width] += d[:, :STRIDE].reshape(m, width)
-            d_rows[STRIDE:, at : at + width] += d[:, STRIDE:].reshape(m, width)
-        grad["e"] = self._scatter(x[i : i + m + STRIDE], d_rows, n_rows)
-        grad["g"] = chance * post.sum(0) - self._scatter(x[i + STRIDE + 1 : i + STRIDE + 1 + m], post, n_rows)
+        seen, loss = int(counted.sum()), 0.0
+        weights = (counted / np.float32(max(1, seen))).astype(np.float32)[:, None]
+        grad = {k: np.zeros_like(p[k]) for k in ("r", "w", "b")}
+        # by column, which is how they are summed
+        d_e, d_g, chosen = np.zeros((p["e"].shape[1], m + STRIDE), np.float32), np.empty((MIX, m), np.float32), np.zeros(MIX, np.float32)
+        for at in range(0, m, block * STRIDE):
+            n = min(block * STRIDE, m - at)
+            rows, (q, k, v), a, z, mix, each, prob = self.forward(x, owner, i + at, n, chance, clip)
+            weight, prob = weights[at : at + n], np.maximum(prob, 1e-30)
+            loss -= float((np.log(prob) * counted[at : at + n]).sum())
+            post = each
+            post *= weight / prob[:, None]
+            d_mix = mix
+            d_mix *= weight
+            d_mix -= post
+            d_h = d_mix @ p["w"].T
+            d_h *= 1 - z * z
+            d_state = d_h.reshape(-1, STRIDE, STATE)
+            d_a = d_state @ v.transpose(0, 2, 1)
+            d_a -= np.einsum("wij,wij->wi", d_a, a)[:, :, None]
+            d_a *= a
+            grad["w"] += z.T @ d_mix
+            grad["b"] += d_mix.sum(0)
+            grad["r"] += np.bincount(self.distance.ravel(), weights=d_a.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
+            d_rows = np.zeros_like(rows)
+            d_rows[STRIDE:, :KEY] = (d_a @ k).reshape(n, KEY)
+            d_rows[STRIDE:, :KEY] *= KEY**-0.5
+            d_rows[STRIDE:, 2 * KEY + STATE :] = d_h
+            for d, c, width in ((d_a.transpose(0, 2, 1) @ q, KEY, KEY), (a.transpose(0, 2, 1) @ d_state, 2 * KEY, STATE)):
+                d_rows[:n, c : c + width] += d[:, :STRIDE].reshape(n, width)
+                d_rows[STRIDE:, c : c + width] += d[:, STRIDE:].reshape(n, width)
+            d_e[:, at : at + n + STRIDE] += d_rows.T
+            d_g[:, at : at + n] = post.T
+            chosen += post.sum(0)
+        grad["e"] = self._scatter(x[i : i + m + STRIDE], d_e, n_rows)
+        grad["g"] = chance * chosen - self._scatter(x[i + STRIDE + 1 : i + STRIDE + 1 + m], d_g, n_rows)
         self._adam(grad, rate)
-        return float(-(np.log(prob) * counted).sum() / max(1, seen)), seen
+        return loss / max(1, seen), seen
 
     def _adam(self, grad: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
