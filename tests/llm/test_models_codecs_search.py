@@ -432,6 +432,20 @@ def test_tool_calls(spark):
     assert chat.format_conversations(messages.where("false")).count() == 0
 
 
+def test_conversations_without_an_identifier_are_like_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(None, 4, "assistant", "one two"), (None, 70, "assistant", "x"), (None, 5, "user", "no result"), (None, 200, "assistant", None), (3, 1, "assistant", "a b"), (3, 2, "user", "c"), (3, 3, "assistant", "d e"), (None, None, "assistant", "f")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(entry.oracle_sql()["op8_chat_tool_linking"])
+    got = entry.queries()["op8_chat_tool_linking"](spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 # ------------------------------------------------ pipeline
 
 def test_pipeline(spark, sf):
