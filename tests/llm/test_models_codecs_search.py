@@ -195,6 +195,40 @@ def test_a_step_is_the_same_in_blocks():
         assert np.allclose(m[:6], made[2][:6], rtol=1e-4) and np.abs(m[6] - made[2][6]).max() < 2e-3
 
 
+def test_a_step_holds_no_more_than_a_block():
+    """What a step needs beside its positions stays in a core's cache, however many windows it has."""
+    import tracemalloc
+
+    rng, peak = np.random.default_rng(12), []
+    for windows in (1024, 4096):
+        model = lm.Attention(rng.integers(1, 90, 60))
+        x, owner, _ = model.layout(rng.integers(0, 60, windows * lm.STRIDE), np.zeros(windows * lm.STRIDE, int))
+        tracemalloc.start()
+        model.learn(x, owner, 0, windows * lm.STRIDE, 0.02)
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < peak[0] + 32 * 4096 * lm.STRIDE
+
+
+def test_steps_add_up_each_id_and_place():
+    """The gradients of a step in many blocks, of ids that come often, are those of its windows one at a time."""
+    rng = np.random.default_rng(13)
+    ids, text = rng.zipf(1.4, 900).clip(0, 39), np.repeat(np.arange(3), [500, 390, 10])
+    model = lm.Attention(np.bincount(ids, minlength=40).astype(float))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, owner, _ = model.layout(ids, text)
+    start, sums, seen = {k: v.copy() for k, v in model.p.items()}, {}, 0
+    for i in range(0, len(x) - lm.STRIDE - 1, lm.STRIDE):
+        one = model.learn(x, owner, i, lm.STRIDE, 0.0)[1]
+        for k, g in model.m1.items():
+            sums[k] = sums.get(k, 0) + g * one
+        model.m1, seen = {}, seen + one
+    model.learn(x, owner, 0, len(x) - lm.STRIDE - 1, 0.0, 7)
+    assert seen == 897 and all((model.p[k] == start[k]).all() for k in start)
+    for k, g in model.m1.items():
+        assert np.allclose(g * seen, sums[k], atol=1e-6), k
+
+
 def test_language(spark, sf, odd):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     truth = {d.doc_id: d for d in df.collect()}

@@ -114,7 +114,7 @@ class Attention:
         size = np.diff(first, append=len(text))
         room = -(-size // STRIDE) * STRIDE
         place = STRIDE + np.arange(len(text)) + np.repeat(np.cumsum(room) - room - first, size)
-        x, owner = np.zeros(STRIDE + int(room.sum()) + 1, np.int32), np.full(STRIDE + int(room.sum()) + 1, -1, np.int64)
+        x, owner = np.zeros(STRIDE + int(room.sum()) + 1, np.intp), np.full(STRIDE + int(room.sum()) + 1, -1, np.int64)
         owner[:STRIDE] = -2
         x[place], owner[place] = self.local[ids], text
         return x, owner, place
@@ -124,55 +124,68 @@ class Attention:
         g = np.exp(self.p["g"] - self.p["g"].max(0))
         return g / g.sum(0)
 
-    @staticmethod
-    def _around(a: np.ndarray) -> np.ndarray:
-        """Windows of 2 * STRIDE rows, one a stride."""
-        return np.lib.stride_tricks.as_strided(a, (len(a) // STRIDE - 1, 2 * STRIDE, a.shape[1]), (a.strides[0] * STRIDE, *a.strides))
-
     def clipped(self) -> tuple[bool, bool]:
         """Whether exponents of the attention and of the choice need clipping: not where the weights bound them."""
         p, size = self.p, lambda w: float(np.sqrt((w * w).sum(1).max()))
         far = size(p["e"][:, :KEY]) * size(p["e"][:, KEY : 2 * KEY]) + float(np.abs(p["r"]).max()) > 40
         return far, float((np.abs(p["w"]).sum(0) + np.abs(p["b"])).max()) > 60
 
-    def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray, clip: tuple[bool, bool] | None = None) -> tuple[np.ndarray, ...]:
-        """Of the ``m`` positions from ``i`` of a layout: (their rows and those of the stride before, queries, keys and
-        values by window, attention, state, choice, choice times chance of the next id, probability of the next id)."""
-        p, clip = self.p, clip or self.clipped()
-        rows = p["e"].take(x[i : i + m + STRIDE], 0)
-        q, k, v = self._windows(rows)
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(self.causal, p["r"][self.distance], np.float32(-1e9))
+    def ready(self, windows: int) -> tuple:
+        """What all blocks of up to ``windows`` windows read of the weights: queries (scaled), keys, values and own states
+        by id, the bias of each key (row) for each position (column), and what needs clipping."""
+        e = self.p["e"]
+        query, key, value, own = (np.ascontiguousarray(c) for c in np.split(e, [KEY, 2 * KEY, 2 * KEY + STATE], 1))
+        query *= e.dtype.type(KEY**-0.5)
+        return query, key, value, own, np.tile(np.where(self.causal, self.p["r"][self.distance], e.dtype.type(-1e9)).T, (1, windows)), self.clipped()
+
+    @staticmethod
+    def _columns(rows: int, m: int, dtype: np.dtype) -> np.ndarray:
+        """A column per position; rows lie at no power of two, at which they would push each other out of the cache."""
+        return np.empty((rows, m + 16), dtype)[:, :m]
+
+    @staticmethod
+    def _by_window(columns: np.ndarray) -> np.ndarray:
+        """A view of columns of positions as one matrix a window."""
+        return columns.reshape(len(columns), -1, STRIDE).transpose(1, 0, 2)
+
+    def forward(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, chance: np.ndarray, ready: tuple | None = None) -> tuple:
+        """Of the ``m`` positions from ``i`` of a layout: (queries, keys and values by window, attention with a column per
+        position, state, choice times its sum, that sum, choice times its sum and chance of the next id, probability of the
+        next id)."""
+        p = self.p
+        query, key, value, own, bias, clip = ready or self.ready(m // STRIDE)
+        at, dtype = x[i + STRIDE : i + STRIDE + m], bias.dtype
+        window = np.ndarray((m // STRIDE, 2 * STRIDE), x.dtype, x, i * x.itemsize, (STRIDE * x.itemsize, x.itemsize))
+        q, k, v = query.take(at, 0), key.take(window, 0), value.take(window, 0)
+        turned, a = self._columns(KEY, m, dtype), self._columns(2 * STRIDE, m, dtype)
+        turned[:] = q.T
+        np.matmul(k, self._by_window(turned), out=self._by_window(a))
+        a += bias[:, :m]
         if clip[0]:
             np.minimum(a, 40, out=a)
         np.exp(a, out=a)
         begins = owner[i + STRIDE : i + STRIDE + m : STRIDE] != owner[i : i + m : STRIDE]
-        a[begins, :, :STRIDE] = 0
-        a /= (a.reshape(m, 2 * STRIDE) @ np.ones(2 * STRIDE, a.dtype)).reshape(-1, STRIDE, 1)
-        z = (a @ v).reshape(m, STATE)
-        z += rows[STRIDE:, 2 * KEY + STATE :]
+        a.reshape(2 * STRIDE, -1, STRIDE)[:STRIDE, np.flatnonzero(begins)] = 0
+        a *= 1 / a.sum(0)
+        z = (self._by_window(a).transpose(0, 2, 1) @ v).reshape(m, STATE)
+        z += own.take(at, 0)
         np.tanh(z, out=z)
         mix = z @ p["w"]
         mix += p["b"]
         if clip[1]:
             np.minimum(mix, 60, out=mix)
         np.exp(mix, out=mix)
-        ones = np.ones(MIX, mix.dtype)
-        mix /= (mix @ ones)[:, None]
-        each = chance.take(x[i + STRIDE + 1 : i + STRIDE + 1 + m], 0)
+        each, ones = chance.take(x[i + STRIDE + 1 : i + STRIDE + 1 + m], 0), np.ones(MIX, dtype)
         each *= mix
-        return rows, (q, k, v), a, z, mix, each, each @ ones
-
-    def _windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries (scaled), keys and values by window, each in one piece for the matrix products."""
-        q = rows[STRIDE:, :KEY].reshape(-1, STRIDE, KEY) * rows.dtype.type(KEY**-0.5)
-        return q, np.ascontiguousarray(self._around(rows[:, KEY : 2 * KEY])), np.ascontiguousarray(self._around(rows[:, 2 * KEY : 2 * KEY + STATE]))
+        whole = mix @ ones
+        return (q, k, v), a, z, mix, whole, each, (each @ ones) / whole
 
-    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = 1024) -> np.ndarray:
+    def log10(self, ids: np.ndarray, text: np.ndarray, chance: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """log10 probability of the id after each position; 0 where a text ends."""
         x, owner, place = self.layout(ids, text)
-        n, clip = len(x) - STRIDE - 1, self.clipped()
-        prob = np.concatenate([np.zeros(STRIDE, np.float32), *(self.forward(x, owner, i, min(block * STRIDE, n - i), chance, clip)[-1] for i in range(0, n, block * STRIDE))])
+        n = len(x) - STRIDE - 1
+        ready = self.ready(min(block, n // STRIDE))
+        prob = np.concatenate([np.zeros(STRIDE, np.float32), *(self.forward(x, owner, i, min(block * STRIDE, n - i), chance, ready)[-1] for i in range(0, n, block * STRIDE))])
         out = np.log(np.maximum(prob[place], 1e-30)).astype(np.float64)
         out[:-1] += self.inner[ids[1:]]
         out[:-1] *= text[1:] == text[:-1]
@@ -180,55 +193,60 @@ class Attention:
         return out / np.log(10)
 
     @staticmethod
-    def _scatter(at: np.ndarray, columns: np.ndarray, rows: int) -> np.ndarray:
-        """Sums of the values of each column by their row."""
-        at = at.astype(np.intp)  # once, not for each column
-        return np.stack([np.bincount(at, column, rows) for column in columns], 1).astype(np.float32)
+    def _add(sums: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+        """Adds each row to the sums of its id; two columns at a time, as one complex number."""
+        for out, column in zip(sums, np.ascontiguousarray(rows.view(sums.dtype).T)):
+            np.add.at(out, at, column)
 
     def learn(self, x: np.ndarray, owner: np.ndarray, i: int, m: int, rate: float, block: int = BLOCK) -> tuple[float, int]:
         """One Adam step on the ``m`` positions from ``i`` of a layout: (the mean loss in nats, positions foretold).
 
         Gradients add up over blocks of windows, which a core's cache holds; they are of the weights before the step.
         """
-        p, chance, clip, n_rows = self.p, self.chances(), self.clipped(), len(self.p["e"])
+        p, chance, ready, n_rows, dtype = self.p, self.chances(), self.ready(min(block, m // STRIDE)), len(self.p["e"]), self.p["e"].dtype
         own = owner[i + STRIDE : i + STRIDE + m + 1]
         counted = (own[1:] == own[:-1]) & (own[:-1] >= 0)
         seen, loss = int(counted.sum()), 0.0
-        weights = (counted / np.float32(max(1, seen))).astype(np.float32)[:, None]
-        grad = {k: np.zeros_like(p[k]) for k in ("r", "w", "b")}
-        # by column, which is how they are summed
-        d_e, d_g, chosen = np.zeros((p["e"].shape[1], m + STRIDE), np.float32), np.empty((MIX, m), np.float32), np.zeros(MIX, np.float32)
+        weights, w_turned = (counted / np.float32(max(1, seen))).astype(np.float32), np.ascontiguousarray(p["w"].T)
+        grad, by_place = {k: np.zeros_like(p[k]) for k in ("w", "b")}, np.zeros((2 * STRIDE, STRIDE), dtype)
+        pair = np.result_type(dtype, np.complex64)
+        # sums by id: of queries, of keys and values, of own states, of chances
+        d_q, d_read, d_h, d_g = np.zeros((KEY // 2, n_rows), pair), np.zeros(((KEY + STATE) // 2, n_rows), pair), np.zeros((STATE, n_rows), dtype), np.zeros((MIX // 2, n_rows), pair)
+        places = np.tile(np.eye(STRIDE, dtype=dtype), (min(block, m // STRIDE), 1))
         for at in range(0, m, block * STRIDE):
             n = min(block * STRIDE, m - at)
-            rows, (q, k, v), a, z, mix, each, prob = self.forward(x, owner, i + at, n, chance, clip)
-            weight, prob = weights[at : at + n], np.maximum(prob, 1e-30)
+            (q, k, v), a, z, mix, whole, each, prob = self.forward(x, owner, i + at, n, chance, ready)
+            weight, ones, prob, here = weights[at : at + n], np.ones(n, dtype), np.maximum(prob, 1e-30), x[i + STRIDE + at : i + STRIDE + at + n]
             loss -= float((np.log(prob) * counted[at : at + n]).sum())
-            post = each
-            post *= weight / prob[:, None]
-            d_mix = mix
-            d_mix *= weight
-            d_mix -= post
-            d_h = d_mix @ p["w"].T
-            d_h *= 1 - z * z
-            d_state = d_h.reshape(-1, STRIDE, STATE)
-            d_a = d_state @ v.transpose(0, 2, 1)
-            d_a -= np.einsum("wij,wij->wi", d_a, a)[:, :, None]
+            each *= (weight / (prob * whole))[:, None]
+            self._add(d_g, x[i + STRIDE + 1 + at : i + STRIDE + 1 + at + n], each)
+            mix *= (weight / whole)[:, None]
+            mix -= each
+            grad["w"] += z.T @ mix
+            grad["b"] += ones @ mix
+            d_state = mix @ w_turned
+            z *= z
+            np.subtract(1, z, out=z)
+            d_state *= z
+            turned, d_a = self._columns(STATE, n, dtype), self._columns(2 * STRIDE, n, dtype)
+            turned[:] = d_state.T
+            for out, column in zip(d_h, turned):
+                np.add.at(out, here, column)
+            np.matmul(v, self._by_window(turned), out=self._by_window(d_a))
             d_a *= a
-            grad["w"] += z.T @ d_mix
-            grad["b"] += d_mix.sum(0)
-            grad["r"] += np.bincount(self.distance.ravel(), weights=d_a.sum(0).ravel(), minlength=2 * STRIDE).astype(np.float32)
-            d_rows = np.zeros_like(rows)
-            d_rows[STRIDE:, :KEY] = (d_a @ k).reshape(n, KEY)
-            d_rows[STRIDE:, :KEY] *= KEY**-0.5
-            d_rows[STRIDE:, 2 * KEY + STATE :] = d_h
-            for d, c, width in ((d_a.transpose(0, 2, 1) @ q, KEY, KEY), (a.transpose(0, 2, 1) @ d_state, 2 * KEY, STATE)):
-                d_rows[:n, c : c + width] += d[:, :STRIDE].reshape(n, width)
-                d_rows[STRIDE:, c : c + width] += d[:, STRIDE:].reshape(n, width)
-            d_e[:, at : at + n + STRIDE] += d_rows.T
-            d_g[:, at : at + n] = post.T
-            chosen += post.sum(0)
-        grad["e"] = self._scatter(x[i : i + m + STRIDE], d_e, n_rows)
-        grad["g"] = chance * chosen - self._scatter(x[i + STRIDE + 1 : i + STRIDE + 1 + m], d_g, n_rows)
+            d_a -= a * d_a.sum(0)
+            by_place += d_a @ places[:n]
+            d_a = self._by_window(d_a)
+            self._add(d_q, here, (d_a.transpose(0, 2, 1) @ k).reshape(n, KEY))
+            d, read = np.empty((n // STRIDE, 2 * STRIDE, KEY + STATE), dtype), np.zeros((n + STRIDE, KEY + STATE), dtype)
+            np.matmul(d_a, q.reshape(-1, STRIDE, KEY), out=d[:, :, :KEY])
+            np.matmul(self._by_window(a), d_state.reshape(-1, STRIDE, STATE), out=d[:, :, KEY:])
+            read[:n] = d[:, :STRIDE].reshape(n, KEY + STATE)
+            read[STRIDE:].reshape(-1, STRIDE, KEY + STATE)[:] += d[:, STRIDE:]
+            self._add(d_read, x[i + at : i + at + n + STRIDE], read)
+        q, read, g = (np.ascontiguousarray(d.T).view(dtype) for d in (d_q, d_read, d_g))
+        q *= dtype.type(KEY**-0.5)
+        grad |= {"e": np.concatenate([q, read, d_h.T], 1), "g": chance * g.sum(0) - g, "r": np.bincount(self.distance.T.ravel(), by_place.ravel(), 2 * STRIDE).astype(dtype)}
         self._adam(grad, rate)
         return loss / max(1, seen), seen
 
