@@ -108,6 +108,28 @@ def test_words_are_told_by_their_ids(spark):
     assert len(set(numbers.values())) == len(numbers)
 
 
+def test_each_word_of_a_run_is_encoded_once(monkeypatch):
+    table, asked = lm._table(*ARGS), []
+    texts = [" ".join(f"word{i * j % 293}" for j in range(1, 1500)) for i in range(1, 260)] + [None, "", " a\u3000b ", "\t"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["uid", "doc_id", "held_out", "text"]).slice(1)
+    split = [(t or "").encode().split() for t in texts[1:]]
+    want = [b"".join(table.encode([w])[1][:-1].astype("<u2").tobytes() for w in words) + np.uint16(table.end[0]).tobytes() for words in split]
+    table.reset()
+    encode = table.encode_words
+    monkeypatch.setattr(table, "limit", 100)
+    monkeypatch.setattr(table, "encode_words", lambda words: asked.append(len(words)) or encode(words))
+    got = list(lm._spell(*ARGS)(iter([rows])))
+    assert len(got) > 1 and [i for b in got for i in b.column("ids").to_pylist()] == want
+    assert [i for b in got for i in b.column("uid").to_pylist()] == list(range(1, len(texts)))
+    assert sum(asked) == len({w for words in split for w in words})
+
+
+def test_counts_are_whole_however_little_is_held(spark, odd):
+    texts = spelled(odd.unionAll(odd)).repartition(2)
+    a, b = ({r.word: r.n for r in lm.word_counts(texts, *ARGS, hold=h).collect()} for h in (4, 10**6))
+    assert a == b and sum(a.values()) == 2 * sum(len((d.text or "").encode().lower().split()) + 1 for d in odd.collect())
+
+
 def test_score_is_recomputed(spark, odd):
     """Every window of every text, one at a time; words interpolated with the corpus."""
     docs, learned = odd.collect(), odd.where(language.fold(5) != 1)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import _LOWER, chunks, fan_in, materialise, mix, powers, utf8
 from tidemark.llm.language import fold
-from tidemark.llm.tokens import WordTable
+from tidemark.llm.tokens import WordTable, laid_out, split_words
 
 STRIDE, KEY, STATE, MIX, TOP = 8, 8, 16, 16, 2047
 SHARE = 0.8
@@ -54,15 +54,18 @@ class Subwords:
         self.starts = np.zeros(self.size, bool)
         self.starts[[i for t, i in ranks.items() if t[:1] == b" "]] = True
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, how many each has); a space begins each word's first id and no other."""
-        text = [" " + w.decode("utf-8", "replace") for w in words]
-        ids = np.array(self.encoding.encode_ordinary("".join(text)), np.int32)
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_binary())
+        data, at = utf8(words)
+        text = np.insert(data[at[0] : at[-1]], at[:-1] - at[0], 32).tobytes().decode("utf-8", "replace")
+        ids = np.array(self.encoding.encode_ordinary(text), np.int32)
         first = np.flatnonzero(self.starts[ids])
-        if len(first) != len(words):  # a word with unusual space in it
-            each = [self.encoding.encode_ordinary(t) for t in text]
-            return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each])
-        return ids, np.diff(first, append=len(ids))
+        if len(first) == len(words):
+            return ids, np.diff(first, append=len(ids))
+        # a word with unusual space in it
+        each = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words.to_pylist()]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each])
 
 
 def _table(path: str, pattern: str) -> WordTable:
@@ -314,20 +317,25 @@ def _spelling(path: str, pattern: str) -> Spelling:
     return _SPELLING[path]
 
 
-def _spell(path: str, pattern: str):
+def _spell(path: str, pattern: str, size: int = 1 << 24):
+    """Spells runs of rows of about ``size`` bytes; of such a run each distinct word is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path, pattern)
         for batch in batches:
             data, at = utf8(batch.column("text"))
-            for i, j in chunks(at):
-                part, offsets = batch.slice(i, j - i), np.ascontiguousarray(at[i : j + 1] - at[i])
+            for i, j in chunks(at, size):
+                offsets = np.ascontiguousarray(at[i : j + 1] - at[i])
                 # lowered here: Arrow's own kernel gave other bytes for slices of long columns
-                text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[at[i] : at[j]]]))
-                _, ids, n, words = table.encode(text)
-                stop = np.cumsum(n)[np.cumsum(words) - 1]
-                offsets = np.concatenate(([0], stop)).astype(np.int32) * 2
-                spelled = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "held_out")), spelled], names=["uid", "doc_id", "held_out", "ids"])
+                words, which, place = split_words(pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(offsets), pa.py_buffer(_LOWER[data[at[i] : at[j]]])))
+                ids, n = table.encode_words(words)
+                flat, first = np.concatenate([table.end, ids]).astype("<u2"), np.concatenate([[0], np.cumsum(np.append(1, n))])
+                for k, end in chunks(offsets):
+                    here = place[k : end + 1] - place[k]
+                    own, n = laid_out(flat, first, np.insert(which[place[k] : place[end]] + 1, here[1:], 0))
+                    stop = np.cumsum(n)[np.cumsum(np.diff(here) + 1) - 1] * 2
+                    spelled = pa.BinaryArray.from_buffers(pa.binary(), end - k, [None, pa.py_buffer(np.append(0, stop).astype(np.int32)), pa.py_buffer(own)])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i + k, end - k) for c in ("uid", "doc_id", "held_out")), spelled], names=["uid", "doc_id", "held_out", "ids"])
 
     return run
 
@@ -385,21 +393,32 @@ def _average(table: pa.Table) -> pa.Table:
 
 # ---------------------------------------------------------------- corpus counts
 
-def word_counts(texts: DataFrame, path: str, pattern: str, hold: int = 400_000) -> DataFrame:
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted words, occurrences of each) of several such pairs."""
+    words, n = (np.concatenate(c) for c in zip(*counts))
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    first = np.flatnonzero(np.diff(words, prepend=words[:1] - 1))
+    return words[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def word_counts(texts: DataFrame, path: str, pattern: str, hold: int = 800_000) -> DataFrame:
     """(word, n) over all rows of ``texts`` (ids): the number of each word, and how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, words, n = _spelling(path, pattern), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["word", "n"])
+        spelling, held, more = _spelling(path, pattern), [], 0
         for batch in batches:
             for _, _, ids, _ in _ids_of(batch):
-                kinds, c = np.unique(spelling.words(ids)[1], return_counts=True)
-                both, inverse = np.unique(np.concatenate([words, kinds]), return_inverse=True)
-                words, n = both, np.bincount(inverse, weights=np.concatenate([n, c]), minlength=len(both)).astype(np.int64)
-                if len(words) > hold:
-                    yield out()
-                    words, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield out()
+                held.append(np.unique(spelling.words(ids)[1], return_counts=True))
+                more += len(held[-1][0])
+                if more > hold:  # runs are added up once there are that many words in them, not each by itself
+                    held = [_added(held)]
+                    # the words found so far leave once they take most of the room
+                    if len(held[0][0]) > hold // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], names=["word", "n"])
+                    more = sum(len(words) for words, _ in held)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(held)], names=["word", "n"])
 
     return texts.select("ids").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

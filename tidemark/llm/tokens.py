@@ -55,25 +55,38 @@ class WordTable:
 
         Words are split and told apart in Arrow, so Python sees each distinct word of a call once.
         """
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts, ""))
-        words = pc.dictionary_encode(split.flatten().cast(pa.large_binary()))
-        kinds = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))))
-        which = words.indices.to_numpy()
-        if b"" in kinds:  # white space at either end of a text leaves an empty string, which is no word
-            real = which != kinds.index(b"")
-            at = np.concatenate(([0], np.cumsum(real)))[at]
-            which = which[real]
-        where = np.insert(self.lookup(kinds)[which], at[1:], 0)
-        start = self.first[where]
-        n = self.first[where + 1] - start
-        # one step of 1 inside a word, a jump to the next word's ids between words; some words have no ids
-        start, size = (start, n) if n.all() else (start[n > 0], n[n > 0])
-        stop = np.cumsum(size)
-        step = np.ones(stop[-1] if len(stop) else 0, np.int64)
-        step[:1] = start[:1]
-        step[stop[:-1]] += start[1:] - start[:-1] - size[:-1]
-        return where, self.flat[np.cumsum(step)], n, np.diff(at) + 1
+        words, which, at = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()) if isinstance(texts, list) else pc.fill_null(texts, ""))
+        where = np.insert(self.lookup(words.to_numpy(zero_copy_only=False).tolist())[which], at[1:], 0)
+        return where, *laid_out(self.flat, self.first, where), np.diff(at) + 1
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of the texts, where the words of each text begin and the last end)."""
+    split = pc.ascii_split_whitespace(texts)
+    words = pc.dictionary_encode(split.flatten().cast(pa.large_binary()))
+    at = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy().astype(np.int64))))
+    which, kinds = words.indices.to_numpy(), words.dictionary
+    none = pc.index(kinds, pa.scalar(b"", kinds.type)).as_py()
+    if none >= 0:  # white space at either end of a text leaves an empty string, which is no word
+        real = which != none
+        at = np.concatenate(([0], np.cumsum(real)))[at]
+        which = which[real]
+        which = which - (which > none)
+        kinds = pa.concat_arrays([kinds[:none], kinds[none + 1 :]])
+    return kinds, which, at
+
+
+def laid_out(flat: np.ndarray, first: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words ``where``, one after another, how many each has); those of word k are flat[first[k] : first[k + 1]]."""
+    start = first[where]
+    n = first[where + 1] - start
+    # one step of 1 inside a word, a jump to the next word's ids between words; some words have no ids
+    start, size = (start, n) if n.all() else (start[n > 0], n[n > 0])
+    stop = np.cumsum(size)
+    step = np.ones(stop[-1] if len(stop) else 0, first.dtype)
+    step[:1] = start[:1]
+    step[stop[:-1]] += start[1:] - start[:-1] - size[:-1]
+    return flat[np.cumsum(step)], n
 
 
 def slices(texts: list[str | None], size: int = 1 << 20):
